@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import binary_output, packing
+from pyspark.sql import functions as F
+
+from . import binary_output, chat, language_id, packing, quality, toxicity
 from .common import table
 
 
@@ -14,8 +16,29 @@ def op3_binary_output(spark, sf_dir):
     return binary_output.pack_matrices(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_chat_formatting(spark, sf_dir):
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.format_turns(turns))
+
+
+def op10_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries():
-    return {"op1_packing": op1_packing, "op3_binary_output": op3_binary_output}
+    return {f.__name__: f for f in (op1_packing, op3_binary_output, op4_toxicity, op7_language_id, op9_chat_formatting, op10_quality)}
 
 
 def oracle_sql():
