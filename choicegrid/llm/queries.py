@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import binary_output, chat, language_id, packing, quality, toxicity
+from . import binary_output, chat, embedding_dedup, jaccard_join, language_id, packing, quality, toxicity
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.deduplicate(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op3_binary_output(spark, sf_dir):
     return binary_output.pack_matrices(table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,10 @@ def op7_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark, sf_dir):
+    return jaccard_join.similar(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_formatting(spark, sf_dir):
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(
@@ -38,7 +46,7 @@ def op10_quality(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_packing, op3_binary_output, op4_toxicity, op7_language_id, op9_chat_formatting, op10_quality)}
+    return {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op3_binary_output, op4_toxicity, op7_language_id, op8_jaccard_join, op9_chat_formatting, op10_quality)}
 
 
 def oracle_sql():
