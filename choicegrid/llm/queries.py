@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import binary_output, chat, embedding_dedup, jaccard_join, language_id, packing, quality, toxicity
+from . import binary_output, chat, embedding_dedup, fingerprints, jaccard_join, language_id, packing, quality, toxicity
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op4_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_fingerprints(spark, sf_dir):
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_quality(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op3_binary_output, op4_toxicity, op7_language_id, op8_jaccard_join, op9_chat_formatting, op10_quality)}
+    return {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op3_binary_output, op4_toxicity, op5_fingerprints, op7_language_id, op8_jaccard_join, op9_chat_formatting, op10_quality)}
 
 
 def oracle_sql():
