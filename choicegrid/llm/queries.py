@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import binary_output, chat, embedding_dedup, fingerprints, jaccard_join, language_id, packing, quality, toxicity
+from . import binary_output, bpe, chat, embedding_dedup, fingerprints, jaccard_join, language_id, packing, quality, toxicity
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op5_fingerprints(spark, sf_dir):
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op6_bpe(spark, sf_dir):
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_quality(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op3_binary_output, op4_toxicity, op5_fingerprints, op7_language_id, op8_jaccard_join, op9_chat_formatting, op10_quality)}
+    return {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op3_binary_output, op4_toxicity, op5_fingerprints, op6_bpe, op7_language_id, op8_jaccard_join, op9_chat_formatting, op10_quality)}
 
 
 def oracle_sql():
