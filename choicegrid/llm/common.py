@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,3 +36,15 @@ def held_out(doc_id: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def filter_rows(docs: DataFrame, inputs: list[Column], decide: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """The rows of docs, with all their columns whatever these are called, for which decide (a batch of inputs) is true."""
+    packed = docs.select(F.struct(*inputs).alias("inputs"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
+
+    def run(batches):
+        for batch in batches:
+            kept = decide(pa.RecordBatch.from_struct_array(batch.column(0)))
+            yield pa.RecordBatch.from_struct_array(batch.column(1)).filter(pa.array(kept, pa.bool_()))
+
+    return packed.mapInArrow(run, docs.schema)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -222,3 +222,14 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     out = known.select("doc_id", "key").join(classes, "key")
     alone = signed.where(F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return out.select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links")).unionByName(alone)
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row of each class of docs, that of the least doc_id, with all its columns.
+
+    Of rows that share this doc_id the one with the least text stays. Rows with a null doc_id all stay.
+    """
+    chosen = similar(docs, threshold, recall).where("doc_id = class_id").select(F.col("doc_id").alias("__kept_id")).distinct()
+    known = docs.join(chosen, docs["doc_id"] == chosen["__kept_id"], "left_semi")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    return known.withColumn("__place", F.row_number().over(first)).where("__place = 1").drop("__place").unionByName(docs.where(F.col("doc_id").isNull()))

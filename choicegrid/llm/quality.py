@@ -12,10 +12,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import filter_rows, held_out
 from .tokens import slices
 from .training import Logistic, labelled_rows, with_labels
 
@@ -101,10 +101,14 @@ def features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return content_features(batch.column(1)), metadata_features(batch.column(2), batch.column(3), batch.column(4))
 
 
-def inputs(docs: DataFrame) -> DataFrame:
+def input_columns(docs: DataFrame) -> list[Column]:
     """The columns of docs that the views read; missing ones are null."""
     kinds = {"doc_id": "long", "text": "string", "source": "string", "lang": "string", "n_chars": "long"}
-    return docs.select(*(F.col(c).cast(t).alias(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()))
+    return [(F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]
+
+
+def inputs(docs: DataFrame) -> DataFrame:
+    return docs.select(*input_columns(docs))
 
 
 class Model:
@@ -192,23 +196,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def keep(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, all their columns, whose score is at least the threshold."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    own = docs.columns
-    packed = docs.select(inputs_struct(docs), F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"))
 
-    def run(batches):
-        for whole in batches:
-            flat = pa.RecordBatch.from_struct_array(whole.column(0))
-            scores = [held.value.score(*features(batch)) for batch in slices(flat, budget=SLICE)]
-            if scores:
-                good = pa.array(np.concatenate(scores) >= threshold)
-                yield pa.RecordBatch.from_struct_array(whole.column(1)).filter(good)
-
-    return packed.mapInArrow(run, docs.schema)
+    def decide(whole):
+        return np.concatenate([np.zeros(0), *(held.value.score(*features(batch)) for batch in slices(whole, budget=SLICE))]) >= threshold
 
-
-def inputs_struct(docs: DataFrame):
-    kinds = {"doc_id": "long", "text": "string", "source": "string", "lang": "string", "n_chars": "long"}
-    return F.struct(*((F.col(c).cast(t) if c in docs.columns else F.lit(None).cast(t)).alias(c) for c, t in kinds.items())).alias("x")
+    return filter_rows(docs, input_columns(docs), decide)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import filter_rows, held_out
 from .tokens import slices
 from .training import TRAIN_ROWS, Logistic, labelled_rows, with_labels
 
@@ -334,17 +334,25 @@ def fit(docs: DataFrame, labels: DataFrame, keep_held_out: bool = False, most: i
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs and score (0 to 1). A null text counts as empty; repeated rows are scored each."""
+    """doc_id, score (0 to 1) of every row of docs (doc_id, text). A null text counts as empty; repeated rows are scored each."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for whole in batches:
-            at = whole.schema.names.index("text")
             for batch in slices(whole, budget=SLICE):
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held.value.score(batch.column(at)))], names=[*batch.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.value.score(batch.column(1)))], names=["doc_id", "score"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kept}, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all their columns, whose score is below the threshold."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def decide(whole):
+        return np.concatenate([np.zeros(0), *(held.value.score(batch.column(0)) for batch in slices(whole, budget=SLICE))]) < threshold
+
+    return filter_rows(docs, [F.col("text")], decide)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
