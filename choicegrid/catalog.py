@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .plans import integrity, likelihood, readouts, transcripts  # noqa: F401  they register their queries
+from .plans.registry import QUERIES, SQL
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
