@@ -28,6 +28,8 @@ SURE = 0.97
 GIVEN = 0.25
 SLICE = 8_000_000
 META_BUCKETS = 32
+#: Numbers of each view.
+CONTENT, METADATA = 16, 2 * META_BUCKETS + 7
 
 
 def _byte_classes() -> np.ndarray:
@@ -40,9 +42,6 @@ def _byte_classes() -> np.ndarray:
     return table
 
 
-CONTENT = 16
-
-
 def content_features(texts: pa.Array) -> np.ndarray:
     """Ratios within each text: kinds of characters, repeated words, lines and neighbours, lengths of words and lines."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -83,7 +82,7 @@ def content_features(texts: pa.Array) -> np.ndarray:
 def metadata_features(source: pa.Array, lang: pa.Array, n_chars: pa.Array) -> np.ndarray:
     """Hashed source and language, and the stated length on a log scale; a null has a bucket of its own."""
     rows = len(source)
-    out = np.zeros((rows, 2 * META_BUCKETS + 7))
+    out = np.zeros((rows, METADATA))
     for k, column in enumerate((source, lang)):
         coded = pc.dictionary_encode(pc.fill_null(column, "\x00"))
         place = np.array([xxhash.xxh32_intdigest(x) % META_BUCKETS for x in coded.dictionary.to_pylist()], int)
@@ -135,7 +134,7 @@ def gather(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([batch.column(0), flat, batch.column(5)], names=["doc_id", "x", "label"])
 
     found = rows.mapInArrow(run, "doc_id long, x array<float>, label int").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    x = np.asarray(found["x"].combine_chunks().flatten(), float).reshape(found.num_rows, -1)
+    x = np.asarray(found["x"].combine_chunks().flatten(), float).reshape(found.num_rows, CONTENT + METADATA)
     return x[:, :CONTENT], x[:, CONTENT:], np.asarray(found["label"].fill_null(-1))
 
 
