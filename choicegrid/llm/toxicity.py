@@ -150,6 +150,11 @@ _EDGE = r"^[^\pL\pN@$€£§(|!+*]+|[^\pL\pN@$]+$|[@$]{3,}$"
 _INNER = r"\pL[0-9@$!|+(€£§*?.\-_~'·,/]+\pL|^[0-9@$€£§(|!+*]+\pL|\pL[0-9@$]{1,2}$|\pL.*[0-9@$!|+(].*\pL"
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: A letter three times, or two pairs of vowels.
+_REPEATED = "|".join([*(c * 3 for c in _LETTERS), "(?:aa|ee|ii|oo|uu).*(?:aa|ee|ii|oo|uu)"])
+
+
 def restore(texts: pa.Array, model: CharModel) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct words of restored text, code of each word in order, first word's place of each text and the end)."""
     low = pc.fill_null(pc.utf8_lower(texts.cast(pa.large_string())), "")
@@ -162,9 +167,9 @@ def restore(texts: pa.Array, model: CharModel) -> tuple[pa.Array, np.ndarray, np
     core = pc.replace_substring_regex(coded.dictionary, _EDGE, "")
     single = np.asarray(pc.equal(pc.utf8_length(core), 1), bool)
     inner = np.asarray(pc.match_substring_regex(core, _INNER), bool)
-    triple = np.asarray(pc.match_substring_regex(core, "|".join(f"{c}{c}{c}" for c in "abcdefghijklmnopqrstuvwxyz")), bool)
+    repeated = np.asarray(pc.match_substring_regex(core, _REPEATED), bool)
     words = core.to_pylist()
-    for i in np.flatnonzero(inner | triple).tolist():
+    for i in np.flatnonzero(inner | repeated).tolist():
         words[i] = decode(words[i], model)
     codes = np.asarray(coded.indices, np.int64)
     # runs of three or more single characters within a text
@@ -226,9 +231,12 @@ class Model:
         self.chars, self.names, self.weights, self.calibration, self.base = chars, names, weights, calibration, base
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
-        """Per text: the largest weight, the second one, how many features have one, the same per word of the text (logs)."""
+        """Per text: the largest weight of a feature that it has, and the second one; 0 where there is none.
+
+        Neither depends on the text's length: a long text with one toxic word is toxic.
+        """
         words, codes, ends = restore(texts, self.chars)
-        out = np.zeros((len(ends) - 1, 4))
+        out = np.zeros((len(ends) - 1, 2))
         if not len(self.names):
             return out
         per_word, names = word_features(words)
@@ -243,9 +251,6 @@ class Model:
         ok = second < len(docs)
         ok[ok] = docs[second[ok]] == docs[first[ok]]
         out[docs[first[ok]], 1] = weights[second[ok]]
-        hits = np.bincount(docs, minlength=len(out))
-        out[:, 2] = np.log1p(hits)
-        out[:, 3] = np.log1p(1000 * hits / np.maximum(np.diff(ends), 1))
         return out
 
     def score(self, texts: pa.Array) -> np.ndarray:
@@ -311,9 +316,9 @@ def fit(docs: DataFrame, labels: DataFrame, keep_held_out: bool = False, most: i
     if len(names):
         found = train.where("label = 0").mapInArrow(clean_features, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
         clean[np.asarray(found["place"])] = np.asarray(found["n"])
-    # the share of toxic documents among those with the feature, drawn towards the base rate by four documents
+    # the share of toxic documents among those with the feature, drawn towards the base rate by one document
     base = n_toxic / chosen.num_rows
-    share = (toxic + 4 * base) / (toxic + clean + 4)
+    share = (toxic + base) / (toxic + clean + 1)
     weights = np.log(share / (1 - share)) - math.log(base / (1 - base))
     good = np.flatnonzero(weights > 1.5)
     good = good[np.argsort(-weights[good], kind="stable")][:FEATURES]
@@ -326,10 +331,10 @@ def fit(docs: DataFrame, labels: DataFrame, keep_held_out: bool = False, most: i
         for whole in batches:
             for batch in slices(whole, budget=SLICE):
                 e = held_model.value.evidence(batch.column(1))
-                yield pa.RecordBatch.from_arrays([batch.column(2), *(pa.array(e[:, k]) for k in range(4))], names=["label", "a", "b", "c", "d"])
+                yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(e[:, 0]), pa.array(e[:, 1])], names=["label", "a", "b"])
 
-    seen = train.mapInArrow(shown, "label int, a double, b double, c double, d double").toArrow()  # at most `most` rows
-    model.calibration = Logistic().fit(np.column_stack([np.asarray(seen[k]) for k in "abcd"]), np.asarray(seen["label"], float))
+    seen = train.mapInArrow(shown, "label int, a double, b double").toArrow()  # at most `most` rows
+    model.calibration = Logistic(0.01).fit(np.column_stack([np.asarray(seen[k]) for k in "ab"]), np.asarray(seen["label"], float))
     return model
 
 
