@@ -47,18 +47,17 @@ def label_map(aligned: DataFrame, offered: DataFrame) -> DataFrame:
     those that anybody has there) and a single unclaimed label (of those that the session offers) gets that pair too.
     offered has experiment, participant, option.
     """
-    pressed = aligned.groupBy(*BLOCK, "label").agg(F.countDistinct("code").alias("n"), F.min("code").alias("code"))
-    blocks = pressed.groupBy(*BLOCK).agg(
-        F.bool_and(F.col("n") == 1).alias("pure"), F.count("*").alias("labels"), F.countDistinct("code").alias("codes"), F.collect_set("code").alias("used"), F.collect_set("label").alias("said")
-    )
-    good = blocks.where("pure and labels = codes")
-    direct = pressed.join(good.select(*BLOCK), BLOCK).select(*BLOCK, "label", "code", F.lit("pressed").alias("source"))
-    pool = aligned.groupBy("experiment", "block").agg(F.collect_set("code").alias("all_codes"))
+    pressed = aligned.groupBy(*BLOCK, "label").agg(F.collect_set("code").alias("codes"))
+    entry = F.struct("label", F.array_min("codes").alias("code"), F.lit("pressed").alias("source"))
+    blocks = pressed.groupBy(*BLOCK).agg(F.bool_and(F.size("codes") == 1).alias("pure"), F.collect_list(entry).alias("entries"))
+    good = blocks.where(F.col("pure") & (F.size("entries") == F.size(F.array_distinct("entries.code"))))
+    pool = pressed.groupBy("experiment", "block").agg(F.array_distinct(F.flatten(F.collect_set("codes"))).alias("all_codes"))
     options = offered.groupBy(*SESSION).agg(F.collect_set("option").alias("options"))
     rest = good.join(pool, ["experiment", "block"]).join(options, SESSION, "left")
-    rest = rest.withColumn("free", F.array_except("all_codes", "used")).withColumn("spare", F.array_except("options", "said")).where("size(free) = 1 and size(spare) = 1")
-    filled = rest.select(*BLOCK, F.get("spare", F.lit(0)).alias("label"), F.get("free", F.lit(0)).alias("code"), F.lit("elimination").alias("source"))
-    return direct.unionByName(filled)
+    free, spare = F.array_except("all_codes", "entries.code"), F.array_except("options", "entries.label")
+    forced = F.array(F.struct(F.get(spare, F.lit(0)).alias("label"), F.get(free, F.lit(0)).alias("code"), F.lit("elimination").alias("source")))
+    every = F.when((F.size(free) == 1) & (F.size(spare) == 1), F.concat("entries", forced)).otherwise(F.col("entries"))
+    return rest.select(*BLOCK, F.inline(every))
 
 
 def option_counts(table: DataFrame, columns: list[str]) -> DataFrame:
