@@ -54,10 +54,11 @@ def unplanes(stored: pa.Array) -> np.ndarray:
     return np.ascontiguousarray(np.asarray(stored).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def word_blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """block, bucket, data: distinct words of each block by bucket, and in bucket -1 its documents as numbers of words.
+def word_blocks(docs: DataFrame, buckets: int, words: bool) -> DataFrame:
+    """block, bucket, data: the distinct words of each block by bucket or, unless words, its documents as numbers of words in bucket -1.
 
     Numbers count the block's words in the order of their buckets, words with a space before them first, then whole strings.
+    Both halves name the block by its place in the input and carry a digest of its words, which must agree.
     """
 
     def run(batches):
@@ -76,12 +77,15 @@ def word_blocks(docs: DataFrame, buckets: int) -> DataFrame:
                 leading = np.argsort(-counts, kind="stable")[:LEADING]
                 number = place + len(leading)
                 number[leading] = np.arange(len(leading))
-                rows = [(-1, pack(doc_id=batch.column(0), ends=pa.array(ends), numbers=planes(number[codes]), leading=pa.array(place[leading])))]
                 bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for k in np.flatnonzero(np.diff(bounds)).tolist():
+                mark = xxhash.xxh3_64_intdigest(b"".join(x for x in items.take(pa.array(order)).buffers()[1:] if x is not None)) >> 1
+                rows = []
+                if not words:
+                    rows.append((-1, pack(doc_id=batch.column(0), ends=pa.array(ends), numbers=planes(number[codes]), leading=pa.array(place[leading]), mark=pa.array([mark]))))
+                for k in np.flatnonzero(np.diff(bounds)).tolist() if words else ():
                     own = order[bounds[k] : bounds[k + 1]]
                     split = int(inner[own].sum())
-                    rows.append((k, pack(chunks=items.take(pa.array(own[:split])), wholes=items.take(pa.array(own[split:])))))
+                    rows.append((k, pack(chunks=items.take(pa.array(own[:split])), wholes=items.take(pa.array(own[split:])), mark=pa.array([mark]))))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([block] * len(rows), pa.int64()), pa.array([k for k, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())],
                     names=["block", "bucket", "data"],
@@ -117,24 +121,29 @@ def encode_words(asked: DataFrame, vocab_path: str | None) -> DataFrame:
                 answer.append(pc.take(lists, indices.slice(at[t], n)))
                 at[t] += n
             both = pa.concat_arrays(answer)
-            out.append(pack(ids=both.flatten(), lengths=pc.list_value_length(both).cast(pa.int32())))
+            out.append(pack(ids=both.flatten(), lengths=pc.list_value_length(both).cast(pa.int32()), mark=x["mark"]))
         return pa.table({"block": table["block"], "bucket": table["bucket"], "data": pa.array(out, pa.binary())})
 
     return asked.groupBy("bucket").applyInArrow(run, "block long, bucket int, data binary")
 
 
-def encode(docs: DataFrame, vocab_path: str | None = None, buckets: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, vocab_path: str | None = None, buckets: int | None = None, from_files: bool = False) -> DataFrame:
     """doc_id, ids (array<int>) of every row of docs (doc_id, text), as the tokenizers library encodes it without adding special tokens.
 
     A null text counts as empty and has no ids; special tokens written out in a text are read as such. Rows that repeat and
-    null doc_ids are kept; an empty table gives no rows.
+    null doc_ids are kept; an empty table gives no rows. Blocks are cut twice, once for their words and once for their
+    documents, so docs must have the same rows in the same order each time: from_files says that it is read from files as
+    they are, else it is written as a table first. Blocks that don't agree fail the query.
     """
-    blocks = materialize(word_blocks(docs, buckets or 4 * shuffle_partitions(docs.sparkSession)), "uncompressed")
-    answers = encode_words(blocks.where("bucket >= 0"), vocab_path)
+    docs = docs.select("doc_id", "text") if from_files else materialize(docs.select("doc_id", "text"))
+    buckets = buckets or 4 * shuffle_partitions(docs.sparkSession)
+    answers = encode_words(word_blocks(docs, buckets, True), vocab_path)
 
     def assemble(table: pa.Table) -> pa.Table:
         table = table.sort_by("bucket")
         sequence, *found = [unpack(d) for d in table["data"].to_pylist()]
+        if table["bucket"][0].as_py() != -1 or any(x["mark"] != sequence["mark"] for x in found):
+            raise ValueError("a block's words and documents were read from different rows")
         lengths = np.concatenate([np.asarray(x["lengths"], np.int64) for x in found]) if found else np.zeros(0, np.int64)
         ids = pa.concat_arrays([x["ids"] for x in found]).cast(pa.int32()) if found else pa.array([], pa.int32())
         lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int64()), ids)
@@ -147,7 +156,7 @@ def encode(docs: DataFrame, vocab_path: str | None = None, buckets: int | None =
         ends = (begins - begins[0])[np.asarray(sequence["ends"], np.int64)]
         return pa.table({"doc_id": sequence["doc_id"], "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), taken.flatten())})
 
-    return blocks.where("bucket = -1").unionByName(answers).groupBy("block").applyInArrow(assemble, "doc_id long, ids array<int>")
+    return word_blocks(docs, buckets, False).unionByName(answers).groupBy("block").applyInArrow(assemble, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocab_path: str | None = None) -> DataFrame:
@@ -172,9 +181,9 @@ def decode(encoded: DataFrame, vocab_path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
-def digests(docs: DataFrame, vocab_path: str | None = None) -> DataFrame:
+def digests(docs: DataFrame, vocab_path: str | None = None, from_files: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs."""
-    both = decode(encode(docs, vocab_path), vocab_path)
+    both = decode(encode(docs, vocab_path, from_files=from_files), vocab_path)
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

@@ -31,7 +31,7 @@ def op5_fingerprints(spark, sf_dir):
 
 
 def op6_bpe(spark, sf_dir):
-    return bpe.digests(table(spark, sf_dir, "documents"))
+    return bpe.digests(table(spark, sf_dir, "documents"), from_files=True)
 
 
 def op7_language_id(spark, sf_dir):
