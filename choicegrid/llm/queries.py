@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import binary_output, bpe, chat, embedding_dedup, fingerprints, jaccard_join, language_id, packing, quality, toxicity
+from . import binary_output, bpe, chat, embedding_dedup, fingerprints, jaccard_join, language_id, oracles, packing, quality, toxicity
 from .common import table
 
 
@@ -64,4 +64,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return oracles.SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
