@@ -26,6 +26,8 @@ from .tokens import slices, split_texts, vocabulary
 
 #: Bytes of text of a block, about.
 BLOCK_BYTES = 8_000_000
+#: Ids that are decoded at once, about; it bounds a task's memory.
+DECODED_IDS = 500_000
 #: Most frequent words of a block that get the smallest numbers; it only makes blocks smaller.
 LEADING = 4096
 
@@ -167,16 +169,18 @@ def decode(encoded: DataFrame, vocab_path: str | None = None) -> DataFrame:
 
     def run(batches):
         vocab = vocabulary(vocab_path)
-        for batch in batches:
-            ids = batch.column(1)
-            flat = ids.flatten()
-            pieces = pc.take(vocab.pieces.cast(pa.large_binary()), flat)
-            at = np.concatenate([[0], np.cumsum(vocab.lengths[np.asarray(flat)])])
-            data = memoryview(pieces.buffers()[2] or b"")
-            ends = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(ids), 0), np.int64))])
-            valid = ids.is_valid().to_pylist()
-            texts = [bytes(data[at[a] : at[b]]).decode("utf-8", "replace") if ok else None for a, b, ok in zip(ends[:-1], ends[1:], valid, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+        pieces = vocab.pieces.cast(pa.large_binary())
+        for whole in batches:
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(whole.column(1)), 0), np.int64)
+            part = np.cumsum(sizes) // DECODED_IDS
+            for begin in np.unique(part, return_index=True)[1].tolist():
+                batch = whole.slice(begin, int((part == part[begin]).sum()))
+                ids, n = batch.column(1), sizes[begin : begin + batch.num_rows]
+                flat = ids.flatten()
+                data = memoryview(pc.take(pieces, flat).buffers()[2] or b"")
+                at = np.concatenate([[0], np.cumsum(vocab.lengths[np.asarray(flat)])])[np.concatenate([[0], np.cumsum(n)])]
+                texts = [bytes(data[a:b]).decode("utf-8", "replace") if ok else None for a, b, ok in zip(at[:-1], at[1:], ids.is_valid().to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
