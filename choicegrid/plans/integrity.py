@@ -41,7 +41,7 @@ def merge_violations(spark, sf_dir):
 
 def _children(spark, sf_dir):
     """Top-token rows: num_tokens times two per choice; some parents lack, some rows are missing or twice."""
-    rows = data.choices(spark, sf_dir).where("choice_index < 5")
+    rows = data.choices(spark, sf_dir)
     e = F.col("event_id")
     one = rows.select(*CHOICE, "event_id", "num_tokens", F.explode(F.sequence(F.lit(0), F.col("num_tokens") * 2 - 1)).alias("k"))
     return one.select(*CHOICE, "event_id", "num_tokens", F.floor(F.col("k") / 2).alias("token_index"), (F.col("k") % 2).alias("rank")).where(~((e % 17 == 0) & (F.col("token_index") == 0) & (F.col("rank") == 1)))
@@ -49,19 +49,36 @@ def _children(spark, sf_dir):
 
 CHILDREN = C + ", children AS (SELECT experiment, participant, choice_index, event_id, num_tokens, k // 2 AS token_index, k % 2 AS rank FROM choices, range(0, 4) AS r(k) WHERE choice_index < 5 AND k < num_tokens * 2 AND NOT (event_id % 17 = 0 AND k = 1)), parents AS (SELECT experiment, participant, choice_index, num_tokens * 2 AS expected FROM choices WHERE choice_index < 5 AND event_id % 23 <> 0)"
 
+#: Every choice of every session is a parent; a choice has as many children as its tokens say.
+ALL_CHILDREN = C + ", children AS (SELECT experiment, participant, choice_index, event_id, num_tokens, k // 2 AS token_index, k % 2 AS rank FROM (SELECT *, unnest(range(0, num_tokens * 2)) AS k FROM choices) WHERE NOT (event_id % 17 = 0 AND k = 1)), parents AS (SELECT experiment, participant, choice_index, num_tokens * 2 AS expected FROM choices WHERE event_id % 23 <> 0)"
+#: The SQL of two older queries holds these choices only; their twins named all_ take every choice.
+FIRST = "choice_index < 5"
+ORPHANS = "SELECT c.experiment, c.participant, c.choice_index, token_index, rank FROM children c ANTI JOIN parents USING (experiment, participant, choice_index)"
+INCOMPLETE = ", f AS (SELECT experiment, participant, choice_index, count(DISTINCT (token_index, rank)) AS found FROM children GROUP BY 1, 2, 3) SELECT experiment, participant, choice_index, expected, coalesce(found, 0) AS found FROM parents LEFT JOIN f USING (experiment, participant, choice_index) WHERE expected <> coalesce(found, 0)"
+
 
 def _parents(spark, sf_dir):
-    return data.choices(spark, sf_dir).where((F.col("choice_index") < 5) & (F.col("event_id") % 23 != 0)).select(*CHOICE, (F.col("num_tokens") * 2).alias("expected"))
+    return data.choices(spark, sf_dir).where(F.col("event_id") % 23 != 0).select(*CHOICE, (F.col("num_tokens") * 2).alias("expected"))
 
 
 @query("orphan_children", f"{CHILDREN} SELECT c.experiment, c.participant, c.choice_index, token_index, rank FROM children c ANTI JOIN parents USING (experiment, participant, choice_index)")
 def orphan_children(spark, sf_dir):
+    return all_orphan_children(spark, sf_dir).where(FIRST)
+
+
+@query("all_orphan_children", f"{ALL_CHILDREN} {ORPHANS}")
+def all_orphan_children(spark, sf_dir):
     found = integrity.orphans(_children(spark, sf_dir), _parents(spark, sf_dir), CHOICE)
     return found.select(*CHOICE, "token_index", F.col("rank").cast("long").alias("rank"))
 
 
 @query("child_completeness", f"{CHILDREN}, f AS (SELECT experiment, participant, choice_index, count(DISTINCT (token_index, rank)) AS found FROM children GROUP BY 1, 2, 3) SELECT experiment, participant, choice_index, expected, coalesce(found, 0) AS found FROM parents LEFT JOIN f USING (experiment, participant, choice_index) WHERE expected <> coalesce(found, 0)")
 def child_completeness(spark, sf_dir):
+    return all_child_completeness(spark, sf_dir).where(FIRST)
+
+
+@query("all_child_completeness", f"{ALL_CHILDREN}{INCOMPLETE}")
+def all_child_completeness(spark, sf_dir):
     return integrity.incomplete(_children(spark, sf_dir), _parents(spark, sf_dir), CHOICE, ["token_index", "rank"])
 
 
@@ -69,7 +86,7 @@ def child_completeness(spark, sf_dir):
 def occurrence_merge(spark, sf_dir):
     """Children written twice: whole in the replay, the first time some are cut short."""
     rows = _children(spark, sf_dir).drop("num_tokens")
-    whole = data.choices(spark, sf_dir).where("choice_index < 5").select(*CHOICE, "event_id", F.explode(F.sequence(F.lit(0), F.col("num_tokens") * 2 - 1)).alias("k"))
+    whole = data.choices(spark, sf_dir).select(*CHOICE, "event_id", F.explode(F.sequence(F.lit(0), F.col("num_tokens") * 2 - 1)).alias("k"))
     whole = whole.select(*CHOICE, "event_id", F.floor(F.col("k") / 2).alias("token_index"), (F.col("k") % 2).alias("rank"))
     place = lambda f, add: f.withColumn("shard", F.col("participant").cast("int") % 4).withColumn("row_idx", F.col("event_id") * 8 + F.col("token_index") * 2 + F.col("rank") + add).drop("event_id")
     both = place(rows, 0).unionByName(place(whole, 1_000_000_000_000))

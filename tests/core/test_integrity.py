@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from choicegrid import catalog
 from choicegrid.operators import canonical, integrity
 from choicegrid.sources import readers, writers
 from choicegrid.streaming import sessions as live
@@ -28,6 +29,16 @@ def test_occurrences(spark):
         integrity.merge_occurrences(children(spark, [*rows, c(8, 0, 0, "u"), c(9, 0, 1)]), parents, KEYS, ["token_index", "rank"]).collect()
 
 
+def test_every_choice_is_a_parent(spark):
+    sf, made = "/root/testdata/sf0.001", catalog.queries()
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id").collect()
+    lost = sum(r.event_id % 23 == 0 for r in events)
+    merged = {r.outcome: r.parents for r in made["occurrence_merge"](spark, sf).collect()}
+    assert (merged["kept"], merged["orphan"]) == (len(events) - lost, lost)
+    assert made["all_orphan_children"](spark, sf).select(*KEYS).distinct().count() == lost
+    assert made["all_child_completeness"](spark, sf).count() == sum(r.event_id % 17 == 0 and r.event_id % 23 != 0 for r in events)
+
+
 def test_merge_predictions(spark):
     kind = "shard int, row_idx long, experiment string, participant string, choice_index int, x string"
     same = spark.createDataFrame([(0, 0, "a", "p", 0, "u"), (0, 5, "a", "p", 0, "u")], kind)
