@@ -2,8 +2,8 @@
 
 A writer hides a word by look-alike symbols, by spaces or marks between its letters, or by repeated letters. Each such
 spelling is a lattice: every symbol may stand for itself or for letters, marks and repeats may be dropped. Viterbi decoding
-under a character language model counted over the whole corpus finds the likeliest letters. A spelling without anything to
-undo has a lattice of one path and is its own decoding, so only the others are decoded, once per batch and distinct spelling.
+under a character language model counted over the whole corpus finds the likeliest letters. A spelling without a repeat, a
+symbol or a mark has a lattice of one path and is its own decoding, so only the others are decoded, once per distinct spelling.
 
 The score looks for words of restored text, and beginnings of words, that labelled toxic documents hold and others don't.
 """
@@ -11,6 +11,7 @@ The score looks for words of restored text, and beginnings of words, that labell
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ MARKS = ".-_~'·,/"
 ALPHABET = 80
 SLICE = 4_000_000
 #: Logarithms of the channel's probabilities.
-DROP_MARK, DROP_REPEAT, SUBSTITUTE, KEEP_SYMBOL, KEEP_REPEAT = math.log(0.5), math.log(0.3), math.log(0.3), math.log(0.02), math.log(0.3)
+DROP_MARK, DROP_EDGE, DROP_REPEAT, SUBSTITUTE, KEEP_SYMBOL, KEEP_REPEAT = math.log(0.5), math.log(0.3), math.log(0.3), math.log(0.3), math.log(0.02), math.log(0.3)
 
 
 class CharModel:
@@ -47,6 +48,7 @@ class CharModel:
         p2 = (two + 5 * p1) / (two.sum(axis=1, keepdims=True) + 5)
         p3 = (three + 5 * p2) / (three.sum(axis=2, keepdims=True) + 5)
         self.log = np.log(p3).tolist()
+        self.known: dict[str, str] = {}
 
     def cls(self, c: str) -> int:
         return self.place.get(c, 1)
@@ -103,14 +105,15 @@ def decode(spelling: str, model: CharModel, spaced: bool = False) -> str:
     """The likeliest letters of a spelling (lower case).
 
     The lattice's states are the last two letters. spaced: the spelling is a run of single characters that stood apart, so
-    every edge between words is optional too.
+    every edge between words is optional too. Symbols before the first letter or digit, or after the last, may be dropped.
     """
     log = model.log
     states: dict[tuple[str, str], tuple[float, tuple]] = {("", ""): (0.0, ())}
     before = ""
     cls = model.cls
+    solid = [i for i, c in enumerate(spelling) if c.isalnum()] or [len(spelling)]
 
-    for c in spelling:
+    for i, c in enumerate(spelling):
         arcs: list[tuple[str, float]] = []
         if c.isalpha():
             arcs.append((c, KEEP_REPEAT if c == before else 0.0))
@@ -120,6 +123,8 @@ def decode(spelling: str, model: CharModel, spaced: bool = False) -> str:
             arcs.extend((x, SUBSTITUTE) for x in LOOKALIKE.get(c, ""))
             if c in MARKS:
                 arcs.append(("", DROP_MARK))
+            elif not solid[0] <= i <= solid[-1]:
+                arcs.append(("", DROP_EDGE))
             arcs.append((c, KEEP_SYMBOL))
             if c == before:
                 arcs.append(("", DROP_REPEAT))
@@ -146,13 +151,22 @@ def decode(spelling: str, model: CharModel, spaced: bool = False) -> str:
     return "".join(reversed(out))
 
 
-_EDGE = r"^[^\pL\pN@$€£§(|!+*]+|[^\pL\pN@$]+$|[@$]{3,}$"
-_INNER = r"\pL[0-9@$!|+(€£§*?.\-_~'·,/]+\pL|^[0-9@$€£§(|!+*]+\pL|\pL[0-9@$]{1,2}$|\pL.*[0-9@$!|+(].*\pL"
+_SYMBOLS = "".join(re.escape(c) for c in [*LOOKALIKE, *MARKS] if not c.isalnum())
+#: What no lattice reads as a letter, at a spelling's ends.
+_EDGE = rf"^[^\pL\pN{_SYMBOLS}]+|[^\pL\pN{_SYMBOLS}]+$"
+#: A repeated neighbour, or a symbol or mark that may stand for something else. Digits alone are a number.
+_CHOICE = re.compile(rf"(?!\d+\Z)(?s:.*?)(?:(.)\1|[0-9{_SYMBOLS}])", re.DOTALL)
+#: Decoded spellings that a Python worker keeps; it changes no result.
+KEPT_SPELLINGS = 500_000
 
 
-_LETTERS = "abcdefghijklmnopqrstuvwxyz"
-#: A letter three times, or two pairs of vowels.
-_REPEATED = "|".join([*(c * 3 for c in _LETTERS), "(?:aa|ee|ii|oo|uu).*(?:aa|ee|ii|oo|uu)"])
+def decoded(spelling: str, model: CharModel) -> str:
+    known = model.known.get(spelling)
+    if known is None:
+        if len(model.known) >= KEPT_SPELLINGS:
+            model.known.clear()
+        known = model.known[spelling] = decode(spelling, model)
+    return known
 
 
 def restore(texts: pa.Array, model: CharModel) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -166,11 +180,8 @@ def restore(texts: pa.Array, model: CharModel) -> tuple[pa.Array, np.ndarray, np
     ends = ends - ends[0]
     core = pc.replace_substring_regex(coded.dictionary, _EDGE, "")
     single = np.asarray(pc.equal(pc.utf8_length(core), 1), bool)
-    inner = np.asarray(pc.match_substring_regex(core, _INNER), bool)
-    repeated = np.asarray(pc.match_substring_regex(core, _REPEATED), bool)
-    words = core.to_pylist()
-    for i in np.flatnonzero(inner | repeated).tolist():
-        words[i] = decode(words[i], model)
+    spelled = core.to_pylist()
+    words = [decoded(w, model) if _CHOICE.match(w) else w for w in spelled]
     codes = np.asarray(coded.indices, np.int64)
     # runs of three or more single characters within a text
     alone = single[codes].astype(np.int8)
@@ -181,7 +192,7 @@ def restore(texts: pa.Array, model: CharModel) -> tuple[pa.Array, np.ndarray, np
     extra_words, extra_at = [], []
     for s, e in zip(starts.tolist(), stops.tolist(), strict=True):
         if e - s >= 3:
-            run = "".join(words[c] for c in codes[s:e].tolist())
+            run = "".join(spelled[c] for c in codes[s:e].tolist())
             said = decode(run, model, spaced=True).split(" ")
             extra_words.extend([*said, "".join(said)] if len(said) > 1 else said)
             extra_at.extend([s] * (len(said) + (len(said) > 1)))

@@ -158,6 +158,18 @@ def test_restore_reads_spaced_words(chars):
     assert said[3] == ["4041894974608795", "1234"] and said[4] == ["a", "the"]
 
 
+def test_every_choice_of_a_lattice_is_read(spark):
+    import pyarrow as pa
+
+    plain = "you are a stupid idiot and a moron in the trash of the élan with идиот there"
+    chars = toxicity.char_model(spark.createDataFrame([(plain,)] * 20, "text string"))
+    said = {"iidiot": "idiot", "mmoron": "moron", "trrash": "trash", "éélan": "élan", "идиоот": "идиот", "idio+": "idiot", "+rash": "trash", "stupid!": "stupid"}
+    words, codes, _ = toxicity.restore(pa.array([" ".join(said)]), chars)
+    assert [words[c].as_py() for c in codes] == list(said.values())
+    words, codes, _ = toxicity.restore(pa.array(["i d ! o t"]), chars)
+    assert "idiot" in [words[c].as_py() for c in codes]
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     out = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
