@@ -204,9 +204,13 @@ def restore(texts: pa.Array, model: CharModel) -> tuple[pa.Array, np.ndarray, np
 
 #: Features: whole words, and their first letters (words of one family share them).
 PREFIXES = (3, 4, 5, 6)
-#: A feature needs so many toxic documents, and such a share of them.
-LEAST_DOCS, LEAST_SHARE = 4, 0.005
+#: A feature needs so many toxic documents, whatever the table's size.
+LEAST_DOCS = 4
+#: A model holds at most so many features, those of the largest weights.
 FEATURES = 8192
+LEAST_WEIGHT = 1.5
+#: Features that a task counts before it hands them on.
+COUNTED = 500_000
 
 
 def word_features(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -294,48 +298,41 @@ def fit(docs: DataFrame, labels: DataFrame, keep_held_out: bool = False, most: i
     train = with_labels(docs.select("doc_id", "text"), rows).select("doc_id", "text", "label")
     held = spark.sparkContext.broadcast(chars)
 
-    def toxic_features(batches):
-        total: dict[str, int] = {}
+    def features(batches):
+        total: dict[str, list[int]] = {}
+
+        def handed():
+            rows = pa.RecordBatch.from_arrays(
+                [pa.array(list(total), pa.string()), *(pa.array([n[k] for n in total.values()], pa.int64()) for k in (1, 0))], names=["feature", "toxic", "clean"]
+            )
+            total.clear()
+            return rows
+
         for whole in batches:
             for batch in slices(whole, budget=SLICE):
+                labels = np.asarray(batch.column(2), np.int64)
                 words, codes, ends = restore(batch.column(1), held.value)
                 per_word, names = word_features(words)
-                _, features = doc_pairs(codes, ends, per_word, np.arange(len(names)))
-                counts = np.bincount(features, minlength=len(names))
-                for name, n in zip(names.to_pylist(), counts.tolist(), strict=True):
-                    total[name] = total.get(name, 0) + n
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["feature", "n"])
-
-    least = max(LEAST_DOCS, LEAST_SHARE * n_toxic)
-    counted = train.where("label = 1").mapInArrow(toxic_features, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    frequent = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(4 * FEATURES).toArrow()
-    names, toxic = frequent["feature"].combine_chunks().cast(pa.large_string()), np.asarray(frequent["n"], float)
-
-    def clean_features(batches):
-        total = np.zeros(len(names), np.int64)
-        for whole in batches:
-            for batch in slices(whole, budget=SLICE):
-                words, codes, ends = restore(batch.column(1), held.value)
-                per_word, own = word_features(words)
-                place = np.asarray(pc.fill_null(pc.index_in(own, value_set=names), -1), np.int64)
-                _, features = doc_pairs(codes, ends, per_word, place)
-                total += np.bincount(features, minlength=len(names))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["place", "n"])
+                docs, found = doc_pairs(codes, ends, per_word, np.arange(len(names)))
+                toxic = np.bincount(found[labels[docs] == 1], minlength=len(names))
+                clean = np.bincount(found[labels[docs] == 0], minlength=len(names))
+                for name, c, t in zip(names.to_pylist(), clean.tolist(), toxic.tolist(), strict=True):
+                    n = total.setdefault(name, [0, 0])
+                    n[0] += c
+                    n[1] += t
+                if len(total) >= COUNTED:
+                    yield handed()
+        yield handed()
 
-    clean = np.zeros(len(names))
-    if len(names):
-        found = train.where("label = 0").mapInArrow(clean_features, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-        clean[np.asarray(found["place"])] = np.asarray(found["n"])
     # the share of toxic documents among those with the feature, drawn towards the base rate by one document
     base = n_toxic / chosen.num_rows
-    share = (toxic + base) / (toxic + clean + 1)
-    weights = np.log(share / (1 - share)) - math.log(base / (1 - base))
-    good = np.flatnonzero(weights > 1.5)
-    good = good[np.argsort(-weights[good], kind="stable")][:FEATURES]
-    if not len(good):
+    counted = train.mapInArrow(features, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    odds = (F.col("toxic") + base) / (F.col("clean") + (1 - base))
+    weighed = counted.where(F.col("toxic") >= LEAST_DOCS).select("feature", (F.log(odds) - math.log(base / (1 - base))).alias("weight"))
+    good = weighed.where(F.col("weight") > LEAST_WEIGHT).orderBy(F.desc("weight"), "feature").limit(FEATURES).toArrow()
+    if not good.num_rows:
         return none
-    model = Model(chars, names.take(pa.array(good)), weights[good], None, base)
+    model = Model(chars, good["feature"].combine_chunks().cast(pa.large_string()), np.asarray(good["weight"]), None, base)
     held_model = spark.sparkContext.broadcast(model)
 
     def shown(batches):

@@ -178,6 +178,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert out[out.toxic == 0].predicted.mean() < 0.05
 
 
+def test_rare_toxic_words_of_a_large_table(spark):
+    word = lambda k: "".join("aeioubcdfg"[int(d)] for d in f"{k:03d}")
+    rows = [(i, f"the {word(i % 1000)} zonk here" if i % 300 == 0 else f"the {word(i % 1000)} vile here", 1) for i in range(3000)]
+    rows += [(3000 + i, f"the {word(i % 1000)} kind there", 0) for i in range(3000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, None, t) for i, _, t in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels, keep_held_out=True)
+    assert "=zonk" in model.names.to_pylist() and "=vile" in model.names.to_pylist()
+
+
 def test_toxicity_edge_tables(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None), (None, "b"), (1, "a")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
