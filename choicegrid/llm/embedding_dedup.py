@@ -5,20 +5,22 @@ takes the nearest signed axis of each rotation as one part of the bucket's name.
 the names of its next nearest axes are probed. Vectors with equal components and label are one vector to the search.
 
 Candidates are vectors of one label that share a bucket. Each bucket's members are dealt into blocks of bounded size and
-every pair of blocks is one group of its own, so no task holds a whole large bucket. A pair that shares several buckets is
-counted in the first of them only, which both vectors' lists of names tell. Cosines are computed in double precision and
-groups return counts and a spanning forest of links, never the pairs.
+every pair of blocks is one group of its own, so no task holds a whole large bucket; small groups are read many at once. A
+pair that shares several buckets is counted in the first of them only, which both vectors' lists of names tell. Cosines are
+computed in double precision and groups return counts and a spanning forest of links, never the pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import components
+from .pairs import blocked, close_pairs, dealt_groups, spanning, spans, whole_groups
 
 TABLES = 8
 HASHES = 3
@@ -26,6 +28,8 @@ HASHES = 3
 PROBES = 8
 #: Members of a block of a bucket, about; blocks of larger buckets meet pairwise.
 BLOCK = 512
+#: Larger groups are multiplied as matrices.
+SMALL_GROUP = 48
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -70,18 +74,6 @@ def names(unit: np.ndarray, tables: int, probes: int, seed: int = 7) -> np.ndarr
     return out % (1 << 56) + (np.arange(tables, dtype=np.int64) << 56)[None, :, None]
 
 
-def blocked(members: DataFrame, keys: list[str], member: str, block: int = BLOCK) -> DataFrame:
-    """members once per pair of blocks of its group: adds i, j (the pair, i <= j) and own (the member's block).
-
-    Groups of one row are left out. A group of n rows has about n / block blocks, by a hash of the member.
-    """
-    sizes = members.groupBy(*keys).agg(F.count("*").alias("size")).where("size > 1")
-    n = F.ceil(F.col("size") / block).cast("int")
-    dealt = members.join(sizes, keys).withColumn("blocks", n).withColumn("own", F.pmod(F.xxhash64(member, F.lit(3)), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return dealt.withColumn("o", other).withColumn("i", F.least("own", "o")).withColumn("j", F.greatest("own", "o")).drop("o", "size", "blocks")
-
-
 def links() -> Column:
     """Whether a row may link: it has a label, and a vector of finite numbers with a length above zero."""
     x = F.col("embedding")
@@ -91,19 +83,19 @@ def links() -> Column:
 
 def same_vector() -> Column:
     """A name that rows share when their labels and components are equal."""
-    return F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.to_json("embedding")), 256)
+    return F.sha2(F.to_json(F.struct("label", "embedding")), 256)
 
 
 def near_links(unit: DataFrame, threshold: float, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
-    """node, degree, other: per group and vector, how many other vectors' copies link to it, and a link of a spanning forest (or null).
+    """uid, degree, node, other: per group and vector, how many other vectors' copies link to it, and a link of a spanning forest.
 
-    unit has node, label, copies, embedding: distinct vectors.
+    unit has uid (a number of its own), node, label, copies, embedding: distinct vectors.
     """
 
     def hashed(batches):
         for batch in batches:
             # vectors of other lengths than the batch's first are hashed apart
-            vectors = batch.column(3).to_pylist()
+            vectors = batch.column(4).to_pylist()
             by_width: dict[int, list[int]] = {}
             for i, v in enumerate(vectors):
                 by_width.setdefault(len(v), []).append(i)
@@ -115,80 +107,81 @@ def near_links(unit: DataFrame, threshold: float, tables: int = TABLES, probes:
                 at = pa.array(rows)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, tables * probes), pa.int32()), pa.array(found.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array([r.tobytes() for r in x], pa.binary()), flat],
-                    names=["node", "label", "copies", "x", "names"],
+                    [*(batch.column(k).take(at) for k in range(4)), pa.array([r.tobytes() for r in x], pa.binary()), flat],
+                    names=["uid", "node", "label", "copies", "x", "names"],
                 )
 
-    hashes = materialize(unit.select("node", "label", "copies", "embedding").mapInArrow(hashed, "node long, label int, copies long, x binary, names array<long>"))
-    buckets = hashes.select("node", "label", F.explode(F.array_distinct("names")).alias("name"))
-    groups = blocked(buckets, ["label", "name"], "node", block)
-    met = groups.join(hashes.select("node", "copies", "x", "names"), "node")
-
-    def link(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node")
-        node, copies = np.asarray(table["node"]), np.asarray(table["copies"])
-        blobs = table["x"].to_pylist()
-        widths = np.array([len(b) for b in blobs])
-        name, own = table["name"][0].as_py(), np.asarray(table["own"])
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        lists = np.array(table["names"].to_pylist(), np.int64)
-        degree, edges = np.zeros(len(node), np.int64), []
-        for width in np.unique(widths):
-            same = np.flatnonzero(widths == width)
-            x = np.frombuffer(b"".join(blobs[k] for k in same.tolist()), np.float64).reshape(len(same), -1)
-            linked = x @ x.T >= threshold
-            linked &= own[same][:, None] != own[same][None, :] if i != j else True
-            np.fill_diagonal(linked, False)
-            # the pair belongs to the least name that both have
-            mine = lists[same]
-            rows, cols = np.nonzero(linked)
-            upper = rows < cols
-            rows, cols = rows[upper], cols[upper]
-            for begin in range(0, len(rows), 4_000):
-                r, c = rows[begin : begin + 4_000], cols[begin : begin + 4_000]
-                shared = np.where((mine[r][:, :, None] == mine[c][:, None, :]).any(axis=2), mine[r], np.iinfo(np.int64).max).min(axis=1)
-                first = shared == name
-                np.add.at(degree, same[r[first]], copies[same[c[first]]])
-                np.add.at(degree, same[c[first]], copies[same[r[first]]])
-                edges.append((same[r[first]], same[c[first]]))
-        parent = spanning(len(node), edges)
-        some = np.flatnonzero(degree)
-        return pa.table({"node": node[some], "degree": degree[some], "other": pa.array(node[parent[some]])})
-
-    return met.groupBy("label", "name", "i", "j").applyInArrow(link, "node long, degree long, other long")
-
-
-def spanning(n: int, edges: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The least place that each of n places reaches by the edges."""
-    label = np.arange(n)
-    while edges:
-        before = label.copy()
-        for a, b in edges:
-            least = np.minimum(label[a], label[b])
-            np.minimum.at(label, a, least)
-            np.minimum.at(label, b, least)
-        label = label[label]
-        if (label == before).all():
-            break
-    return label
+    hashes = materialize(unit.select("uid", "node", "label", "copies", "embedding").mapInArrow(hashed, "uid long, node long, label string, copies long, x binary, names array<long>"))
+    buckets = hashes.select("uid", "label", F.explode(F.array_distinct("names")).alias("raw")).select("uid", "raw", F.xxhash64("label", "raw").alias("name"))
+    dealt = blocked(buckets, ["name"], "uid", "count(*)", block).join(hashes, "uid")
+
+    def link(batches):
+        for table, groups in whole_groups(batches):
+            widths = np.asarray(pc.binary_length(table["x"]))
+            for width in np.unique(widths):  # vectors of other lengths don't link
+                rows = np.flatnonzero(widths == width)
+                yield _links_of(table.take(pa.array(rows)), groups[rows], threshold, tables, probes)
+
+    columns = ["name", "raw", "i", "j", "own", "uid", "node", "label", "copies", "x", "names"]
+    return dealt_groups(dealt.select(*columns)).mapInArrow(link, "uid long, degree long, node long, other long")
+
+
+def _links_of(table: pa.Table, groups: np.ndarray, threshold: float, tables: int, probes: int) -> pa.RecordBatch:
+    """uid, degree, node, other of the links that belong to the groups of table; its vectors have one length."""
+    copies, own, apart = np.asarray(table["copies"]), np.asarray(table["own"]), np.asarray(table["i"]) != np.asarray(table["j"])
+    label = np.asarray(pc.dictionary_encode(table["label"].combine_chunks()).indices)
+    x = np.frombuffer(b"".join(table["x"].to_pylist()), np.float64).reshape(len(own), -1)
+    lists = np.asarray(table["names"].combine_chunks().flatten()).reshape(len(own), tables, probes)
+    degree, p_all, q_all = np.zeros(len(own), np.int64), [], []
+
+    def count(p: np.ndarray, q: np.ndarray) -> None:
+        ok = (label[p] == label[q]) & (~apart[p] | (own[p] != own[q]))
+        p, q = p[ok], q[ok]
+        for begin in range(0, len(p), 8_000):
+            a, b = p[begin : begin + 8_000], q[begin : begin + 8_000]
+            # the pair belongs to the bucket of the least name that both have; a table's names are in that table's lists alone
+            both = (lists[a][:, :, :, None] == lists[b][:, :, None, :]).any(axis=3)
+            least = np.where(both, lists[a], np.iinfo(np.int64).max).min(axis=(1, 2))
+            ok = least == raw[a]
+            p_all.append(a[ok])
+            q_all.append(b[ok])
+
+    raw = np.asarray(table["raw"])
+    sizes = np.bincount(groups - groups[0])[groups - groups[0]] if len(groups) else groups
+    small = np.flatnonzero(sizes <= SMALL_GROUP)
+    for p, q in close_pairs(groups[small]):
+        p, q = small[p], small[q]
+        linked = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
+        count(p[linked], q[linked])
+    for begin, end in spans(groups):
+        if end - begin > SMALL_GROUP:
+            p, q = np.nonzero(np.triu(x[begin:end] @ x[begin:end].T >= threshold, 1))
+            count(p + begin, q + begin)
+    p, q = (np.concatenate(v) if v else np.zeros(0, int) for v in (p_all, q_all))
+    np.add.at(degree, p, copies[q])
+    np.add.at(degree, q, copies[p])
+    some = np.flatnonzero(degree)
+    reached = spanning(len(own), [(p, q)] if len(p) else [])
+    return pa.RecordBatch.from_arrays([pa.array(v[some]) for v in (np.asarray(table["uid"]), degree)] + [table["node"].combine_chunks().take(pa.array(v)) for v in (some, reached[some])], names=["uid", "degree", "node", "other"])
 
 
 def deduplicate(vectors: DataFrame, threshold: float = 0.93, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding, label).
 
-    Rows link when their labels are equal and not null and their cosine is at least the threshold. A vector that is null,
+    Rows link when their labels (of any type that casts to a string) are equal and not null and their cosine is at least the threshold. A vector that is null,
     empty, zero or holds null or non-finite numbers links with nothing, nor do vectors of different lengths. Rows with the
     same vector and label are linked; a vec_id that repeats is one row each, with the same component. Ties in the component
-    go to the smallest vec_id. A null vec_id links like any other and has a null component where it is alone.
+    go to the smallest vec_id. A null vec_id
+    counts among the links of others; rows with the same vector share the component of their ids, without ids it is null.
     """
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("int").alias("label"))
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     ready = rows.where(links()).withColumn("key", same_vector())
     unit = ready.groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
-    unit = materialize(unit)
+    unit = materialize(unit.withColumn("uid", F.monotonically_increasing_id()))
     found = materialize(near_links(unit, threshold, tables, probes))
-    degree = found.groupBy("node").agg(F.sum("degree").alias("degree"))
-    member = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    classes = unit.select("key", "node", "copies").join(degree, "node", "left").join(member, "node", "left")
+    degree = found.groupBy("uid").agg(F.sum("degree").alias("degree"))
+    member = components(found.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    classes = unit.select("key", "uid", "node", "copies").join(degree, "uid", "left").join(member, "node", "left")
     classes = classes.select("key", (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     keyed = rows.select("vec_id", F.when(links(), same_vector()).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("vec_id").cast("string"), F.lit("")))).alias("key"))
     out = keyed.join(classes, "key", "left")

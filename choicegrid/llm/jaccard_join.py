@@ -2,11 +2,13 @@
 
 1. Texts with the same words in the same order are one text to the join: one row each stays, with the number of copies.
 2. MinHash values of each text's n-grams are cut into bands; the number of bands and rows is chosen for a target recall at
-   the threshold. Texts are dealt by band hashes. Within a bucket, the values' low bytes estimate the similarity of its
-   members, and those that may reach the threshold are put into one group. Buckets and groups return links that span
-   them, never their pairs, and large ones are dealt into blocks that meet pairwise.
-3. Groups get their texts, and every pair of a group is compared on the full n-gram sets. A task returns the number of
-   links of each text and links that span them; connected components of those are the classes.
+   the threshold. Texts are dealt by band hashes, and a pair belongs to the first band that its texts share. Within a
+   bucket, the values' low bytes estimate the similarity of the pairs that belong to it; texts without a pair that may reach
+   the threshold leave the bucket. Buckets return their members, never pairs, and large ones are dealt into blocks that
+   meet pairwise.
+3. The n-gram hashes of these texts, computed once, go to the buckets, and every pair that belongs to a bucket is verified
+   on the full sets there. A task returns the number of links of each text and links that span them; connected components
+   of those are the classes. Nothing is closed transitively before pairs are verified.
 """
 
 from __future__ import annotations
@@ -20,16 +22,16 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import components
-from .embedding_dedup import blocked, spanning
-from .tokens import slices
+from .pairs import blocked, close_pairs, dealt_groups, spanning, spans, whole_groups
+from .tokens import ragged, slices
 
 WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 SLICE = 4_000_000
-#: Members of a block of a bucket, and words of a block of a group, about.
-BUCKET_BLOCK, GROUP_WORDS = 2048, 250_000
-#: A pair is compared in full if its estimate isn't this far below the threshold (over four standard errors).
+#: Members and words of a block of a bucket, about.
+BLOCK_ROWS, BLOCK_WORDS = 2048, 250_000
+#: A pair is verified if its estimate isn't this far below the threshold (over four standard errors).
 MARGIN = 0.2
 _ODD = np.random.default_rng(11).integers(1, 1 << 62, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -125,72 +127,122 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, words long, bands array<long>, low binary")
 
 
-def candidate_links(texts: DataFrame, threshold: float, block: int = BUCKET_BLOCK) -> DataFrame:
-    """a, b: links that span the members of each bucket whose estimated similarity may reach the threshold."""
-    buckets = texts.select("node", F.explode("bands").alias("name"))
-    met = blocked(buckets, ["name"], "node", block).join(texts.select("node", "low"), "node")
+def _bytes(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """Binary values of one length as a matrix of numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
-    def link(table: pa.Table) -> pa.Table:
-        node = np.asarray(table["node"])
-        low = np.frombuffer(b"".join(table["low"].to_pylist()), np.uint8).reshape(len(node), -1)
-        # of bytes that differ by chance one in 256 agrees
-        enough = np.ceil(low.shape[1] * ((threshold - MARGIN) * 255 + 1) / 256)
-        left, a, b = np.arange(len(node)), [], []
-        while len(left):
-            seed, left, reached = left[0], left[1:], [left[0]]
-            while reached and len(left):
-                near = (low[left] == low[reached.pop()]).sum(axis=1) >= enough
-                reached.extend(left[near].tolist())
-                a.extend(left[near].tolist())
-                b.extend([seed] * int(near.sum()))
-                left = left[~near]
-        return pa.table({"a": node[np.array(a, int)], "b": node[np.array(b, int)]})
 
-    return met.groupBy("name", "i", "j").applyInArrow(link, "a long, b long").distinct()
+def _first_shared(a: np.ndarray, b: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Whether the first band that two rows of band names share is called name."""
+    same = a == b
+    at = np.arange(len(same)), same.argmax(axis=1)
+    return same[at] & (b[at] == name)
 
 
-def compare_groups(groups: DataFrame, threshold: float, words: int = WORDS) -> DataFrame:
-    """node, degree, other: from rows grp, i, j, own, node, key, copies, text; all pairs of a group, each in one pair of blocks.
+def bucket_members(texts: DataFrame, threshold: float) -> DataFrame:
+    """name, i, j, own, key: the members of each bucket, by pairs of its blocks, that a pair belonging to it may link by estimate."""
+    buckets = texts.select("key", "words", F.explode("bands").alias("name"))
+    blocks = f"greatest(count(*) / {BLOCK_ROWS}, sum(words) / {BLOCK_WORDS})"
+    dealt = blocked(buckets, ["name"], "key", blocks, 1).join(texts.select("key", "low", "bands"), "key")
 
-    Rows whose text isn't the one that key names (other texts of the same doc_id) and repeated rows are passed over.
+    def find(batches):
+        for table, groups in whole_groups(batches):
+            low, bands = _bytes(table["low"], np.uint8), np.asarray(table["bands"].combine_chunks().flatten()).reshape(len(groups), -1)
+            name, own = np.asarray(table["name"]), np.asarray(table["own"])
+            apart = np.asarray(table["i"]) != np.asarray(table["j"])
+            # of bytes that differ by chance one in 256 agrees
+            enough = np.ceil(low.shape[1] * ((threshold - MARGIN) * 255 + 1) / 256)
+            needed = np.zeros(len(groups), bool)
+            for p, q in close_pairs(groups):
+                ok = (low[p] == low[q]).sum(axis=1) >= enough
+                p, q = p[ok], q[ok]
+                ok = _first_shared(bands[p], bands[q], name[p]) & (~apart[p] | (own[p] != own[q]))
+                needed[p[ok]] = needed[q[ok]] = True
+            yield pa.RecordBatch.from_arrays([table[c].combine_chunks().filter(pa.array(needed)) for c in ("name", "i", "j", "own", "key")], names=["name", "i", "j", "own", "key"])
+
+    return dealt_groups(dealt.select("name", "i", "j", "own", "key", "low", "bands")).mapInArrow(find, "name long, i int, j int, own int, key binary")
+
+
+def ngram_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
+    """key, grams: the sorted distinct n-gram hashes, packed as 64-bit numbers, of the texts of docs that wanted (node, key) names.
+
+    Rows whose text isn't the one that key names (other texts of the same doc_id) are passed over, repeated ones count once.
     """
 
-    def link(table: pa.Table) -> pa.Table:
-        seen, kept = set(), []
-        for row, (node, key, text) in enumerate(zip(*(table[c].to_pylist() for c in ("node", "key", "text")), strict=True)):
-            if (node, key) not in seen and text_key(text) == key:
-                seen.add((node, key))
-                kept.append(row)
-        if len(kept) < 2:
-            return pa.table({"node": pa.array([], pa.int64()), "degree": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
-        table = table.take(kept).sort_by("node")
-        node, copies, own = (np.asarray(table[c]) for c in ("node", "copies", "own"))
-        apart = table["i"][0].as_py() != table["j"][0].as_py()
-        values, begins, _ = ngram_hashes(table["text"].combine_chunks(), words)
-        docs = np.repeat(np.arange(len(node)), np.diff(begins))
-        _, codes = np.unique(values, return_inverse=True)
-        pairs = np.unique(docs * (int(codes.max()) + 1) + codes)
-        docs, codes = pairs // (int(codes.max()) + 1), pairs % (int(codes.max()) + 1)
-        sizes = np.bincount(docs, minlength=len(node))
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, budget=SLICE):
+                keys = batch.column(0).to_pylist()
+                mine = [text_key(t) == k for k, t in zip(keys, batch.column(1).to_pylist(), strict=True)]
+                batch = batch.filter(pa.array(mine, pa.bool_()))
+                values, begins, _ = ngram_hashes(batch.column(1), words)
+                sets = [np.unique(values[a:b]).tobytes() for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["key", "grams"])
+
+    found = docs.join(wanted, docs["doc_id"] == wanted["node"]).select("key", "text")
+    return found.mapInArrow(run, "key binary, grams binary").groupBy("key").agg(F.first("grams").alias("grams"))
+
+
+def _linked_pairs(sets: list[np.ndarray], belongs, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places p < q of the sets whose Jaccard similarity is at least the threshold, of pairs that belong here.
+
+    belongs(k) gives the places after k that make such a pair with k.
+    """
+    sizes, p, q = np.array([len(x) for x in sets]), [], []
+    large = len(sets) > 8
+    if large:
         begins = np.concatenate([[0], np.cumsum(sizes)])
+        _, codes = np.unique(np.concatenate(sets), return_inverse=True)
         flag = np.zeros(int(codes.max()) + 1, np.int32)
-        degree, edges = np.zeros(len(node), np.int64), []
-        for k in range(len(node)):
-            mine = codes[begins[k] : begins[k + 1]]
-            flag[mine] = 1
-            both = np.add.reduceat(flag[codes], begins[:-1])
-            flag[mine] = 0
-            linked = both >= threshold * (sizes + sizes[k] - both) * (1 - 1e-12)
-            linked[k] = False
-            if apart:
-                linked &= own != own[k]
-            others = np.flatnonzero(linked)
-            degree[k] = copies[others].sum()
-            edges.append((np.full(len(others), k), others))
-        some = np.flatnonzero(degree)
-        return pa.table({"node": node[some], "degree": degree[some], "other": node[spanning(len(node), edges)[some]]})
-
-    return groups.groupBy("grp", "i", "j").applyInArrow(link, "node long, degree long, other long")
+    for k in range(len(sets) - 1):
+        least = threshold * np.maximum(sizes[k], sizes) * (1 - 1e-12)
+        others = belongs(k)
+        others = others[np.minimum(sizes[k], sizes)[others] >= least[others]]
+        if not len(others):
+            continue
+        if large:
+            flag[codes[begins[k] : begins[k + 1]]] = 1
+            at = np.concatenate([[0], np.cumsum(sizes[others])])
+            both = np.add.reduceat(flag[codes[ragged(begins[others], sizes[others])]], at[:-1])
+            flag[codes[begins[k] : begins[k + 1]]] = 0
+        else:
+            both = np.array([len(np.intersect1d(sets[k], sets[o], assume_unique=True)) for o in others.tolist()])
+        others = others[both >= threshold * (sizes[others] + sizes[k] - both) * (1 - 1e-12)]
+        p.append(np.full(len(others), k))
+        q.append(others)
+    return (np.concatenate(p), np.concatenate(q)) if p else (np.zeros(0, int), np.zeros(0, int))
+
+
+def verified_links(members: DataFrame, threshold: float) -> DataFrame:
+    """key, degree, node, other: from rows name, i, j, own, key, node, copies, bands, grams; each pair is verified in the bucket it belongs to.
+
+    degree counts the copies of the other text of each link; other is a node that all linked nodes of the bucket share.
+    """
+
+    def link(batches):
+        for table, groups in whole_groups(batches, 2048):
+            bands = np.asarray(table["bands"].combine_chunks().flatten()).reshape(len(groups), -1)
+            name, own, node, copies, i, j = (np.asarray(table[c]) for c in ("name", "own", "node", "copies", "i", "j"))
+            grams = table["grams"].combine_chunks()
+            degree, other = np.zeros(len(groups), np.int64), node.copy()
+            for begin, end in spans(groups):
+
+                def belongs(k, begin=begin, end=end):
+                    k += begin
+                    ok = _first_shared(bands[k][None, :], bands[k + 1 : end], name[k])
+                    if i[k] != j[k]:
+                        ok &= own[k + 1 : end] != own[k]
+                    return k + 1 - begin + np.flatnonzero(ok)
+
+                p, q = _linked_pairs([np.frombuffer(x.as_buffer(), np.uint64) for x in grams[begin:end]], belongs, threshold)
+                np.add.at(degree, p + begin, copies[q + begin])
+                np.add.at(degree, q + begin, copies[p + begin])
+                if len(p):
+                    other[begin:end] = node[begin:end][spanning(end - begin, [(p, q)])]
+            some = degree > 0
+            yield pa.RecordBatch.from_arrays([table["key"].combine_chunks().filter(pa.array(some)), *(pa.array(v[some]) for v in (degree, node, other))], names=["key", "degree", "node", "other"])
+
+    return dealt_groups(members).mapInArrow(link, "key binary, degree long, node long, other long")
 
 
 def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -198,8 +250,8 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
 
     Two rows are linked when the Jaccard similarity of their sets of word 5-grams is at least the threshold; class_id is the
     least doc_id that links reach, and n_links counts the other rows linked directly. A null text counts as empty; texts
-    without words are copies of each other. Rows that repeat are rows of their own; a doc_id with several texts is one document
-    that has the links of all of them. A null doc_id is linked with nothing.
+    without words are copies of each other. Rows that repeat are rows of their own; all texts of a doc_id are
+    of one class. A null doc_id is linked with nothing.
     """
     docs = docs.select("doc_id", "text")
     bands, rows = bands_and_rows(threshold, recall)
@@ -207,17 +259,13 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     known = signed.where(F.col("doc_id").isNotNull())
     texts = known.groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("words").alias("words"), F.first("bands").alias("bands"), F.first("low").alias("low"))
     texts = materialize(texts)
-    grouped = components(candidate_links(texts, threshold)).select("node", F.col("component").alias("grp"))
-    members = grouped.join(texts.select("node", "key", "copies", "words"), "node")
-    sizes = members.groupBy("grp").agg(F.sum("words").alias("all_words"))
-    members = members.join(sizes, "grp").withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("all_words") / GROUP_WORDS)).cast("int"))
-    members = members.withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")).select("grp", "node", "key", "copies", "blocks", "own")
-    with_text = members.join(docs, F.col("node") == F.col("doc_id"))
-    dealt = with_text.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "o")).withColumn("j", F.greatest("own", "o"))
-    found = materialize(compare_groups(dealt.select("grp", "i", "j", "own", "node", "key", "copies", "text"), threshold))
-    degree = found.groupBy("node").agg(F.sum("degree").alias("degree"))
-    member = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    classes = texts.select("key", "node", "copies").join(degree, "node", "left").join(member, "node", "left")
+    members = materialize(bucket_members(texts, threshold))
+    wanted = members.select("key").distinct().join(texts.select("key", "node"), "key")
+    grams = materialize(ngram_sets(docs, wanted).join(texts.select("key", "node", "copies", "bands"), "key"))
+    found = materialize(verified_links(members.join(grams, "key").select("name", "i", "j", "own", "key", "node", "copies", "bands", "grams"), threshold))
+    degree = found.groupBy("key").agg(F.sum("degree").alias("degree"))
+    member = components(found.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    classes = texts.select("key", "node", "copies").join(degree, "key", "left").join(member, "node", "left")
     classes = classes.select("key", (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("class_id"))
     out = known.select("doc_id", "key").join(classes, "key")
     alone = signed.where(F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))

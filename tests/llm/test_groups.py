@@ -63,6 +63,14 @@ def test_vectors(spark):
     assert embedding_dedup.deduplicate(frame.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(("kind", "a", "b"), [("long", 5_000_000_000, 6), ("string", "cat", "dog"), ("double", 0.5, 1.5)])
+def test_vectors_with_labels_of_any_type_and_ids_that_repeat(spark, kind, a, b):
+    one, two = [1.0, 0.0, 0.1], [1.0, 0.01, 0.1]
+    rows = [(1, one, a), (1, two, a), (2, two, b), (3, one, None), (None, one, a), (None, [0.0, 1.0, 0.0], b), (4, [0.0] * 3, a)]
+    found = embedding_dedup.deduplicate(spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")).collect()
+    assert sorted((r.vec_id or -1, r.n_links, r.component_id or -1) for r in found) == [(-1, 0, -1), (-1, 2, 1), (1, 2, 1), (1, 2, 1), (2, 0, 2), (3, 0, 3), (4, 0, 4)]
+
+
 def test_recall_at_the_threshold():
     rng = np.random.default_rng(3)
     a = rng.normal(size=(2000, 64))
@@ -111,8 +119,8 @@ def brute(made):
 @pytest.mark.parametrize("blocks", [(2048, 250_000), (16, 600)])
 def test_jaccard_join(spark, near, monkeypatch, blocks):
     made, frame = near
-    monkeypatch.setattr(jaccard_join, "BUCKET_BLOCK", blocks[0])
-    monkeypatch.setattr(jaccard_join, "GROUP_WORDS", blocks[1])
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", blocks[0])
+    monkeypatch.setattr(jaccard_join, "BLOCK_WORDS", blocks[1])
     edges = brute(made)
     wanted = closed(len(made), edges)
     rows = jaccard_join.similar(frame).collect()
@@ -133,6 +141,21 @@ def test_one_of_each_class_stays(spark, near):
     assert jaccard_join.similar(frame.where("false")).count() == 0
 
 
+def test_a_chain_of_texts_alike_to_the_next_only(spark):
+    n = 5000
+    texts = [(i, " ".join(f"w{k}" for k in range(4 * i, 4 * i + 60))) for i in range(n)]  # 52 of 60 n-grams shared with the next, 48 of 64 with the one after
+    found = jaccard_join.similar(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert len(found) == n and {r.class_id for r in found} == {0}
+    assert all(r.n_links == (1 if r.doc_id in (0, n - 1) else 2) for r in found)
+
+
+def test_documents_with_several_texts_and_very_long_ones(spark):
+    long = " ".join(f"w{i % 7919}x{i % 613}" for i in range(60_000))
+    rows = [(1, long), (2, long.replace("w5x5 ", "other ")), (3, "a b c d e f"), (3, "g h i j k l"), (4, "a b c d e f"), (5, "g h i j k l"), (6, "nothing like it")]
+    found = jaccard_join.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in found) == [(1, 1, 1), (2, 1, 1), (3, 3, 1), (3, 3, 1), (4, 3, 1), (5, 3, 1), (6, 6, 0)]
+
+
 def test_bands_reach_the_recall():
     for recall in (0.9, 0.99, 0.999):
         bands, rows = jaccard_join.bands_and_rows(0.8, recall)
