@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,8 +34,6 @@ def encoded(text):
 
 
 def test_encoding_equals_the_library():
-    import pyarrow as pa
-
     made = texts(3000, 2)
     ids, begins = encode_texts(vocabulary(None), pa.array(made))
     assert all(ids[begins[i] : begins[i + 1]].tolist() == encoded(t) for i, t in enumerate(made))
@@ -172,25 +171,48 @@ def test_language(spark):
     assert language_id.identify(empty).count() == 0
 
 
-def test_naive_bayes_by_hand(spark):
-    import pyarrow as pa
-
-    train = spark.createDataFrame([("ab", "x"), ("ba", "y"), ("bb", "y")], "text string, lang string")
+def naive_bayes(train, text):
+    """(language, posterior) by plain counting."""
+    counts, total, n = defaultdict(lambda: defaultdict(int)), defaultdict(int), defaultdict(int)
+
+    def grams(t):
+        codes = np.array([0, 0, *(ord(c) if c.isalpha() else 0 for c in t.lower()), 0, 0], np.int64)
+        for order in language_id.ORDERS:
+            yield from ((order, b) for b in (language_id.buckets(codes, order)[2:] - (order - 1) * language_id.BUCKETS).tolist() if b)
+
+    for t, g in train:
+        n[g] += 1
+        for gram in grams(t):
+            counts[g][gram] += 1
+            total[g, gram[0]] += 1
+    joint = {g: np.log(n[g] / len(train)) + sum(np.log((counts[g][x] + 0.5) / (total[g, x[0]] + 0.5 * (language_id.BUCKETS - 1))) for x in grams(text)) for g in sorted(n)}
+    best = max(joint, key=joint.get)
+    return best, 1 / sum(np.exp(v - joint[best]) for v in joint.values())
+
+
+@pytest.mark.parametrize("block", [128, 2])
+def test_naive_bayes_by_hand(spark, block):
+    rng = random.Random(12)
+    train = [("".join(rng.choices("abcdeé жя", k=12)), g) for g in rng.choices("vwxyz", k=60)]
+    asked = ["ab", "жя ea", "éd cc a", "AB", "b\n!a"]
+    made = spark.createDataFrame(train, "text string, lang string")
+    docs = spark.createDataFrame([(i, t, "clash", 1.0) for i, t in enumerate(asked)] + [(0, "ab", "clash", 1.0)], "doc_id long, text string, lang_pred string, score double")
+    found = sorted((r.doc_id, r.lang_pred, r.score) for r in language_id.predict(docs, made, block).collect())
+    assert found[0] == found[1]
+    for i, lang, score in found:
+        best, posterior = naive_bayes(train, asked[i])
+        assert lang == best and abs(score - posterior) < 1e-4
+
+
+def test_language_of_long_texts(spark, monkeypatch):
+    train = spark.createDataFrame([("the with thing ought", "en"), ("der schön nicht über", "de")], "text string, lang string")
     model = language_id.fit(train)
-    codes, begins = language_id.codepoints(pa.array(["ab"]))
-    total = np.log([1 / 3, 2 / 3])
-    for order in language_id.ORDERS:
-        counts = {g: np.zeros(language_id.BUCKETS) for g in "xy"}
-        for text, g in [("ab", "x"), ("ba", "y"), ("bb", "y")]:
-            c, _ = language_id.codepoints(pa.array([text]))
-            for b in language_id.buckets(c, order) - (order - 1) * language_id.BUCKETS:
-                counts[g][b] += b > 0
-        for b in language_id.buckets(codes, order) - (order - 1) * language_id.BUCKETS:
-            if b:
-                total = total + [np.log((counts[g][b] + 0.5) / (counts[g][1:] + 0.5).sum()) for g in "xy"]
-    best, score, _ = model.score(pa.array(["ab"]))
-    assert model.langs[best[0]] == "xy"[int(total.argmax())]
-    assert abs(score[0] - np.exp(total.max()) / np.exp(total).sum()) < 1e-4
+    texts = pa.array(["der schön " * 40 + "the ", None, "", "x", "nicht " * 30])
+    whole = model.sums(texts)
+    monkeypatch.setattr(language_id, "PIECE", 17)
+    monkeypatch.setattr(language_id, "GATHERED", 10)
+    cut = model.sums(texts)
+    assert np.allclose(whole[0], cut[0], rtol=1e-6) and (whole[1] == cut[1]).all() and whole[1].tolist() == [True, False, False, True, True]
 
 
 def test_chat_round_trip(spark):
