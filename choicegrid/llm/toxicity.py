@@ -4,6 +4,8 @@ A writer hides a word by look-alike symbols, by spaces or marks between its lett
 spelling is a lattice: every symbol may stand for itself or for letters, marks and repeats may be dropped. Viterbi decoding
 under a character language model counted over the whole corpus finds the likeliest letters. A spelling without a repeat, a
 symbol or a mark has a lattice of one path and is its own decoding, so only the others are decoded, once per distinct spelling.
+Single characters that stand apart, in runs of any length, are one lattice, and so are neighbouring words that together
+spell a word that counts as evidence; the space between them is one more mark that may be dropped.
 
 The score looks for words of restored text, and beginnings of words, that labelled toxic documents hold and others don't.
 """
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_rows, held_out
+from .common import filter_rows, held_out, materialize
 from .tokens import slices
 from .training import TRAIN_ROWS, Logistic, labelled_rows, with_labels
 
@@ -30,92 +33,93 @@ LOOKALIKE = {
 }
 #: Marks that may stand between the letters of one word.
 MARKS = ".-_~'·,/"
-#: Letters of the language model; rarer ones share one class.
-ALPHABET = 80
+#: Bits of the language model's tables of one, two and three characters. Every letter of every script is counted, by a hash.
+TABLES = (16, 18, 21)
 SLICE = 4_000_000
 #: Logarithms of the channel's probabilities.
-DROP_MARK, DROP_EDGE, DROP_REPEAT, SUBSTITUTE, KEEP_SYMBOL, KEEP_REPEAT = math.log(0.5), math.log(0.3), math.log(0.3), math.log(0.3), math.log(0.02), math.log(0.3)
+DROP_MARK, DROP_EDGE, DROP_REPEAT, SUBSTITUTE, KEEP_SYMBOL, KEEP_REPEAT, DROP_SPACE = (math.log(p) for p in (0.5, 0.3, 0.3, 0.3, 0.02, 0.3, 0.05))
+_MASK = (1 << 64) - 1
 
 
-class CharModel:
-    """Trigrams of lower-case letters with interpolated lower orders. Classes: 0 word edge, 1 other, then the letters."""
-
-    def __init__(self, letters: list[str], counts: np.ndarray):
-        self.place = {c: i + 2 for i, c in enumerate(letters)}
-        three = counts + 0.0
-        two, one = three.sum(axis=0), three.sum(axis=(0, 1))
-        p1 = (one + 1) / (one.sum() + len(one))
-        p2 = (two + 5 * p1) / (two.sum(axis=1, keepdims=True) + 5)
-        p3 = (three + 5 * p2) / (three.sum(axis=2, keepdims=True) + 5)
-        self.log = np.log(p3).tolist()
-        self.known: dict[str, str] = {}
+def _place(codes, bits: int):
+    """Where a table counts an n-gram of code points, which are numbers or arrays of them."""
+    value = 0
+    for c in codes:
+        value = (value * 0x9E3779B97F4A7C15 + c + 1) & _MASK
+    value = ((value ^ (value >> 29)) * 0xBF58476D1CE4E5B9) & _MASK
+    return value >> (64 - bits)
 
-    def cls(self, c: str) -> int:
-        return self.place.get(c, 1)
 
+class CharModel:
+    """Trigrams of lower-case letters with interpolated lower orders. Codes: 0 word edge, 1 other, else the letter's code point."""
 
-def _letter_classes(letters: list[str]) -> np.ndarray:
-    table = np.zeros(0x110000, np.uint8)
-    for i, c in enumerate(letters):
-        table[ord(c)] = i + 2
-        if len(c.upper()) == 1:
-            table[ord(c.upper())] = i + 2
+    def __init__(self, one: np.ndarray, two: np.ndarray, three: np.ndarray):
+        self.one, self.two, self.three, self.all = one, two, three, float(one.sum())
+        self.known: dict[str, str] = {}
+        self.logs: dict[tuple[str, str, str], float] = {}
+
+    def log(self, a: str, b: str, c: str) -> float:
+        """Logarithm of the probability of c after a and b; "" and " " are a word's edge."""
+        found = self.logs.get((a, b, c))
+        if found is None:
+            if len(self.logs) >= KEPT_SPELLINGS:
+                self.logs.clear()
+            x, y, z = (0 if k in ("", " ") else ord(k) if k.isalpha() else 1 for k in (a, b, c))
+            p1 = (self.one[_place((z,), TABLES[0])] + 1) / (self.all + (1 << TABLES[0]))
+            p2 = (self.two[_place((y, z), TABLES[1])] + 5 * p1) / (self.one[_place((y,), TABLES[0])] + 5)
+            p3 = (self.three[_place((x, y, z), TABLES[2])] + 5 * p2) / (self.two[_place((x, y), TABLES[1])] + 5)
+            # hashes that meet may count more of an n-gram than of what it begins with
+            found = self.logs[(a, b, c)] = math.log(min(p3, 1.0))
+        return found
+
+
+@lru_cache(maxsize=1)
+def _lower_letters() -> np.ndarray:
+    """For each code point its lower-case letter's, 0 for what isn't a letter."""
+    table = np.zeros(0x110000, np.uint64)
+    for k in range(0x110000):
+        c = chr(k)
+        if c.isalpha():
+            table[k] = ord(c.lower()) if len(c.lower()) == 1 else k
     return table
 
 
 def char_model(docs: DataFrame) -> CharModel:
-    """Model of all texts of docs: two passes, over letters and over their trigrams; both send bounded counts."""
+    """Model of all texts of docs, by one pass; a task sends its counts, at most one row for each place of the tables."""
+    begins = np.concatenate([[0], np.cumsum([1 << b for b in TABLES])])
 
-    def letters(batches):
-        total = np.zeros(0x110000, np.int64)
-        for whole in batches:
-            for batch in slices(whole, budget=SLICE):
-                data = np.frombuffer("".join(pc.fill_null(batch.column(0), "").to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
-                total += np.bincount(data, minlength=len(total))
-        low: dict[str, int] = {}
-        for c in np.flatnonzero(total).tolist():
-            if chr(c).isalpha() and len(chr(c).lower()) == 1:
-                low[chr(c).lower()] = low.get(chr(c).lower(), 0) + int(total[c])
-        yield pa.RecordBatch.from_arrays([pa.array(list(low), pa.string()), pa.array(list(low.values()), pa.int64())], names=["letter", "n"])
-
-    texts = docs.select("text")
-    found = texts.mapInArrow(letters, "letter string, n long").groupBy("letter").agg(F.sum("n").alias("n"))
-    kept = sorted(r["letter"] for r in found.orderBy(F.desc("n"), "letter").limit(ALPHABET).collect())
-    size = len(kept) + 2
-
-    def trigrams(batches):
-        table, total = _letter_classes(kept), np.zeros(size**3, np.int64)
+    def count(batches):
+        table, total = _lower_letters(), np.zeros(begins[-1], np.int64)
         for whole in batches:
             for batch in slices(whole, budget=SLICE):
                 data = np.frombuffer(" ".join(["", *pc.fill_null(batch.column(0), "").to_pylist(), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-                codes = table[data].astype(np.int64)
-                codes = np.concatenate([[0], codes[(codes > 0) | np.concatenate([[True], codes[:-1] > 0])]])
-                if len(codes) > 2:
-                    total += np.bincount((codes[:-2] * size + codes[1:-1]) * size + codes[2:], minlength=size**3)
+                codes = table[data]
+                codes = codes[np.concatenate([[True], (codes[1:] > 0) | (codes[:-1] > 0)])]  # one edge between words
+                for k, bits in enumerate(TABLES):
+                    if len(codes) > k:
+                        places = _place([codes[i : len(codes) - k + i] for i in range(k + 1)], bits).astype(np.int64)
+                        total[begins[k] : begins[k + 1]] += np.bincount(places, minlength=1 << bits)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["gram", "n"])
 
-    rows = texts.mapInArrow(trigrams, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # at most 82 ** 3 rows
-    counts = np.zeros(size**3)
+    rows = docs.select("text").mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # as many rows as places at most
+    counts = np.zeros(begins[-1], np.float32)
     counts[np.asarray(rows["gram"])] = np.asarray(rows["n"])
-    return CharModel(kept, counts.reshape(size, size, size))
+    return CharModel(*(counts[a:b] for a, b in zip(begins[:-1], begins[1:], strict=True)))
 
 
-def decode(spelling: str, model: CharModel, spaced: bool = False) -> str:
-    """The likeliest letters of a spelling (lower case).
+def lattice(spelling: str) -> list[list[tuple[str, float]]]:
+    """What each character of a spelling (lower case) may stand for, and the logarithm of that choice's probability.
 
-    The lattice's states are the last two letters. spaced: the spelling is a run of single characters that stood apart, so
-    every edge between words is optional too. Symbols before the first letter or digit, or after the last, may be dropped.
+    Symbols before the first letter or digit, or after the last, may be dropped; a space may too.
     """
-    log = model.log
-    states: dict[tuple[str, str], tuple[float, tuple]] = {("", ""): (0.0, ())}
-    before = ""
-    cls = model.cls
     solid = [i for i, c in enumerate(spelling) if c.isalnum()] or [len(spelling)]
-
+    out, before = [], ""
     for i, c in enumerate(spelling):
         arcs: list[tuple[str, float]] = []
-        if c.isalpha():
+        if c == " ":
+            arcs = [(" ", 0.0), ("", DROP_SPACE)]
+        elif c.isalpha():
             arcs.append((c, KEEP_REPEAT if c == before else 0.0))
             if c == before:
                 arcs.append(("", DROP_REPEAT))
@@ -128,27 +132,45 @@ def decode(spelling: str, model: CharModel, spaced: bool = False) -> str:
             arcs.append((c, KEEP_SYMBOL))
             if c == before:
                 arcs.append(("", DROP_REPEAT))
+        out.append(arcs)
+        before = c
+    return out
+
+
+def best_path(spelling: str, model: CharModel, spaced: bool = False) -> tuple[float, str]:
+    """(score, letters) of the likeliest path through the lattice, whose states are the last two letters.
+
+    spaced: the spelling is a run of single characters that stood apart, so an edge between words may stand before each of
+    them.
+    """
+    log = model.log
+    states: dict[tuple[str, str], tuple[float, tuple]] = {("", ""): (0.0, ())}
+    for arcs in lattice(spelling):
         following: dict[tuple[str, str], tuple[float, tuple]] = {}
         for (a, b), (score, path) in states.items():
-            row = log[cls(a) if a else 0][cls(b) if b else 0]
             for x, cost in arcs:
                 if x:
-                    key, value, way = (b, x), score + cost + row[cls(x)], (path, x)
+                    key, value, way = (b, x), score + cost + log(a, b, x), (path, x)
                 else:
                     key, value, way = (a, b), score + cost, path
                 if key not in following or following[key][0] < value:
                     following[key] = (value, way)
-                if spaced and x and b:  # a word may end here
-                    edge = score + cost + row[0] + log[cls(b)][0][cls(x)] + DROP_MARK
+                if spaced and x and b:
+                    edge = score + cost + log(a, b, " ") + log(b, " ", x) + DROP_MARK
                     if (" ", x) not in following or following[(" ", x)][0] < edge:
                         following[(" ", x)] = (edge, ((path, " "), x))
-        states, before = following, c
-    best = max(states.items(), key=lambda s: (s[1][0] + log[cls(s[0][0]) if s[0][0] else 0][cls(s[0][1]) if s[0][1] else 0][0], s[0]))[1][1]
+        states = following
+    score, _, path = max((value + log(a, b, " "), (a, b), path) for (a, b), (value, path) in states.items())
     out = []
-    while best:
-        best, x = best
+    while path:
+        path, x = path
         out.append(x)
-    return "".join(reversed(out))
+    return score, "".join(reversed(out))
+
+
+def decode(spelling: str, model: CharModel, spaced: bool = False) -> str:
+    """The likeliest letters of a spelling (lower case)."""
+    return best_path(spelling, model, spaced)[1]
 
 
 _SYMBOLS = "".join(re.escape(c) for c in [*LOOKALIKE, *MARKS] if not c.isalnum())
@@ -160,12 +182,13 @@ _CHOICE = re.compile(rf"(?!\d+\Z)(?s:.*?)(?:(.)\1|[0-9{_SYMBOLS}])", re.DOTALL)
 KEPT_SPELLINGS = 500_000
 
 
-def decoded(spelling: str, model: CharModel) -> str:
-    known = model.known.get(spelling)
+def decoded(spelling: str, model: CharModel, spaced: bool = False) -> str:
+    key = f"\0{spelling}" if spaced else spelling
+    known = model.known.get(key)
     if known is None:
         if len(model.known) >= KEPT_SPELLINGS:
             model.known.clear()
-        known = model.known[spelling] = decode(spelling, model)
+        known = model.known[key] = decode(spelling, model, spaced)
     return known
 
 
@@ -183,7 +206,7 @@ def restore(texts: pa.Array, model: CharModel) -> tuple[pa.Array, np.ndarray, np
     spelled = core.to_pylist()
     words = [decoded(w, model) if _CHOICE.match(w) else w for w in spelled]
     codes = np.asarray(coded.indices, np.int64)
-    # runs of three or more single characters within a text
+    # runs of single characters within a text
     alone = single[codes].astype(np.int8)
     bounds = np.zeros(len(codes) + 1, bool)
     bounds[ends] = True
@@ -191,9 +214,9 @@ def restore(texts: pa.Array, model: CharModel) -> tuple[pa.Array, np.ndarray, np
     stops = np.flatnonzero(alone & ~(np.concatenate([alone[1:], [0]]).astype(bool) & ~bounds[1:])) + 1
     extra_words, extra_at = [], []
     for s, e in zip(starts.tolist(), stops.tolist(), strict=True):
-        if e - s >= 3:
+        if e - s >= 2:
             run = "".join(spelled[c] for c in codes[s:e].tolist())
-            said = decode(run, model, spaced=True).split(" ")
+            said = decoded(run, model, spaced=True).split(" ")
             extra_words.extend([*said, "".join(said)] if len(said) > 1 else said)
             extra_at.extend([s] * (len(said) + (len(said) > 1)))
     if extra_words:  # a restored run is read beside the characters it is made of
@@ -206,8 +229,6 @@ def restore(texts: pa.Array, model: CharModel) -> tuple[pa.Array, np.ndarray, np
 PREFIXES = (3, 4, 5, 6)
 #: A feature needs so many toxic documents, whatever the table's size.
 LEAST_DOCS = 4
-#: A model holds at most so many features, those of the largest weights.
-FEATURES = 8192
 LEAST_WEIGHT = 1.5
 #: Features that a task counts before it hands them on.
 COUNTED = 500_000
@@ -244,6 +265,24 @@ class Model:
 
     def __init__(self, chars: CharModel, names: pa.Array, weights: np.ndarray, calibration: Logistic | None, base: float):
         self.chars, self.names, self.weights, self.calibration, self.base = chars, names, weights, calibration, base
+        whole = [(n[1:], w) for n, w in zip(names.to_pylist(), weights.tolist(), strict=True) if n.startswith("=")]
+        self.whole = dict(whole)
+        self.heads = pa.array(sorted({w[:k] for w, _ in whole for k in range(1, len(w))}), pa.large_string())
+        self.tails = pa.array(sorted({w[k:] for w, _ in whole for k in range(1, len(w))}), pa.large_string())
+
+    def joined(self, words: pa.Array, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(texts, weights) of neighbouring words that spell a word of the model together, where the decoder drops their space."""
+        first, second = (np.asarray(pc.is_in(words, value_set=v), bool) for v in (self.heads, self.tails))
+        at = np.flatnonzero(first[codes[:-1]] & second[codes[1:]])
+        at = at[~np.isin(at + 1, ends)]
+        docs, weights = [], []
+        for k, doc in zip(at.tolist(), (np.searchsorted(ends, at, "right") - 1).tolist(), strict=True):
+            a, b = words[int(codes[k])].as_py(), words[int(codes[k + 1])].as_py()
+            weight = self.whole.get(a + b)
+            if weight is not None and decoded(f"{a} {b}", self.chars) == a + b:
+                docs.append(doc)
+                weights.append(weight)
+        return np.array(docs, int), np.array(weights, float)
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
         """Per text: the largest weight of a feature that it has, and the second one; 0 where there is none.
@@ -257,7 +296,8 @@ class Model:
         per_word, names = word_features(words)
         place = np.asarray(pc.fill_null(pc.index_in(names, value_set=self.names), -1), np.int64)
         docs, features = doc_pairs(codes, ends, per_word, place)
-        weights = self.weights[features]
+        more, added = self.joined(words, codes, ends)
+        docs, weights = np.concatenate([docs, more]), np.concatenate([self.weights[features], added])
         order = np.lexsort((-weights, docs))
         docs, weights = docs[order], weights[order]
         first = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, int)
@@ -283,19 +323,20 @@ def copy_key(text) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, keep_held_out: bool = False, most: int = TRAIN_ROWS) -> Model:
     """Learn from at most about `most` labelled rows; one document of a group of copies counts. docs has doc_id and text.
 
-    Without toxic or without clean rows every text gets the share of toxic rows (0 where nothing is labelled) as its score.
+    The labelled rows are written once and read again. Without toxic or without clean rows every text gets the share of
+    toxic rows (0 where nothing is labelled) as its score. A feature counts from LEAST_DOCS toxic documents on.
     """
     chars = char_model(docs)
     spark = docs.sparkSession
-    labelled = with_labels(docs.select("doc_id", "text"), labelled_rows(labels, "toxic", keep_held_out, most))
-    chosen = labelled.groupBy(copy_key(F.col("text")).alias("k"), "label").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "label").toArrow()
+    labelled = materialize(with_labels(docs.select("doc_id", "text"), labelled_rows(labels, "toxic", keep_held_out, most)).withColumn("copy", copy_key(F.col("text"))))
+    chosen = labelled.groupBy("copy", "label").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "label").toArrow()
     n_toxic = int(pc.sum(chosen["label"]).as_py() or 0)
     n_clean = chosen.num_rows - n_toxic
     none = Model(chars, pa.array([], pa.large_string()), np.zeros(0), None, n_toxic / max(chosen.num_rows, 1))
     if not n_toxic or not n_clean:
         return none
     rows = spark.createDataFrame(chosen.to_pandas(), "doc_id long, label int")  # at most `most` rows
-    train = with_labels(docs.select("doc_id", "text"), rows).select("doc_id", "text", "label")
+    train = with_labels(labelled.select("doc_id", "text"), rows).select("doc_id", "text", "label")
     held = spark.sparkContext.broadcast(chars)
 
     def features(batches):
@@ -329,7 +370,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep_held_out: bool = False, most: i
     counted = train.mapInArrow(features, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = (F.col("toxic") + base) / (F.col("clean") + (1 - base))
     weighed = counted.where(F.col("toxic") >= LEAST_DOCS).select("feature", (F.log(odds) - math.log(base / (1 - base))).alias("weight"))
-    good = weighed.where(F.col("weight") > LEAST_WEIGHT).orderBy(F.desc("weight"), "feature").limit(FEATURES).toArrow()
+    good = weighed.where(F.col("weight") > LEAST_WEIGHT).orderBy(F.desc("weight"), "feature").toArrow()  # bounded by the sample
     if not good.num_rows:
         return none
     model = Model(chars, good["feature"].combine_chunks().cast(pa.large_string()), np.asarray(good["weight"]), None, base)

@@ -172,6 +172,57 @@ def test_viterbi(chars, spelling, wanted):
     assert toxicity.decode(spelling, chars) == wanted
 
 
+@pytest.mark.parametrize("spaced", [False, True])
+def test_decoding_equals_the_best_of_all_paths(chars, spaced):
+    rng = random.Random(14)
+
+    def paths(arcs, at=0, a="", b="", score=0.0, said=""):
+        if at == len(arcs):
+            yield score + chars.log(a, b, " "), said
+            return
+        for x, cost in arcs[at]:
+            if not x:
+                yield from paths(arcs, at + 1, a, b, score + cost, said)
+                continue
+            yield from paths(arcs, at + 1, b, x, score + cost + chars.log(a, b, x), said + x)
+            if spaced and b:
+                yield from paths(arcs, at + 1, " ", x, score + cost + chars.log(a, b, " ") + chars.log(b, " ", x) + toxicity.DROP_MARK, f"{said} {x}")
+
+    seen = 0
+    while seen < 300:
+        spelling = "".join(rng.choice("iidosttuup1!$*.-é " if not spaced else "idost1!$.é") for _ in range(rng.randint(1, 6)))
+        every = list(paths(toxicity.lattice(spelling)))
+        score, said = toxicity.best_path(spelling, chars, spaced)
+        best = max(v for v, _ in every)
+        assert abs(score - best) < 1e-9 and said in {w for v, w in every if v > best - 1e-9}, spelling
+        seen += len(every) > 1
+
+
+def test_a_word_in_two_pieces_is_evidence(chars):
+    import pyarrow as pa
+
+    model = toxicity.Model(chars, pa.array(["=idiot", "=another"], pa.large_string()), np.array([3.0, 2.0]), None, 0.1)
+    shown = model.evidence(pa.array(["an id iot", "you are idiot", "the id here", "id", "iot", None, "i d"]))
+    assert shown[:, 0].tolist() == [3.0, 3.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+    words, codes, _ = toxicity.restore(pa.array(["i d"]), chars)
+    assert words[int(codes[0])].as_py() == "id" or "id" in [words[int(c)].as_py() for c in codes]
+
+
+def test_toxicity_of_very_long_texts_ties_and_clashing_columns(spark):
+    filler = " ".join(f"word{i % 97}" for i in range(300_000))
+    rows = [(i, f"a kind thing number {i}" if i % 2 else f"a vile thing number {i}", 1, 1.0) for i in range(60)]
+    rows += [(100, f"{filler} v1le {filler}", 1, 1.0), (101, filler, 1, 1.0), (7, "a kind thing number 7", 1, 1.0), (7, "a kind thing number 7", 1, 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int, score double")
+    labels = spark.createDataFrame([(i, None, (i + 1) % 2, "x") for i in range(60)], "doc_id long, quality int, toxic int, text string")
+    out = [(r.doc_id, r.predicted, r.score) for r in toxicity.toxicity(docs, labels).collect()]
+    assert len(out) == len(rows)
+    said = {i: p for i, p, _ in out}
+    assert said[100] == 1 and said[101] == 0 and said[8] == 1
+    assert len({s for i, _, s in out if i == 7}) == 1
+    kept = toxicity.keep_clean(docs, toxicity.fit(docs, labels, keep_held_out=True))
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {*range(1, 60, 2), 101}
+
+
 def test_restore_reads_spaced_words(chars):
     import pyarrow as pa
 
@@ -186,7 +237,7 @@ def test_every_choice_of_a_lattice_is_read(spark):
 
     plain = "you are a stupid idiot and a moron in the trash of the élan with идиот there"
     chars = toxicity.char_model(spark.createDataFrame([(plain,)] * 20, "text string"))
-    said = {"iidiot": "idiot", "mmoron": "moron", "trrash": "trash", "éélan": "élan", "идиоот": "идиот", "idio+": "idiot", "+rash": "trash", "stupid!": "stupid"}
+    said = {"iddiot": "idiot", "stuupid": "stupid", "идииот": "идиот", "iidiot": "idiot", "mmoron": "moron", "trrash": "trash", "éélan": "élan", "идиоот": "идиот", "idio+": "idiot", "+rash": "trash", "stupid!": "stupid"}
     words, codes, _ = toxicity.restore(pa.array([" ".join(said)]), chars)
     assert [words[c].as_py() for c in codes] == list(said.values())
     words, codes, _ = toxicity.restore(pa.array(["i d ! o t"]), chars)
