@@ -286,12 +286,76 @@ def test_quality_edge_tables(spark):
     assert quality.classify(docs.where("false"), none).count() == 0
 
 
-def test_co_training_learns_from_the_other_view():
+def view_rows(y, rng):
+    """Packed rows whose ratios and stated length both tell y."""
+    rows = np.zeros(len(y), quality.PACKED)
+    rows["ratios"], rows["size"] = y[:, None] * 2 + rng.normal(size=(len(y), quality.RATIOS)), y * 3 + rng.normal(size=len(y))
+    return rows
+
+
+def all_surest(uid, rows):
+    """What quality.surest does, by sorting everything."""
+
+    def ask(fitted, given, most):
+        offers = []
+        for k, x in enumerate(quality.unpack(rows)):
+            p, picks = fitted[k].proba(x), []
+            for label in (0, 1):
+                sure = p if label else 1 - p
+                order = [i for i in np.lexsort((uid, -sure)) if sure[i] >= quality.SURE and uid[i] not in given[k]][: most[label]]
+                picks.append(np.array(order, int))
+            at = np.concatenate(picks)
+            offers.append((uid[at], np.repeat([0, 1], [len(x) for x in picks]), rows[at]))
+        return offers
+
+    return ask
+
+
+def test_co_training_takes_the_surest_of_all_rows(spark):
     rng = np.random.default_rng(4)
-    y = (rng.random(400) < 0.5).astype(int)
-    content, meta = y[:, None] * 3 + rng.normal(size=(400, 2)), y[:, None] * 3 + rng.normal(size=(400, 2))
-    model = quality.co_train(content[:60], meta[:60], y[:60], (content[60:200], meta[60:200]))
-    assert ((model.score(content[200:], meta[200:]) >= 0.5) == y[200:]).mean() > 0.95
+    y = (rng.random(900) < 0.5).astype(int)
+    rows = view_rows(y, rng)
+    pool = spark.createDataFrame([(i, bytearray(rows[i].tobytes())) for i in range(80, 600)], "uid long, x binary").repartition(7)
+    asked = quality.surest(pool)
+    seen = []
+
+    def ask(fitted, given, most):
+        seen.append((given, asked(fitted, given, most)))
+        return seen[-1][1]
+
+    model = quality.co_train(rows[:80], y[:80], ask)
+    brute = quality.co_train(rows[:80], y[:80], all_surest(np.arange(80, 600), rows[80:600]))
+    views = quality.unpack(rows[600:])
+    assert np.allclose(model.score(*views), brute.score(*views))
+    assert ((model.score(*views) >= 0.5) == y[600:]).mean() > 0.95
+    for given, offers in seen:
+        for k in (0, 1):
+            assert not set(given[k]) & set(offers[k][0])
+    assert len(seen) == quality.ROUNDS and all(len(o[0]) for _, offers in seen for o in offers)
+
+
+def test_pseudo_labels_never_go_to_labelled_or_held_out_rows(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    packed = quality.packed_views(docs)
+    known = {r.doc_id for r in labels.where("quality is not null").collect()}
+    pool = {r.doc_id for r in quality.unlabelled(packed, labels).collect()}
+    every = {r.doc_id for r in docs.select("doc_id").collect()}
+    import zlib
+
+    assert pool == {i for i in every - known if zlib.crc32(str(i).encode()) % 5}
+    assert {r.doc_id for r in quality.unlabelled(packed, labels, keep_held_out=True).collect()} == every - known
+
+
+def test_quality_learns_from_few_rows_and_reads_long_texts(spark):
+    rows = [(i, "good calm words in a line" if i % 2 else "$$$ ### 0101 $$$", "s", "x", 9, i) for i in range(40)]
+    rows += [(50, "good calm words in a line " * 60_000, "s", "x", 9, 1), (51, "$$$ ### 0101 $$$ " * 60_000, None, None, None, 1), (7, *rows[7][1:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long, score long")
+    labels = spark.createDataFrame([(i, i % 2, None, "x") for i in range(6)], "doc_id long, quality int, toxic int, text string")
+    out = sorted((r.doc_id, r.keep, r.score) for r in quality.classify(docs, labels).collect())
+    assert len(out) == len(rows) and all(keep == (i % 2 == 1) for i, keep, _ in out if i < 50)
+    assert len({s for i, _, s in out if i == 7}) == 1
+    said = {i: keep for i, keep, _ in out}
+    assert said[50]
 
 
 def test_pipeline_stages(spark):
