@@ -10,7 +10,7 @@ from choicegrid.llm.common import materialize, table
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
-    return quality.keep(docs, quality.fit(docs, table(spark, sf_dir, "labels"), keep_held_out=True))
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
