@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scalars import bound
+
 
 def log_softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0).cast("double"), lambda s, x: s + F.exp(x - top))
-    return F.transform(logits, lambda x: x - (top + F.ln(total)))
+    """Log-probabilities; the largest logit and the logarithm of the sum are computed once per array."""
+
+    def log_sum(top: Column) -> Column:
+        return top + F.ln(F.aggregate(logits, F.lit(0.0).cast("double"), lambda s, x: s + F.exp(x - top)))
+
+    return bound(bound(F.array_max(logits), log_sum), lambda z: F.transform(logits, lambda x: x - z))
 
 
 def argmax(values: Column) -> Column:

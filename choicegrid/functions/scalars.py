@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,23 +13,42 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once however often then uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+#: How a number is written: digits in which single underscores may stand, a point, an exponent; or a word for one that isn't finite.
+_DIGITS = r"\d(?:_?\d)*"
+NUMBER = rf"(?i)^[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?|inf|infinity|nan)$"
+
+
+def number(text: Column) -> Column:
+    """Text as a double, null where it isn't a number; suffixes such as `d` or `f` don't make one."""
+    said = strip(text)
+    return F.when(said.rlike(NUMBER), F.replace(said, F.lit("_"), F.lit("")).try_cast("double"))
+
+
 def is_option(value: Column) -> Column:
     """Whether a recorded code is an answer: not empty, not a missing marker, not a negative number."""
-    text = F.trim(value.cast("string"))
+    text = strip(value.cast("string"))
     missing = F.lower(text).isin("", "nan", "none")
-    return F.coalesce(~missing & F.coalesce(text.try_cast("double") >= 0, F.lit(True)), F.lit(False))
+    return F.coalesce(~missing & F.coalesce(number(text) >= 0, F.lit(True)), F.lit(False))
 
 
 def canonical_code(value: Column) -> Column:
-    """A code as text; whole numbers lose their decimals, and what isn't an answer is null."""
-    text = F.trim(value.cast("string"))
-    number = text.try_cast("double")
-    whole = F.when(number == F.floor(number), F.floor(number).cast("string"))
-    return F.when(is_option(value), F.coalesce(whole, text))
+    """A code as text; whole numbers lose their decimals and exponent, and what isn't an answer is null."""
+    text = strip(value.cast("string"))
+
+    def written(x: Column) -> Column:
+        # a number beyond 38 digits keeps its text
+        return F.when(x % 1 == 0, F.coalesce(x.try_cast("decimal(38,0)").cast("string"), text))
+
+    return F.when(is_option(value), F.coalesce(bound(number(text), written), text))
 
 
 def is_numeric(text: Column) -> Column:
-    return strip(text).try_cast("double").isNotNull()
+    return number(text).isNotNull()
 
 
 def finite(value: Column, what: str) -> Column:
@@ -46,6 +67,28 @@ def first_prefix(text: Column, prefixes: list[tuple[str, str]]) -> Column:
     return F.coalesce(*(F.when(text.startswith(p), F.lit(name)) for p, name in prefixes), F.lit(None).cast("string"))
 
 
+def family(experiment: Column) -> Column:
+    """What precedes the first slash."""
+    return F.substring_index(experiment, "/", 1)
+
+
+def table_folder(experiment: Column, renamed: dict[str, str]) -> Column:
+    """Folder of an experiment's table: its family under the name that the tables use, and its own name without `.csv`.
+
+    renamed says how families are called in experiments: table name to experiment name.
+    """
+    back = {v: k for k, v in renamed.items()}
+    head = family(experiment)
+    known = F.coalesce(*(F.when(head == new, F.lit(old)) for new, old in back.items()), head) if back else head
+    rest = F.when(F.instr(experiment, "/") > 0, F.substr(experiment, F.length(head) + 2)).otherwise("")
+    return F.concat(known, F.lit("/"), F.regexp_replace(rest, r"\.csv$", ""))
+
+
+def short_name(experiment: Column) -> Column:
+    """An experiment as reports name it: `/exp` is ` e`, `.csv` goes."""
+    return F.replace(F.replace(experiment, F.lit("/exp"), F.lit(" e")), F.lit(".csv"), F.lit(""))
+
+
 def bucket_of_ten(rank: Column, length: Column) -> Column:
     """Tenth of a sequence that a zero-based rank lies in; the last one takes what the division leaves."""
     return F.least(F.floor(rank * 10 / length), F.lit(9)).cast("int")

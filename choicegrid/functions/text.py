@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scalars import bound
+
 OPEN, CLOSE = "<<", ">>"
 
 
@@ -15,17 +17,23 @@ def choices(text: Column) -> Column:
 
 def span_places(text: Column) -> Column:
     """start and end of every marked label, as zero-based code points."""
-    between = F.split(text, r"(?s)<<.*?>>", -1)
-    labels = choices(text)
-
-    def place(state: Column, i: Column) -> Column:
-        start = state["at"] + F.length(F.get(between, i)) + 2
-        end = start + F.length(F.get(labels, i))
-        return F.struct((end + 2).alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out"))
-
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    steps = F.when(F.size(labels) > 0, F.sequence(F.lit(0), F.size(labels) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, empty, place)["out"]
+    # the text is split and its labels are found once; lengths are all that the places need
+    sizes = F.struct(
+        F.transform(F.split(text, r"(?s)<<.*?>>", -1), lambda x: F.length(x)).alias("between"), F.transform(choices(text), lambda x: F.length(x)).alias("labels")
+    )
+
+    def places(s: Column) -> Column:
+        def place(state: Column, pair: Column) -> Column:
+            start = state["at"] + pair["between"] + 2
+            end = start + pair["labels"]
+            return F.struct((end + 2).alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out"))
+
+        empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+        # what follows the last label has no partner
+        pairs = F.arrays_zip(F.slice(s["between"], F.lit(1), F.size(s["labels"])).alias("between"), s["labels"].alias("labels"))
+        return F.aggregate(pairs, empty, place)["out"]
+
+    return bound(sizes, places)
 
 
 def header(text: Column) -> Column:
