@@ -15,18 +15,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Intermediate tables that this session has written and not yet removed.
+_tables: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a folder of the warehouse."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a folder of its warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
 
 
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
+    """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor costs nothing.
+
+    The table goes when the driver's JVM ends, or with release().
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/t-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    name = f"{shared_dir(spark).rstrip('/')}/t-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(name)
+    path, system = _path(spark, name)
+    system.deleteOnExit(path)
+    _tables.append(name)
+    return spark.read.schema(df.schema).parquet(name)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the intermediate tables written so far; results that were not written yet can't be read after that."""
+    n = len(_tables)
+    while _tables:
+        path, system = _path(spark, _tables.pop())
+        system.delete(path, True)
+    return n
+
+
+#: Rows of a key from which it is a hot one, and hot keys that are broadcast at most.
+HOT_ROWS, HOT_KEYS = 1_000, 100_000
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, count: str, n: int) -> DataFrame:
+    """rows joined with keyed, which has one row per key and in count how many rows have it (column count is dropped).
+
+    Of n rows in all fewer than n / m have a key that more than m rows share, so the hot keys' rows of keyed, at most
+    HOT_KEYS, are broadcast; only rows of other keys are shuffled, and no task gets a hot key.
+    """
+    most = max(HOT_ROWS, -(-n // HOT_KEYS))
+    hot = F.broadcast(keyed.where(F.col(count) > most).drop(count))
+    rest = rows.join(hot.select(key), key, "left_anti").join(keyed.where(F.col(count) <= most).drop(count), key)
+    return rows.join(hot, key).unionByName(rest)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -1,10 +1,8 @@
 """Connected components of an edge table by large-star and small-star rounds.
 
 Every round is two aggregations keyed by a node; a node's neighbours are never gathered in one row, only their least is.
-The least comes back to the edges by a join. Nodes of many edges are few: fewer than 2 * edges / HUB have more than HUB
-neighbours, so HUB grows with the edges until at most HUBS nodes are above it; these are broadcast, and only edges of other
-nodes are shuffled for the join. Rounds end when no edge changes. Each round is written to the shared folder, so its lineage
-ends there.
+The least comes back to the edges by a join that sends hubs, of which there are few, by a broadcast. Rounds end when no edge
+changes. Each round is written to the shared folder, so its lineage ends there.
 """
 
 from __future__ import annotations
@@ -12,31 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-
-#: Hubs that are broadcast at most, and neighbours that a hub has at least.
-HUBS, HUB = 100_000, 1_000
-
-
-def _with_least(edges: DataFrame, node: str, least: DataFrame, n: int) -> DataFrame:
-    """edges with m, the least of their node. least has node, m and the node's number of edges k; n counts all of these."""
-    most = max(HUB, -(-n // HUBS))
-    hubs = F.broadcast(least.where(F.col("k") > most).select(node, "m"))  # at most n / most rows
-    rest = edges.join(hubs, node, "left_anti").join(least.where(F.col("k") <= most).select(node, "m"), node)
-    return edges.join(hubs, node).unionByName(rest)
+from .common import join_hot, materialize
 
 
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Each node's larger neighbours go to the least node of its neighbourhood (itself included)."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("k"))
-    return _with_least(both.where("v > u"), "u", least, 2 * n).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    return join_hot(both.where("v > u"), least, "u", "k", 2 * n).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Each node and its smaller neighbours go to the least of them. edges has a > b."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k"))
-    met = _with_least(edges, "a", least, n)
+    met = join_hot(edges, least, "a", "k", n)
     return met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
 
 

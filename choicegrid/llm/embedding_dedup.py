@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_hot, materialize
 from .components import components
 from .pairs import blocked, close_pairs, dealt_groups, spanning, spans, whole_groups
 
@@ -182,8 +182,8 @@ def deduplicate(vectors: DataFrame, threshold: float = 0.93, tables: int = TABLE
     degree = found.groupBy("uid").agg(F.sum("degree").alias("degree"))
     member = components(found.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))
     classes = unit.select("key", "uid", "node", "copies").join(degree, "uid", "left").join(member, "node", "left")
-    classes = classes.select("key", (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    keyed = rows.select("vec_id", F.when(links(), same_vector()).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("vec_id").cast("string"), F.lit("")))).alias("key"))
-    out = keyed.join(classes, "key", "left")
+    classes = classes.select("key", (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"), "copies")
+    linked = join_hot(ready.select("vec_id", "key"), classes, "key", "copies", ready.count()).drop("key")
+    alone = rows.where(~links()).select("vec_id", F.lit(0).alias("n_links"), F.col("vec_id").alias("component_id"))
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return linked.unionByName(alone).select("vec_id", F.col("n_links").cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_hot, materialize
 from .components import components
 from .pairs import blocked, close_pairs, dealt_groups, spanning, spans, whole_groups
 from .tokens import ragged, slices
@@ -266,8 +266,8 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     degree = found.groupBy("key").agg(F.sum("degree").alias("degree"))
     member = components(found.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))
     classes = texts.select("key", "node", "copies").join(degree, "key", "left").join(member, "node", "left")
-    classes = classes.select("key", (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("class_id"))
-    out = known.select("doc_id", "key").join(classes, "key")
+    classes = classes.select("key", (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("class_id"), "copies")
+    out = join_hot(known.select("doc_id", "key"), classes, "key", "copies", known.count())
     alone = signed.where(F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return out.select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links")).unionByName(alone)
 
