@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import integrity, likelihood, protocol, readouts, transcripts  # noqa: F401  they register their queries
+from .plans import integrity, likelihood, protocol, readouts, reports, transcripts  # noqa: F401  they register their queries
 from .plans.registry import QUERIES, SQL
 
 

@@ -60,11 +60,20 @@ def sequence_tables(train: DataFrame, label: str = "human_choice", order: str =
     }
 
 
+def _within_support(rows: DataFrame, support: DataFrame, label: str) -> DataFrame:
+    known = support.select("experiment", F.col("label").alias(label), F.lit(True).alias("known")).distinct()
+    joined = rows.join(known, ["experiment", label], "left")
+    ok = F.when(F.col("known").isNull(), F.raise_error(F.concat(F.lit("a label beyond the support: "), F.coalesce(F.col(label), F.lit("null")))).cast("boolean")).otherwise(F.lit(True))
+    return joined.where(ok).select(*rows.columns)
+
+
 def population(train: DataFrame, test: DataFrame, support: DataFrame, smoothing: float = 1.0, label: str = "human_choice", order: str = "choice_index") -> DataFrame:
     """Laplace-smoothed marginal and bigram of the training choices, scored on test.
 
-    support (experiment, label) is the task's full set of labels. A session's first choice has the marginal as its bigram.
+    support (experiment, label) is the task's full set of labels; a label of test beyond it fails the query, since it has no
+    probability. A session's first choice has the marginal as its bigram.
     """
+    test = _within_support(test, support, label)
     counts = sequence_tables(train, label, order)
     k = support.groupBy("experiment").agg(F.count("*").alias("k"))
     n = counts["totals"].select("experiment", "n")
@@ -79,6 +88,37 @@ def population(train: DataFrame, test: DataFrame, support: DataFrame, smoothing:
     return joined.select(*SESSION, order, (-F.ln(marginal)).alias("pop_base_rate"), (-F.ln(pair)).alias("pop_bigram"), F.ln(F.col("k").cast("double")).alias("canonical_uniform"))
 
 
+def guesses(frame: DataFrame, rule: str, label: str = "human_choice", order: str = "choice_index") -> DataFrame:
+    """experiment, participant, choice_index, label, guess by a counting rule that sees earlier choices of the session only.
+
+    `base_rate`: the label seen most often; `sticky`: the last label; `bigram`: what followed the last label most often, or
+    the base rate where nothing did yet. Of equals the one seen first wins. A session's first choice has no guess.
+    """
+    if rule == "base_rate":
+        return running_guess(frame, label, order)
+    moved = _previous(frame, label, order)
+    if rule == "sticky":
+        return moved.where(F.col("previous").isNotNull()).select(*SESSION, order, label, F.col("previous").alias("guess"))
+    if rule != "bigram":
+        raise ValueError(f"unknown rule {rule!r}")
+    pair = Window.partitionBy(*SESSION, "previous", label)
+    count = F.count("*").over(pair.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    event = moved.withColumn("event", F.struct(count.alias("n"), (-F.min(order).over(pair)).alias("first"), F.col(label).alias("label")))
+    before = Window.partitionBy(*SESSION, "previous").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    followed = event.where(F.col("previous").isNotNull()).select(*SESSION, order, F.max("event").over(before)["label"].alias("follower"))
+    base = running_guess(frame, label, order)
+    return base.join(followed, [*SESSION, order]).select(*SESSION, order, label, F.coalesce("follower", "guess").alias("guess"))
+
+
+def prequential(frame: DataFrame, label: str = "human_choice", order: str = "choice_index") -> DataFrame:
+    """experiment, participant and the share of right guesses by each rule, over all choices but the first; uniform is 1 / labels of the session."""
+    out = frame.groupBy(*SESSION).agg((1 / F.countDistinct(label)).alias("uniform"))
+    for rule in BASELINES[1:]:
+        hits = guesses(frame, rule, label, order).groupBy(*SESSION).agg(F.avg((F.col("guess") == F.col(label)).cast("double")).alias(rule))
+        out = out.join(hits, SESSION, "left")
+    return out
+
+
 def running_guess(frame: DataFrame, label: str = "human_choice", order: str = "choice_index") -> DataFrame:
     """Per choice but the first of a session: the label seen most often before it; of equals, the one seen first.
 

@@ -40,6 +40,15 @@ def alignment_report(choices: DataFrame, aligned: DataFrame) -> DataFrame:
     return joined.select("experiment", "n_sessions", F.coalesce("n_aligned", F.lit(0)).alias("n_aligned"), F.coalesce("rules", F.lit("")).alias("rules"))
 
 
+def unaligned_sessions(choices: DataFrame, table: DataFrame) -> DataFrame:
+    """experiment, participant, n_choices, n_rows, reason of the sessions that no rule fits: `no_table`, or `row_counts` where none leaves as many rows."""
+    aligned = align_sessions(choices, table).select(*SESSION).distinct()
+    lengths = choices.groupBy(*SESSION).agg(F.count("*").alias("n_choices")).join(aligned, SESSION, "left_anti")
+    rows = table.groupBy(*SESSION).agg(F.count("*").alias("n_rows"))
+    reason = F.when(F.col("n_rows").isNull(), "no_table").otherwise("row_counts")
+    return lengths.join(rows, SESSION, "left").select(*SESSION, "n_choices", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), reason.alias("reason"))
+
+
 def label_map(aligned: DataFrame, offered: DataFrame) -> DataFrame:
     """experiment, participant, block, label, code, source: which code each label stands for in each block.
 

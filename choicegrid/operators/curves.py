@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import bucket_of_ten
 from ..schemas import CHOICE, SESSION
-from .metrics import task_table
+from .metrics import task_table, unique_by
 
 #: Sort value of the unlimited window.
 FULL = 1_000_000
@@ -31,13 +31,24 @@ def session_curve(frame: DataFrame, absolute: int = 50) -> DataFrame:
     return task_table(parts[0].unionByName(parts[1]), "nll", ["source", "axis", "experiment", "bucket"])
 
 
+def with_baselines(model: DataFrame, scored: DataFrame, baselines: list[str], name: str = "model") -> DataFrame:
+    """source, experiment, participant, choice_index, nll of the model and of each baseline, over the model's own choices only.
+
+    scored has a column per baseline. A choice that either side has twice fails the query.
+    """
+    ours = unique_by(model.select(*CHOICE, "nll"), CHOICE)
+    theirs = unique_by(scored.select(*CHOICE, *baselines), CHOICE).join(ours.select(*CHOICE), CHOICE, "left_semi")
+    return ours.withColumn("source", F.lit(name)).unionByName(theirs.unpivot(CHOICE, baselines, "source", "nll"))
+
+
 def anchored(windows: DataFrame, full: DataFrame) -> DataFrame:
     """The anchor choices under all windows, the unlimited one included.
 
-    windows has window, target_index, effective_window; full has every choice once. An anchor that full lacks fails the query.
+    windows has window, target_index, effective_window; full has every choice once. An anchor that full lacks, or a choice
+    that it has twice, fails the query.
     """
     anchors = windows.select(*CHOICE, "target_index").distinct()
-    joined = anchors.join(full.select(*CHOICE, "nll"), CHOICE, "left")
+    joined = anchors.join(unique_by(full.select(*CHOICE, "nll"), CHOICE), CHOICE, "left")
     nll = F.when(F.col("nll").isNull(), F.raise_error(F.lit("an anchor is missing from the full condition")).cast("double")).otherwise(F.col("nll"))
     unlimited = joined.select(*CHOICE, nll.alias("nll"), F.lit(FULL).alias("window"), "target_index", F.col("target_index").alias("effective_window"))
     return windows.select(*CHOICE, "nll", "window", "target_index", "effective_window").unionByName(unlimited)

@@ -47,44 +47,54 @@ def incomplete(children: DataFrame, parents: DataFrame, keys: list[str], suffix:
     return table.where("expected <> found")
 
 
-OCCURRENCE = "outcome string, n long"
+#: Rows of a shard, by their number, that one group of a window holds at most.
+RANGE = 100_000
 
 
-def merge_occurrences(children: DataFrame, parents: DataFrame, keys: list[str], suffix: list[str]) -> DataFrame:
-    """key, outcome, n of the rows of every parent: `kept`, `replay`, `incomplete` or, without a parent, `orphan`.
+def parent_changes(rows: DataFrame, span: int = RANGE) -> DataFrame:
+    """rows (shard, row_idx, key, ...) with new: whether the key differs from that of the row before in the shard.
+
+    Rows fall into ranges of row numbers, so no task holds a shard; a range's first row is compared with the last key of the
+    range before it, of which there is one row per range.
+    """
+    ranged = rows.withColumn("_range", F.floor(F.col("row_idx") / span))
+    last = ranged.groupBy("shard", "_range").agg(F.max_by("key", "row_idx").alias("_last"))
+    before = last.select("shard", "_range", F.lag("_last").over(Window.partitionBy("shard").orderBy("_range")).alias("_before"))
+    order = Window.partitionBy("shard", "_range").orderBy("row_idx")
+    led = ranged.withColumn("_lag", F.lag("key").over(order)).withColumn("_first", F.row_number().over(order) == 1)
+    previous = F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_lag"))
+    joined = led.join(before, ["shard", "_range"])
+    return joined.withColumn("new", F.coalesce(previous != F.col("key"), F.lit(True))).drop("_range", "_before", "_lag", "_first")
+
+
+def occurrence_outcomes(children: DataFrame, parents: DataFrame, keys: list[str], suffix: list[str], span: int = RANGE) -> DataFrame:
+    """shard, row_idx, key, outcome of every row: `kept`, `replay`, `incomplete` or, without a parent, `orphan`.
 
     A shard's rows in their order fall into occurrences: an occurrence ends where the parent changes, a suffix repeats or
     the expected rows are there. The first complete one is kept; later ones are replays, which must be equal, and earlier
-    partial ones are dropped. Where parents change is a window over the shard; what an occurrence holds is decided within
-    the rows of one parent, so no task scans a shard.
+    partial ones are dropped. What an occurrence holds is decided within the rows of one parent.
     """
     key = F.concat_ws("\x1f", *(F.col(k).cast("string") for k in keys))
     part = F.concat_ws("\x1f", *(F.col(k).cast("string") for k in suffix))
     payload = digest(*(F.col(c) for c in children.columns if c not in ("shard", "row_idx")))
     rows = children.select("shard", "row_idx", key.alias("key"), part.alias("part"), payload.alias("payload"))
-    order = Window.partitionBy("shard").orderBy("row_idx")
-    rows = rows.withColumn("new", F.coalesce(F.lag("key").over(order) != F.col("key"), F.lit(True)))
-    known = rows.join(parents.select(key.alias("key"), "expected"), "key", "left")
+    parents = parents.select(key.alias("key"), F.col("expected").cast("long").alias("expected"))
+    known = parent_changes(rows, span).join(parents, "key", "left")
+    orphans = known.where("expected is null").select(F.col("shard").cast("long").alias("shard"), F.col("row_idx").cast("long").alias("row_idx"), "key", F.lit("orphan").alias("outcome"))
 
     def outcomes(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["shard", "row_idx"])
         name, expected = part["key"].iloc[0], part["expected"].iloc[0]
-        if pd.isna(expected):
-            return pd.DataFrame([(name, "orphan", len(part))], columns=["key", "outcome", "n"])
-        tally, done, seen, held = {"kept": 0, "replay": 0, "incomplete": 0}, None, set(), []
+        done, seen, held, said = None, set(), [], []
 
         def close():
             nonlocal done
             if held:
-                if done is not None:
-                    if len(held) == expected and held != done:
-                        raise ValueError(f"a complete replay of {name!r} differs")
-                    tally["replay"] += len(held)
-                elif len(held) == expected:
-                    done = list(held)
-                    tally["kept"] += len(held)
-                else:
-                    tally["incomplete"] += len(held)
+                whole = len(held) == expected
+                if done is not None and whole and held != done:
+                    raise ValueError(f"a complete replay of {name!r} differs")
+                said.extend(["replay" if done is not None else "kept" if whole else "incomplete"] * len(held))
+                done = list(held) if done is None and whole else done
             seen.clear()
             held.clear()
 
@@ -96,21 +106,32 @@ def merge_occurrences(children: DataFrame, parents: DataFrame, keys: list[str],
             if len(held) == expected:
                 close()
         close()
-        return pd.DataFrame([(name, k, n) for k, n in tally.items() if n], columns=["key", "outcome", "n"])
+        return pd.DataFrame({"shard": part["shard"].to_numpy(), "row_idx": part["row_idx"].to_numpy(), "key": part["key"].to_numpy(), "outcome": said})
+
+    decided = known.where("expected is not null").groupBy("key").applyInPandas(outcomes, "shard long, row_idx long, key string, outcome string")
+    return decided.unionByName(orphans)
+
 
-    return known.groupBy("key").applyInPandas(outcomes, f"key string, {OCCURRENCE}")
+def merge_occurrences(children: DataFrame, parents: DataFrame, keys: list[str], suffix: list[str]) -> DataFrame:
+    """key, outcome, n of the rows of every parent, by the outcomes of occurrence_outcomes."""
+    return occurrence_outcomes(children, parents, keys, suffix).groupBy("key", "outcome").agg(F.count("*").alias("n"))
 
 
 def commit_violations(commits: DataFrame, predictions: DataFrame) -> DataFrame:
-    """experiment, participant, rule: receipts that don't add up or don't agree with the predictions."""
+    """experiment, participant, rule: receipts that don't add up, are named wrongly, repeat or don't agree with the predictions.
+
+    commits may have file, the name of a receipt's file, which must be the digest of its session and `.json`.
+    """
+    named = F.col("file") != F.concat("digest", F.lit(".json")) if "file" in commits.columns else F.lit(False)
+    again = commits.groupBy(*SESSION).agg(F.count("*").alias("n")).where("n > 1").select(*SESSION, F.lit("repeated").alias("rule"))
     counts = commits.withColumn("total", F.aggregate(F.map_values("conditions"), F.lit(0).cast("long"), lambda s, x: s + x))
     found = predictions.groupBy(*SESSION).agg(F.count("*").alias("found"))
     joined = counts.join(found, SESSION, "full")
     rule = (
         F.when(F.col("status").isNull(), "no_commit").when(F.col("found").isNull(), "no_rows")
-        .when(F.col("status") != "complete", "status").when(F.col("total") != F.col("prediction_rows"), "sum").when(F.col("found") != F.col("prediction_rows"), "count")
+        .when(F.col("status") != "complete", "status").when(F.col("schema") != 1, "schema").when(named, "file_name").when(F.col("total") != F.col("prediction_rows"), "sum").when(F.col("found") != F.col("prediction_rows"), "count")
     )
-    return joined.withColumn("rule", rule).where("rule is not null").select(*SESSION, "rule")
+    return joined.withColumn("rule", rule).where("rule is not null").select(*SESSION, "rule").unionByName(again)
 
 
 def matched(reference: DataFrame, candidate: DataFrame) -> DataFrame:
@@ -120,6 +141,18 @@ def matched(reference: DataFrame, candidate: DataFrame) -> DataFrame:
     return side(reference, "ref").join(side(candidate, "cand"), keys).withColumn("delta", F.col("nll_cand") - F.col("nll_ref"))
 
 
+def key_sets(reference: DataFrame, candidate: DataFrame, keys: list[str] = SESSION) -> DataFrame:
+    """keys and side: `both`, `reference` or `candidate`, for every key that either run has."""
+    sides = [f.select(*(F.col(k).cast("string").alias(k) for k in keys)).distinct().withColumn(s, F.lit(True)) for f, s in ((reference, "_ref"), (candidate, "_cand"))]
+    side = F.when(F.col("_ref").isNull(), "candidate").when(F.col("_cand").isNull(), "reference").otherwise("both")
+    return sides[0].join(sides[1], keys, "full").select(*keys, side.alias("side"))
+
+
+def worst_row(rows: DataFrame, keys: list[str] = CHOICE) -> DataFrame:
+    """The matched row whose delta is largest, with its keys; the least keys on ties."""
+    return rows.orderBy(F.abs("delta").desc(), *keys).limit(1).select(*keys, F.abs("delta").alias("max_delta"))
+
+
 def compare_rows(rows: DataFrame) -> DataFrame:
     """One row: how far matched rows lie apart; correlation is null where a side is constant."""
     varies = (F.stddev_samp("nll_ref") > 0) & (F.stddev_samp("nll_cand") > 0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import CHOICE
@@ -36,8 +36,9 @@ def probability_ratio(model: DataFrame, baseline: DataFrame, value: str = "nll",
 
 
 def matched_ratio(model: DataFrame, baseline: DataFrame, baseline_value: str, value: str = "nll") -> DataFrame:
-    """experiment, ratio, coverage over the choices that both have; a task without any is absent."""
-    both = model.select(*CHOICE, F.col(value).alias("ours")).join(baseline.select(*CHOICE, F.col(baseline_value).alias("theirs")), CHOICE)
+    """experiment, ratio, coverage over the choices that both have; a task without any is absent. A choice that a side has twice fails the query."""
+    ours = unique_by(model.select(*CHOICE, F.col(value).alias("ours")), CHOICE)
+    both = ours.join(unique_by(baseline.select(*CHOICE, F.col(baseline_value).alias("theirs")), CHOICE), CHOICE)
     scored = model.groupBy("experiment").agg(F.count("*").alias("scored"))
     means = macro(both, ["ours", "theirs"])
     return means.join(scored, "experiment").select(
@@ -76,6 +77,52 @@ def run_summary(frame: DataFrame) -> DataFrame:
     )
 
 
+def run_report(frame: DataFrame) -> DataFrame:
+    """run_summary with the number of different participants, whose names may recur between tasks."""
+    people = frame.agg(F.countDistinct("participant").alias("participants"))
+    both = run_summary(frame).unionByName(people, allowMissingColumns=True)  # one row each
+    return both.agg(*(F.max(c).alias(c) for c in both.columns))
+
+
+def condition_totals(frame: DataFrame, order: str) -> DataFrame:
+    """condition, place, choices, choice_tokens, token_nll, legal_coverage of every condition; place is the order in which they are first seen."""
+    totals = frame.groupBy("condition").agg(
+        F.min(order).alias("first"), F.count("*").alias("choices"), F.sum("num_tokens").alias("choice_tokens"), F.sum("nll").alias("nll"),
+        F.avg((F.col("options_status") == "scored").cast("double")).alias("legal_coverage"),
+    )
+    place = F.row_number().over(Window.orderBy("first")) - 1  # one row per condition
+    return totals.select("condition", place.cast("long").alias("place"), "choices", "choice_tokens", (F.col("nll") / F.col("choice_tokens")).alias("token_nll"), "legal_coverage")
+
+
+def threshold_flags(table: DataFrame, first: Column, second: Column, threshold: float) -> DataFrame:
+    """table with flags: which of two numbers exceed a threshold: `both`, `first`, `second` or `neither`. A null exceeds nothing."""
+    a, b = (F.coalesce(x > threshold, F.lit(False)) for x in (first, second))
+    return table.withColumn("flags", F.when(a & b, "both").when(a, "first").when(b, "second").otherwise("neither"))
+
+
+def extremes(table: DataFrame, value: str, n: int, key: str = "experiment") -> DataFrame:
+    """The n rows of the least values and the n of the largest, with side and place from 0; ties go by key."""
+    sides = []
+    for side, order in (("least", F.asc(value)), ("largest", F.desc(value))):
+        top = table.where(F.col(value).isNotNull()).orderBy(order, key).limit(n)
+        place = F.row_number().over(Window.orderBy(order, key)) - 1  # of n rows
+        sides.append(top.withColumn("side", F.lit(side)).withColumn("place", place.cast("long")))
+    return sides[0].unionByName(sides[1])
+
+
+def sorted_report(table: DataFrame, keys: Sequence[str], descending: Sequence[str] = ()) -> DataFrame:
+    """table in the order of its keys, nulls last."""
+    return table.orderBy(*(F.desc_nulls_last(k) if k in descending else F.asc_nulls_last(k) for k in keys))
+
+
+def missing_models(runs: DataFrame) -> DataFrame:
+    """comparability() with missing_models: the models that a task lacks, by name and with commas; runs has model, experiment, participant."""
+    models = [r["model"] for r in runs.select("model").distinct().orderBy("model").collect()]  # one per run
+    have = runs.groupBy("experiment").agg(F.collect_set("model").alias("have"))
+    lacking = F.array_join(F.array_except(F.array(*map(F.lit, models)), "have"), ",")
+    return comparability(runs).join(have, "experiment").withColumn("missing_models", lacking).drop("have")
+
+
 def paper_summary(frame: DataFrame, task: str = "experiment") -> DataFrame:
     """Per task: mean over sessions of nll per token, nll per token over all, and sessions."""
     sessions = frame.groupBy(task, "experiment", "participant") if task != "experiment" else frame.groupBy("experiment", "participant")

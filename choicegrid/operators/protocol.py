@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import CHOICE, SESSION
@@ -36,6 +36,40 @@ def against_published(ours: DataFrame, published: DataFrame) -> DataFrame:
     return both.withColumn("gap", F.abs(F.col("ours") - F.col("published")))
 
 
+def published_gaps(ours: DataFrame, published: DataFrame) -> DataFrame:
+    """One row: tasks, mean_gap, max_gap against the published values; a published task that we lack fails the query."""
+    both = against_published(ours, published).where("published is not null")
+    gap = F.when(F.col("ours").isNull(), F.raise_error(F.concat(F.lit("no value for "), "experiment")).cast("double")).otherwise(F.col("gap"))
+    return both.agg(F.count("*").alias("tasks"), F.avg(gap).alias("mean_gap"), F.max(gap).alias("max_gap"))
+
+
+def report_gap(rows: DataFrame) -> DataFrame:
+    """One row: how far the means over tasks of task means of delta lie apart. rows has delta."""
+    return rows.groupBy("experiment").agg(F.avg("delta").alias("gap")).agg(F.abs(F.avg("gap")).alias("report_gap"))
+
+
+def index_differences(packed: DataFrame, alone: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and side (`packed` or `alone`) of rows that only one of two runs has; nothing where both scored the same rows."""
+    one = packed.select(*keys).join(alone.select(*keys), keys, "left_anti").withColumn("side", F.lit("packed"))
+    return one.unionByName(alone.select(*keys).join(packed.select(*keys), keys, "left_anti").withColumn("side", F.lit("alone")))
+
+
+def window_grid(lengths: DataFrame, windows: list[int], targets: Column) -> DataFrame:
+    """Requests of each session (experiment, participant, n_segments) under every window at its targets, and of all choices unlimited.
+
+    Adds condition, window (null: unlimited), target_index, effective_window, target_fraction, is_anchor.
+    """
+    fraction = F.col("target_index") / F.greatest(F.col("n_segments") - 1, F.lit(1))
+    anchors = lengths.select(*SESSION, "n_segments", F.explode(targets).alias("target_index"))
+    limited = anchors.withColumn("window", F.explode(F.array(*map(F.lit, windows))))
+    limited = limited.select(*SESSION, "n_segments", "window", "target_index", F.least("window", "target_index").alias("effective_window"), F.lit(True).alias("is_anchor"))
+    every = lengths.select(*SESSION, "n_segments", F.explode(F.sequence(F.lit(0), F.col("n_segments") - 1)).alias("target_index"))
+    full = every.join(anchors.select(*SESSION, "target_index", F.lit(True).alias("is_anchor")), [*SESSION, "target_index"], "left")
+    full = full.select(*SESSION, "n_segments", F.lit(None).cast("int").alias("window"), "target_index", F.col("target_index").alias("effective_window"), F.coalesce("is_anchor", F.lit(False)).alias("is_anchor"))
+    condition = F.when(F.col("window").isNull(), "full").otherwise(F.concat(F.lit("w"), F.col("window").cast("string")))
+    return limited.unionByName(full).withColumn("condition", condition).withColumn("target_fraction", fraction)
+
+
 def floor_statistics(rows: DataFrame) -> DataFrame:
     """One row: mean and largest gap of rows, and mean, 95th percentile and largest gap of task means. rows has delta."""
     tasks = rows.groupBy("experiment").agg(F.abs(F.avg("delta")).alias("gap"), F.sum(F.abs("delta")).alias("total"), F.max(F.abs("delta")).alias("most"), F.count("*").alias("n"))
@@ -94,6 +128,24 @@ def option_violations(options: DataFrame, predictions: DataFrame) -> DataFrame:
     return joined.select(*CHOICE, rule.alias("rule")).where("rule is not null")
 
 
+def session_conditions(predictions: DataFrame, commits: DataFrame) -> DataFrame:
+    """experiment, participant, rule: sessions whose receipt names other conditions than their rows have, or other counts of them."""
+    found = predictions.groupBy(*SESSION, "condition").agg(F.count("*").alias("n"))
+    found = found.groupBy(*SESSION).agg(F.array_sort(F.collect_list(F.struct("condition", "n"))).alias("found"))
+    stated = commits.select(*SESSION, F.array_sort(F.transform(F.map_entries("conditions"), lambda e: F.struct(e["key"].alias("condition"), e["value"].cast("long").alias("n")))).alias("stated"))
+    stated = stated.withColumn("stated", F.filter("stated", lambda e: e["n"] > 0))
+    joined = stated.join(found, SESSION, "full")
+    none = F.array().cast("array<struct<condition:string,n:bigint>>")
+    found, stated = F.coalesce("found", none), F.coalesce("stated", none)
+    rule = F.when(F.transform(found, lambda e: e["condition"]) != F.transform(stated, lambda e: e["condition"]), "conditions").when(found != stated, "counts")
+    return joined.select(*SESSION, rule.alias("rule")).where("rule is not null")
+
+
+def shard_counts(predictions: DataFrame, expected_sessions: int) -> DataFrame:
+    """One row: sessions, expected, complete: whether the output holds as many sessions as the input."""
+    return predictions.agg(F.countDistinct(*SESSION).alias("sessions")).select("sessions", F.lit(expected_sessions).cast("long").alias("expected"), (F.col("sessions") == expected_sessions).alias("complete"))
+
+
 def acceptance(predictions: DataFrame, sessions: DataFrame, conditions: list[str]) -> DataFrame:
     """experiment, participant, missing: conditions that a session of the input lacks in the output."""
     found = predictions.groupBy(*SESSION).agg(F.collect_set("condition").alias("found"))

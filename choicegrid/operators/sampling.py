@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import choices, header, segments, tail
+
 
 def prefix_limit(rows: DataFrame, n: int, order: str = "row_idx") -> DataFrame:
     """The first n rows by order."""
@@ -42,6 +44,27 @@ def skip_report(rows: DataFrame, most: int) -> DataFrame:
     return table.where("skipped > 0").withColumn("whole_task", F.col("skipped") == F.col("total"))
 
 
+def nonempty(rows: DataFrame, what: str = "rows") -> DataFrame:
+    """rows; a selection that leaves none is an error."""
+    if rows.isEmpty():
+        raise ValueError(f"no {what} left")
+    return rows
+
+
+def unreadable(rows: DataFrame, text: str = "text") -> DataFrame:
+    """experiment, participant, problem of sessions whose text has no marked choice (`unmarked`) or an empty one (`empty_mark`)."""
+    labels = choices(F.col(text))
+    problem = F.when(F.coalesce(F.size(labels), F.lit(0)) <= 0, "unmarked").when(F.exists(labels, lambda x: x == ""), "empty_mark")
+    return rows.select("experiment", "participant", problem.alias("problem")).where("problem is not null")
+
+
+def lossy_segments(rows: DataFrame, text: str = "text") -> DataFrame:
+    """experiment, participant of marked sessions whose header, segments and tail don't give their text back."""
+    t = F.col(text)
+    whole = F.concat(header(t), F.array_join(segments(t), ""), tail(t))
+    return rows.where((F.instr(t, "<<") > 0) & ~F.coalesce(whole == t, F.lit(False))).select("experiment", "participant")
+
+
 def split_train_eval(rows: DataFrame, keys: list[str], fraction: float, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Rows by a hash of their keys; a fraction of 0, or fewer than two rows, gives all rows to both."""
     if fraction <= 0 or len(rows.take(2)) < 2:

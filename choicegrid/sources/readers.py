@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import finite
+from ..functions.scalars import finite, number
 from ..schemas import COMMIT_SCHEMA, SCORE_SCHEMA, SESSION, SESSION_SCHEMA
+from .files import exists
 
 #: Labels may hold line ends, quotes and leading blanks, and `NA` is a label.
 CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -67,9 +68,7 @@ def read_tables(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
             frame = spark.read.parquet(path)
         else:
             raise ValueError(f"{path}: unknown format")
-        if len({c.strip() for c in frame.columns}) < len(frame.columns):
-            raise ValueError(f"{path}: column names repeat")
-        frames.append(frame.toDF(*(c.strip() for c in frame.columns)))
+        frames.append(normalized_names(frame))
     if not frames:
         raise ValueError("no files")
     out = frames[0]
@@ -98,6 +97,40 @@ def completed_sessions(predictions: DataFrame) -> DataFrame:
     return predictions.select(*SESSION).distinct()
 
 
+def read_completed(spark: SparkSession, path: str) -> DataFrame:
+    """Sessions that prediction files (CSV) hold already; a path that isn't there, or an empty file, holds none."""
+    none = spark.createDataFrame([], ", ".join(f"{c} string" for c in SESSION))
+    if not exists(spark, path):
+        return none
+    rows = spark.read.options(**CSV).csv(path)
+    return completed_sessions(rows) if set(SESSION) <= set(rows.columns) else none
+
+
+def read_gpu_samples(spark: SparkSession, path: str, fields: Sequence[str]) -> DataFrame:
+    """Samples of a device monitor, comma-separated without a header, as trimmed text; rows of another length are passed over."""
+    parts = F.transform(F.split("value", ","), lambda x: F.trim(x))
+    rows = spark.read.text(path).where(F.trim("value") != "").select(parts.alias("x")).where(F.size("x") == len(fields))
+    return rows.select(*(F.get("x", F.lit(i)).alias(f) for i, f in enumerate(fields)))
+
+
+def read_memory_sample(spark: SparkSession, path: str) -> DataFrame:
+    """used_mib, total_mib of a host's memory listing (`name: amount kB` per line); null where a line lacks or the file does."""
+    if not exists(spark, path):
+        return spark.createDataFrame([(None, None)], "used_mib double, total_mib double")
+    parts = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).select(F.rtrim(F.get(parts, F.lit(0)), F.lit(":")).alias("name"), (number(F.get(parts, F.lit(1))) / 1024).alias("mib"))
+    table = rows.agg(F.max(F.when(F.col("name") == "MemTotal", F.col("mib"))).alias("total_mib"), F.max(F.when(F.col("name") == "MemAvailable", F.col("mib"))).alias("free"))
+    return table.select((F.col("total_mib") - F.col("free")).alias("used_mib"), "total_mib")
+
+
+def normalized_names(frame: DataFrame) -> DataFrame:
+    """frame with stripped column names, `None` for one without any; names that repeat then are an error."""
+    names = [c.strip() or "None" for c in frame.columns]
+    if len(set(names)) < len(names):
+        raise ValueError("column names repeat")
+    return frame.toDF(*names)
+
+
 def pending_sessions(sessions: DataFrame, done: DataFrame) -> DataFrame:
     """Sessions without a receipt or output yet."""
     return sessions.join(done.select(*SESSION).distinct(), SESSION, "left_anti")

@@ -27,8 +27,9 @@ SCORED = "experiment string, participant string, choice_index long, base_rate do
 def online_baselines(choices: DataFrame, k: int, smoothing: float = 0.5) -> DataFrame:
     """Causal baselines of each choice as it arrives; k is the number of labels of the task.
 
-    A batch's rows of a session are taken by choice_index; a row at or before the last one seen is a replay and is dropped,
-    so a source may send rows again. The state of a session is its counts.
+    A batch's rows of a session are taken by choice_index, which counts from 0 without gaps. A row at or before the last one
+    seen is a replay and is dropped, so a source may send rows again; a row beyond the next one means that a row came late
+    and fails the query, since its score would lack what came before it. The state of a session is its counts.
     """
 
     def score(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -41,6 +42,8 @@ def online_baselines(choices: DataFrame, k: int, smoothing: float = 0.5) -> Data
         for index, label in zip(rows["choice_index"], rows["human_choice"], strict=True):
             if index <= last:
                 continue
+            if index != last + 1:
+                raise ValueError(f"choice {last + 1} of {key} hasn't come before choice {index}")
             base = (one.get(label, 0) + smoothing) / (seen + smoothing * k)
             sticky = pair = 1.0 if k == 1 else base
             if previous is not None and k > 1:
@@ -60,9 +63,24 @@ def online_baselines(choices: DataFrame, k: int, smoothing: float = 0.5) -> Data
 
 
 def ledger_sink(scored: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Write each micro-batch's predictions and receipts into a folder of its own; a batch that is tried again replaces its folder."""
+    """Write each micro-batch's predictions and receipts into a folder of its own; a batch that is tried again replaces its folder.
+
+    A session that spans batches has a receipt in each; total_receipts adds them up.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        write_tables({"predictions": batch, "receipts": receipts(batch)}, f"{path}/batch={number}", "overwrite")
+        batch.persist()  # two tables come of it, and its state must move once
+        try:
+            write_tables({"predictions": batch, "receipts": receipts(batch)}, f"{path}/batch={number}", "overwrite")
+        finally:
+            batch.unpersist()
 
     return scored.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def total_receipts(parts: DataFrame) -> DataFrame:
+    """One receipt per session of the receipts of all batches: rows and rows per condition added up."""
+    each = parts.select("schema", *SESSION, "status", "digest", F.explode("conditions").alias("condition", "n"))
+    each = each.groupBy("schema", *SESSION, "status", "digest", "condition").agg(F.sum("n").alias("n"))
+    rows = each.groupBy("schema", *SESSION, "status", "digest").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("condition", "n")))).alias("conditions"), F.sum("n").alias("prediction_rows"))
+    return rows.select("schema", *SESSION, "status", "prediction_rows", "conditions", "digest")
