@@ -21,13 +21,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import materialize
 from .tokens import slices, split_texts, vocabulary
 
 #: Bytes of text of a block, about.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 6_000_000
+#: Bytes of text that there is a hash bucket of words for; so a bucket's words are as many however large the input is.
+BUCKET_BYTES = 4_000_000
 #: Ids that are decoded at once, about; it bounds a task's memory.
-DECODED_IDS = 500_000
+DECODED_IDS = 300_000
 #: Most frequent words of a block that get the smallest numbers; it only makes blocks smaller.
 LEADING = 4096
 
@@ -138,7 +140,9 @@ def encode(docs: DataFrame, vocab_path: str | None = None, buckets: int | None =
     they are, else it is written as a table first. Blocks that don't agree fail the query.
     """
     docs = docs.select("doc_id", "text") if from_files else materialize(docs.select("doc_id", "text"))
-    buckets = buckets or 4 * shuffle_partitions(docs.sparkSession)
+    if buckets is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(1, -(-size // BUCKET_BYTES))
     answers = encode_words(word_blocks(docs, buckets, True), vocab_path)
 
     def assemble(table: pa.Table) -> pa.Table:

@@ -123,19 +123,18 @@ def read_back(formatted: DataFrame) -> DataFrame:
             done.append((current[0], turns, all_turns.hexdigest(), chars, loss.hexdigest(), size))
 
         for batch in batches:
-            ids, texts, begins, ends = (batch.column(i).to_pylist() for i in range(4))
-            for conv, text, begin, end in zip(ids, texts, begins, ends, strict=True):
+            for conv, text in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
                 if current is None or current[0] != conv:
                     if current is not None:
                         close()
                     current, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, said, _, _ in parse(text):
+                for role, said, begin, end in parse(text):
                     state[0] += 1
                     state[1].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
-                if begin is not None:
-                    masked = unescape(text[begin:end])
-                    state[2] += len(masked)
-                    state[3].update(masked.encode("utf-8", "surrogatepass"))
+                    if role == "assistant":  # the mask is where the parser finds the turn's text
+                        masked = unescape(text[begin:end])
+                        state[2] += len(masked)
+                        state[3].update(masked.encode("utf-8", "surrogatepass"))
                 state[4] += len(text)
             if done:
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in done], schema=_digest_schema())
@@ -145,7 +144,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in done], schema=_digest_schema())
 
     dealt = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "formatted", "loss_begin", "loss_end").mapInArrow(run, DIGEST)
+    return dealt.select("conv_id", "formatted").mapInArrow(run, DIGEST)
 
 
 def _digest_schema() -> pa.Schema:

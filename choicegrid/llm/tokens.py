@@ -2,12 +2,13 @@
 
 A text is cut at single spaces between two visible characters; no pre-token of the vocabulary's pattern crosses such a
 space, so the ids of a text are the ids of its chunks put side by side. Each distinct chunk of a batch is then encoded once.
-Texts with other white space next to a space (double spaces, a space at a line's end) are encoded whole.
+At other spaces (two in a row, one at a line's end or at the text's) nothing is cut, so a chunk may hold white space within.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -18,9 +19,11 @@ from tokenizers import Tokenizer
 
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A chunk that is empty or has white space at an end isn't cut off safely.
+#: White space as the pattern and Python see it.
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-UNSAFE = rf"^$|^{_SPACE}|{_SPACE}$"
+#: A space that isn't cut at: beside other white space, or at an end of the text.
+UNSAFE = rf"{_SPACE} | {_SPACE}|^ | $"
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Characters that a slice of a batch holds at most, unless one text alone has more.
 SLICE_CHARS = 8_000_000
 
@@ -112,38 +115,38 @@ def slices(batch: pa.RecordBatch, column: str = "text", budget: int = SLICE_CHAR
         yield batch.slice(begin)
 
 
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(chunks of all texts in order, first chunk's place of each text and the end); a null or empty text is one empty chunk."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    parts = pc.split_pattern(texts, " ")
+    bad = np.flatnonzero(np.asarray(pc.match_substring_regex(texts, UNSAFE), bool))
+    flat, ends = parts.flatten(), np.asarray(parts.offsets, np.int64)
+    ends = ends - ends[0]
+    if not len(bad):
+        return flat, ends
+    counts, pieces, at = np.diff(ends), [], 0
+    for i in bad.tolist():  # texts with an unsafe space are cut one by one
+        own = _CUT.split(texts[i].as_py())
+        pieces += [flat.slice(at, int(ends[i]) - at), pa.array(own, pa.large_string())]
+        counts[i], at = len(own), int(ends[i + 1])
+    return pa.concat_arrays([*pieces, flat.slice(at)]), np.concatenate([[0], np.cumsum(counts)])
+
+
 def split_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, list[str]]:
     """(distinct chunks, code of each chunk in order, first chunk's place of each text and the end, whole strings).
 
-    Codes from len(distinct) on stand for the whole strings, which have no space before them: the first chunk of each text,
-    or an unsafe text as it is.
+    Codes from len(distinct) on stand for the whole strings, which have no space before them: the first chunk of each text.
     """
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    parts = pc.split_pattern(texts, " ")
-    coded = pc.dictionary_encode(parts.flatten())
-    if isinstance(coded, pa.ChunkedArray):
-        coded = coded.combine_chunks()
-    chunks, codes = coded.dictionary, np.asarray(coded.indices, np.int64)
-    ends = np.asarray(parts.offsets, np.int64)
-    ends = ends - ends[0]
-    unsafe = np.asarray(pc.match_substring_regex(chunks, UNSAFE), bool)
-    counts = np.diff(ends)
-    bad = np.add.reduceat(unsafe[codes].astype(np.int64), ends[:-1]) > 0 if len(codes) else np.zeros(0, bool)
-    bad &= counts > 1
-    whole = pc.take(parts.flatten(), pa.array(ends[:-1])).to_pylist()
-    for i in np.flatnonzero(bad).tolist():
-        whole[i] = texts[i].as_py()
-    keep = np.ones(len(codes), bool)
-    if bad.any():
-        keep[ragged(ends[:-1][bad], counts[bad])] = False
-        keep[ends[:-1][bad]] = True
-    codes = codes.copy()
-    codes[ends[:-1]] = len(chunks) + np.arange(len(counts))
-    kept = np.where(bad, 1, counts)
-    used = np.zeros(len(chunks) + len(counts), bool)
-    used[codes[keep]] = True
+    flat, ends = cut(texts)
+    coded = pc.dictionary_encode(flat)
+    chunks, codes = coded.dictionary, np.asarray(coded.indices, np.int64).copy()
+    n = len(ends) - 1
+    first = pc.take(flat, pa.array(ends[:-1])).to_pylist()
+    codes[ends[:-1]] = len(chunks) + np.arange(n)
+    used = np.zeros(len(chunks) + n, bool)
+    used[codes] = True
     names = np.cumsum(used) - 1
-    return chunks.filter(pa.array(used[: len(chunks)])), names[codes[keep]], np.concatenate([[0], np.cumsum(kept)]), whole
+    return chunks.filter(pa.array(used[: len(chunks)])), names[codes], ends, first
 
 
 #: Chunks whose ids a Python worker keeps: the most frequent of the first texts that it meets. It changes no result.
@@ -158,10 +161,8 @@ class ChunkCache:
 
     def fill(self, flat: pa.Array) -> None:
         counted = pc.value_counts(flat)
-        chunks = counted.field("values")
-        safe = pc.invert(pc.match_substring_regex(chunks, UNSAFE))
-        order = pc.sort_indices(pc.filter(counted.field("counts"), safe), sort_keys=[("", "descending")])[:CACHED_CHUNKS]
-        self.chunks = pc.take(pc.filter(chunks, safe), order)
+        order = pc.sort_indices(counted.field("counts"), sort_keys=[("", "descending")])[:CACHED_CHUNKS]
+        self.chunks = pc.take(counted.field("values"), order)
         self.ids = id_lists(*self.vocab.encode_chunks(self.chunks))
 
 
@@ -174,40 +175,21 @@ def encode_texts(vocab: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.nda
     if not len(texts):
         return np.zeros(0, np.int32), np.zeros(1, np.int64)
     cache = _cache(vocab)
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    parts = pc.split_pattern(texts, " ")
-    flat, ends = parts.flatten(), np.asarray(parts.offsets, np.int64)
-    ends = ends - ends[0]
+    flat, ends = cut(texts)
+    n = len(ends) - 1
+    # a text's first chunk is read as it is; all others begin with a visible character, so none runs into the one before it
+    inner = np.ones(len(flat), bool)
+    inner[ends[:-1]] = False
     if cache.chunks is None:
-        cache.fill(flat)
+        cache.fill(flat.filter(pa.array(inner)))
     known = pc.index_in(flat, value_set=cache.chunks)
-    missing = np.flatnonzero(np.asarray(pc.is_null(known)))
+    missing = np.flatnonzero(np.asarray(pc.is_null(known)) & inner)
     codes = np.asarray(pc.fill_null(known, 0), np.int64)
     rare = pc.dictionary_encode(pc.take(flat, pa.array(missing)))
-    unsafe = np.asarray(pc.match_substring_regex(rare.dictionary, UNSAFE), bool)
-    rare_codes = np.asarray(rare.indices, np.int64)
-    codes[missing] = len(cache.chunks) + rare_codes
-    counts, n = np.diff(ends), len(texts)
-    bad = np.zeros(n, bool)
-    bad[np.searchsorted(ends, missing[unsafe[rare_codes]], "right") - 1] = True
-    bad &= counts > 1
-    # the first chunk of a text has no space before it, and an unsafe text is read whole
-    whole = pc.take(flat, pa.array(ends[:-1])).to_pylist()
-    for i in np.flatnonzero(bad).tolist():
-        whole[i] = texts[i].as_py()
-    own = [vocab.encode(w) for w in whole]
+    codes[missing] = len(cache.chunks) + np.asarray(rare.indices, np.int64)
+    own = [vocab.encode(w) for w in pc.take(flat, pa.array(ends[:-1])).to_pylist()]
     codes[ends[:-1]] = len(cache.chunks) + len(rare.dictionary) + np.arange(n)
-    if bad.any():
-        keep = np.ones(len(codes), bool)
-        keep[ragged(ends[:-1][bad], counts[bad])] = False
-        keep[ends[:-1][bad]] = True
-        codes, ends = codes[keep], np.concatenate([[0], np.cumsum(np.where(bad, 1, counts))])
-    safe = rare.dictionary if not unsafe.any() else pc.if_else(pa.array(unsafe), "", rare.dictionary)
-    lists = pa.concat_arrays([
-        cache.ids,
-        id_lists(*vocab.encode_chunks(safe)),
-        id_lists(np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])),
-    ])
+    lists = pa.concat_arrays([cache.ids, id_lists(*vocab.encode_chunks(rare.dictionary)), id_lists(np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])]))])
     taken = pc.take(lists, pa.array(codes))
     begins = np.asarray(taken.offsets, np.int64)
     return np.asarray(taken.flatten()), (begins - begins[0])[ends]

@@ -34,7 +34,9 @@ def encoded(text):
 
 
 def test_encoding_equals_the_library():
-    made = texts(3000, 2)
+    made = texts(3000, 2) + ["b a\n", "\nx y", "b c\n\n", "  x", "c\t", "\t\t", "q a\n", "\n\nq r "]
+    random.Random(1).shuffle(made)
+    made = [t or "" for t in made]
     ids, begins = encode_texts(vocabulary(None), pa.array(made))
     assert all(ids[begins[i] : begins[i + 1]].tolist() == encoded(t) for i, t in enumerate(made))
 
