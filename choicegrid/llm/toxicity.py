@@ -38,16 +38,15 @@ TABLES = (16, 18, 21)
 SLICE = 4_000_000
 #: Logarithms of the channel's probabilities.
 DROP_MARK, DROP_EDGE, DROP_REPEAT, SUBSTITUTE, KEEP_SYMBOL, KEEP_REPEAT, DROP_SPACE = (math.log(p) for p in (0.5, 0.3, 0.3, 0.3, 0.02, 0.3, 0.05))
-_MASK = (1 << 64) - 1
+_MASK, _FACTORS, _MIX = (1 << 32) - 1, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D), 0x27D4EB2F
 
 
 def _place(codes, bits: int):
-    """Where a table counts an n-gram of code points, which are numbers or arrays of them."""
+    """Where a table counts an n-gram of code points, which are numbers or arrays of 32-bit ones."""
     value = 0
-    for c in codes:
-        value = (value * 0x9E3779B97F4A7C15 + c + 1) & _MASK
-    value = ((value ^ (value >> 29)) * 0xBF58476D1CE4E5B9) & _MASK
-    return value >> (64 - bits)
+    for c, k in zip(codes, _FACTORS, strict=False):
+        value = (value + c * k) & _MASK
+    return (((value ^ (value >> 15)) * _MIX) & _MASK) >> (32 - bits)
 
 
 class CharModel:
@@ -56,6 +55,7 @@ class CharModel:
     def __init__(self, one: np.ndarray, two: np.ndarray, three: np.ndarray):
         self.one, self.two, self.three, self.all = one, two, three, float(one.sum())
         self.known: dict[str, str] = {}
+        self.regions: dict[str, str] = {}
         self.logs: dict[tuple[str, str, str], float] = {}
 
     def log(self, a: str, b: str, c: str) -> float:
@@ -76,7 +76,7 @@ class CharModel:
 @lru_cache(maxsize=1)
 def _lower_letters() -> np.ndarray:
     """For each code point its lower-case letter's, 0 for what isn't a letter."""
-    table = np.zeros(0x110000, np.uint64)
+    table = np.zeros(0x110000, np.uint32)
     for k in range(0x110000):
         c = chr(k)
         if c.isalpha():
@@ -168,9 +168,57 @@ def best_path(spelling: str, model: CharModel, spaced: bool = False) -> tuple[fl
     return score, "".join(reversed(out))
 
 
+#: What has a choice: a letter after itself, and what isn't a letter.
+_CHOICES = re.compile(r"(?:(?<=(.))\1|[\W\d_])+", re.DOTALL)
+
+
+def _best_region(before: str, region: str, after: str, ends: bool, model: CharModel) -> str:
+    """What region says between the letters before and after it; ends says that the word ends behind after."""
+    log = model.log
+    states: dict[tuple[str, str], tuple[float, str]] = {(before[-2] if len(before) > 1 else "", before[-1:]): (0.0, "")}
+    for arcs in [*lattice(before + region + after)[len(before) : len(before) + len(region)], *([(c, 0.0)] for c in after)]:
+        following: dict[tuple[str, str], tuple[float, str]] = {}
+        for (a, b), (score, said) in states.items():
+            for x, cost in arcs:
+                key, value = ((b, x), score + cost + log(a, b, x)) if x else ((a, b), score + cost)
+                if key not in following or following[key][0] < value:
+                    following[key] = (value, said + x)
+        states = following
+    best = max((value + (log(a, b, " ") if ends else 0.0), (a, b), said) for (a, b), (value, said) in states.items())[2]
+    return best[: len(best) - len(after)]
+
+
 def decode(spelling: str, model: CharModel, spaced: bool = False) -> str:
-    """The likeliest letters of a spelling (lower case)."""
-    return best_path(spelling, model, spaced)[1]
+    """The likeliest letters of a spelling (lower case).
+
+    The model sees two letters before and behind a choice, so parts of a word between which two letters stand that leave no
+    choice are decided apart. Such decisions recur between words and are remembered.
+    """
+    if spaced or " " in spelling:
+        return best_path(spelling, model, spaced)[1]
+    regions: list[list[int]] = []
+    for m in _CHOICES.finditer(spelling):
+        if regions and m.start() - regions[-1][1] < 2:
+            regions[-1][1] = m.end()
+        else:
+            regions.append([m.start(), m.end()])
+    out, at = [], 0
+    for begin, end in regions:
+        before, region, after = spelling[max(0, begin - 2) : begin], spelling[begin:end], spelling[end : end + 2]
+        if not (spelling[at:begin] + after + "a").isalpha():  # a numeral that is neither digit nor letter
+            return best_path(spelling, model)[1]
+        ends = end + len(after) == len(spelling) and len(after) < 2
+        key = f"{before}\0{region}\0{after}\0{ends}"
+        said = model.regions.get(key)
+        if said is None:
+            if len(model.regions) >= KEPT_SPELLINGS:
+                model.regions.clear()
+            said = model.regions[key] = _best_region(before, region, after, ends, model)
+        out.append(spelling[at:begin] + said)
+        at = end
+    if not (spelling[at:] + "a").isalpha():
+        return best_path(spelling, model)[1]
+    return "".join([*out, spelling[at:]])
 
 
 _SYMBOLS = "".join(re.escape(c) for c in [*LOOKALIKE, *MARKS] if not c.isalnum())
@@ -202,6 +250,8 @@ def restore(texts: pa.Array, model: CharModel) -> tuple[pa.Array, np.ndarray, np
     ends = np.asarray(parts.offsets, np.int64)
     ends = ends - ends[0]
     core = pc.replace_substring_regex(coded.dictionary, _EDGE, "")
+    # a mark at the end is always dropped: whatever else the text has, "other" is the rarest of all codes
+    core = pc.replace_substring_regex(core, rf"[{re.escape(MARKS)}]+$", "")
     single = np.asarray(pc.equal(pc.utf8_length(core), 1), bool)
     spelled = core.to_pylist()
     words = [decoded(w, model) if _CHOICE.match(w) else w for w in spelled]

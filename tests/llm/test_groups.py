@@ -190,11 +190,14 @@ def test_decoding_equals_the_best_of_all_paths(chars, spaced):
 
     seen = 0
     while seen < 300:
-        spelling = "".join(rng.choice("iidosttuup1!$*.-é " if not spaced else "idost1!$.é") for _ in range(rng.randint(1, 6)))
+        spelling = "".join(rng.choice(rng.choice(["iidosttuup1!$*.-é ", "iidosttuupé", "ids,."]) if not spaced else "idost1!$.é") for _ in range(rng.randint(1, 6)))
         every = list(paths(toxicity.lattice(spelling)))
         score, said = toxicity.best_path(spelling, chars, spaced)
         best = max(v for v, _ in every)
         assert abs(score - best) < 1e-9 and said in {w for v, w in every if v > best - 1e-9}, spelling
+        assert toxicity.decode(spelling, chars, spaced) in {w for v, w in every if v > best - 1e-9}, spelling
+        if not spaced and spelling[-1] in toxicity.MARKS:
+            assert toxicity.decode(spelling.rstrip(toxicity.MARKS), chars) in {w for v, w in every if v > best - 1e-9}, spelling
         seen += len(every) > 1
 
 
