@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,10 +82,9 @@ def occurrence_outcomes(children: DataFrame, parents: DataFrame, keys: list[str]
     known = parent_changes(rows, span).join(parents, "key", "left")
     orphans = known.where("expected is null").select(F.col("shard").cast("long").alias("shard"), F.col("row_idx").cast("long").alias("row_idx"), "key", F.lit("orphan").alias("outcome"))
 
-    def outcomes(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["shard", "row_idx"])
-        name, expected = part["key"].iloc[0], part["expected"].iloc[0]
-        done, seen, held, said = None, set(), [], []
+    def outcomes(batches):
+        name, expected, done, seen, held, waiting = None, None, None, set(), [], []
+        out: list[tuple] = []
 
         def close():
             nonlocal done
@@ -93,22 +92,40 @@ def occurrence_outcomes(children: DataFrame, parents: DataFrame, keys: list[str]
                 whole = len(held) == expected
                 if done is not None and whole and held != done:
                     raise ValueError(f"a complete replay of {name!r} differs")
-                said.extend(["replay" if done is not None else "kept" if whole else "incomplete"] * len(held))
+                said = "replay" if done is not None else "kept" if whole else "incomplete"
+                out.extend((*row, name, said) for row in waiting)
                 done = list(held) if done is None and whole else done
             seen.clear()
             held.clear()
-
-        for new, suffix_value, content in zip(part["new"], part["part"], part["payload"], strict=True):
-            if new or suffix_value in seen:
-                close()
-            seen.add(suffix_value)
-            held.append(content)
-            if len(held) == expected:
-                close()
+            waiting.clear()
+
+        def handed():
+            columns = zip(*out, strict=True) if out else ((),) * 4
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["shard", "row_idx", "key", "outcome"])
+            out.clear()
+            return batch
+
+        for batch in batches:
+            for shard, row_idx, row_key, suffix_value, content, new, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row_key != name:
+                    close()
+                    name, expected, done = row_key, wanted, None
+                if new or suffix_value in seen:
+                    close()
+                seen.add(suffix_value)
+                held.append(content)
+                waiting.append((shard, row_idx))
+                if len(held) == expected:
+                    close()
+            yield handed()
         close()
-        return pd.DataFrame({"shard": part["shard"].to_numpy(), "row_idx": part["row_idx"].to_numpy(), "key": part["key"].to_numpy(), "outcome": said})
+        yield handed()
 
-    decided = known.where("expected is not null").groupBy("key").applyInPandas(outcomes, "shard long, row_idx long, key string, outcome string")
+    # a parent's rows come one after the other, in their order, so a task keeps one occurrence
+    sorted_rows = known.where("expected is not null").repartition("key").sortWithinPartitions("key", "shard", "row_idx")
+    columns = [F.col("shard").cast("long"), F.col("row_idx").cast("long"), "key", "part", "payload", "new", "expected"]
+    decided = sorted_rows.select(*columns).mapInArrow(outcomes, "shard long, row_idx long, key string, outcome string")
     return decided.unionByName(orphans)
 
 

@@ -16,7 +16,7 @@ S, L, C = f"WITH {data.SESSIONS}", f"WITH {data.LOGITS}", f"WITH {data.CHOICES}"
 SPANS = "regexp_extract_all(text, '<<(.*?)>>', 1, 's')"
 
 
-@query("spans", f"{S}, x AS (SELECT experiment, participant, {SPANS} AS labels FROM sessions) SELECT experiment, participant, i - 1 AS choice_index, labels[i] AS label FROM x, range(1, 400) AS r(i) WHERE i <= len(labels)")
+@query("spans", f"{S}, x AS (SELECT experiment, participant, {SPANS} AS labels FROM sessions) SELECT experiment, participant, i - 1 AS choice_index, labels[i] AS label FROM (SELECT *, unnest(range(1, len(labels) + 1)) AS i FROM x)")
 def spans(spark, sf_dir):
     return data.sessions(spark, sf_dir).select(*SESSION, F.posexplode(tx.choices(F.col("text"))).alias("choice_index", "label")).withColumn("choice_index", F.col("choice_index").cast("long"))
 
@@ -28,7 +28,7 @@ def span_counts(spark, sf_dir):
 
 @query(
     "span_places",
-    f"{S}, b AS (SELECT experiment, participant, text, regexp_split_to_array(text, '<<|>>') AS p FROM sessions) SELECT experiment, participant, CAST(sum(e) AS BIGINT) AS sum_of_ends, count(*) AS n FROM (SELECT experiment, participant, i, list_sum(list_transform(p[1:2 * i], lambda v: length(v))) + 2 * (2 * i - 1) AS e FROM b, range(1, 400) AS r(i) WHERE 2 * i <= len(p)) GROUP BY 1, 2",
+    f"{S}, b AS (SELECT experiment, participant, text, regexp_split_to_array(text, '<<|>>') AS p FROM sessions) SELECT experiment, participant, CAST(sum(e) AS BIGINT) AS sum_of_ends, count(*) AS n FROM (SELECT experiment, participant, i, list_sum(list_transform(p[1:2 * i], lambda v: length(v))) + 2 * (2 * i - 1) AS e FROM (SELECT *, unnest(range(1, len(p) // 2 + 1)) AS i FROM b)) GROUP BY 1, 2",
 )
 def span_places(spark, sf_dir):
     each = data.sessions(spark, sf_dir).select(*SESSION, F.explode(tx.span_places(F.col("text"))).alias("p"))
@@ -43,7 +43,7 @@ def _segmented(spark, sf_dir):
     return data.sessions(spark, sf_dir).select(*SESSION, "text", tx.header(text).alias("header"), tx.segments(text).alias("segments"), tx.tail(text).alias("tail"))
 
 
-@query("segments", f"{SEGMENTED} SELECT experiment, participant, i - 1 AS segment_index, segments[i] AS segment FROM segmented, range(1, 400) AS r(i) WHERE i <= len(segments)")
+@query("segments", f"{SEGMENTED} SELECT experiment, participant, i - 1 AS segment_index, segments[i] AS segment FROM (SELECT *, unnest(range(1, len(segments) + 1)) AS i FROM segmented)")
 def segments(spark, sf_dir):
     return _segmented(spark, sf_dir).select(*SESSION, F.posexplode("segments").alias("segment_index", "segment")).withColumn("segment_index", F.col("segment_index").cast("long"))
 
@@ -61,6 +61,30 @@ def window_prompts(spark, sf_dir):
     return each.select(*SESSION, "window_size", F.md5(prompt).alias("prompt"))
 
 
+@query("all_window_prompts", f"{SEGMENTED} SELECT experiment, participant, t AS target_index, w AS window_size, md5(header || array_to_string(segments[greatest(t - w, 0) + 1:t + 1], '')) AS prompt FROM (SELECT *, unnest(range(0, len(segments))) AS t FROM segmented), (VALUES (0), (1), (2), (1000000)) AS v(w)")
+def all_window_prompts(spark, sf_dir):
+    """Every target of every session under every window."""
+    each = _segmented(spark, sf_dir).withColumn("target_index", F.explode(F.sequence(F.lit(0), F.size("segments") - 1)))
+    each = each.withColumn("window_size", F.explode(F.array(*map(F.lit, (0, 1, 2, 1_000_000)))))
+    prompt = tx.window_prompt(F.col("header"), F.col("segments"), F.col("target_index"), F.col("window_size"))
+    return each.select(*SESSION, F.col("target_index").cast("long").alias("target_index"), "window_size", F.md5(prompt).alias("prompt"))
+
+
+SESSION_GRIDS = f"""{SEGMENTED}, n AS (SELECT experiment, participant, len(segments) AS n, len(segments) - 1 AS l FROM segmented),
+c AS (SELECT *, least(greatest(CAST(round_even(0.1 * l, 0) AS BIGINT), 2), n - 3) AS a FROM n WHERE n > 5), d AS (SELECT *, least(greatest(CAST(round_even(0.5 * l, 0) AS BIGINT), a + 1), n - 2) AS b FROM c)
+SELECT experiment, participant, 'anchor' AS grid, CAST(t AS INTEGER) AS target FROM (SELECT experiment, participant, unnest([0, 1, a, b, l]) AS t FROM d UNION ALL SELECT experiment, participant, unnest(range(0, n)) FROM n WHERE n <= 5)
+UNION ALL SELECT DISTINCT experiment, participant, 'even', CAST(t AS INTEGER) FROM (SELECT experiment, participant, unnest(range(0, n)) AS t FROM n WHERE n <= 5
+  UNION ALL SELECT experiment, participant, unnest([0, CAST(round_even(l / 4.0, 0) AS BIGINT), CAST(round_even(l / 2.0, 0) AS BIGINT), CAST(round_even(l * 0.75, 0) AS BIGINT), l]) FROM n WHERE n > 5)"""
+
+
+@query("session_grids", SESSION_GRIDS)
+def session_grids(spark, sf_dir):
+    """Both grids over each session's own number of segments."""
+    n = _segmented(spark, sf_dir).select(*SESSION, F.size("segments").alias("n"))
+    kinds = F.map_from_arrays(F.array(F.lit("anchor"), F.lit("even")), F.array(tx.anchor_targets(F.col("n")), tx.even_targets(F.col("n"), 5)))
+    return n.select(*SESSION, F.explode(kinds).alias("grid", "targets")).select(*SESSION, "grid", F.explode("targets").alias("target"))
+
+
 @query("grid_even", "SELECT CAST(n AS INTEGER) AS n, CAST(t AS INTEGER) AS target FROM range(1, 200) AS r(n), range(0, 200) AS s(t) WHERE t < n AND (n <= 5 OR t IN (0, CAST(round_even((n - 1) / 4.0, 0) AS INTEGER), CAST(round_even((n - 1) / 2.0, 0) AS INTEGER), CAST(round_even((n - 1) * 0.75, 0) AS INTEGER), n - 1))")
 def grid_even(spark, sf_dir):
     return spark.range(1, 200).select(F.col("id").cast("int").alias("n")).select("n", F.explode(tx.even_targets(F.col("n"), 5)).alias("target"))
@@ -79,7 +103,7 @@ def grid_anchor(spark, sf_dir):
 
 @query(
     "window_cells",
-    f"{SEGMENTED}, cells AS (SELECT experiment, participant, t, w FROM segmented, range(0, 400) AS r(t), (VALUES (0), (1), (2), (1000000)) AS v(w) WHERE t < len(segments)) SELECT experiment, participant, count(*) AS observations, count(DISTINCT (t, least(t, w))) AS cells FROM cells GROUP BY 1, 2",
+    f"{SEGMENTED}, cells AS (SELECT experiment, participant, t, w FROM (SELECT *, unnest(range(0, len(segments))) AS t FROM segmented), (VALUES (0), (1), (2), (1000000)) AS v(w)) SELECT experiment, participant, count(*) AS observations, count(DISTINCT (t, least(t, w))) AS cells FROM cells GROUP BY 1, 2",
 )
 def window_cells(spark, sf_dir):
     """Equal prompts are asked for once: a window beyond the session's start is the same as the shorter one."""
@@ -88,7 +112,7 @@ def window_cells(spark, sf_dir):
     return grid.groupBy(*SESSION).agg(F.count("*").alias("observations"), F.countDistinct("t", F.least("t", "w")).alias("cells"))
 
 
-@query("global_choice_index", f"{SEGMENTED}, e AS (SELECT experiment, participant, i, len(regexp_extract_all(segments[i], '<<(.*?)>>')) AS n FROM segmented, range(1, 400) AS r(i) WHERE i <= len(segments)) SELECT experiment, participant, i - 1 AS segment_index, CAST(coalesce(sum(n) OVER (PARTITION BY experiment, participant ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_choice FROM e")
+@query("global_choice_index", f"{SEGMENTED}, e AS (SELECT experiment, participant, i, len(regexp_extract_all(segments[i], '<<(.*?)>>')) AS n FROM (SELECT *, unnest(range(1, len(segments) + 1)) AS i FROM segmented)) SELECT experiment, participant, i - 1 AS segment_index, CAST(coalesce(sum(n) OVER (PARTITION BY experiment, participant ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_choice FROM e")
 def global_choice_index(spark, sf_dir):
     from pyspark.sql import Window
 
