@@ -140,6 +140,6 @@ def comparability(runs: DataFrame) -> DataFrame:
     everyone = runs.select("model").distinct().count()
     pairs = runs.select("model", "experiment", "participant").distinct()
     present = pairs.groupBy("experiment").agg(F.countDistinct("model").alias("n_models"))
-    each = pairs.groupBy("experiment", "participant").agg(F.count("*").alias("has")).join(F.broadcast(present), "experiment")
+    each = pairs.groupBy("experiment", "participant").agg(F.count("*").alias("has")).join(present, "experiment")
     table = each.groupBy("experiment", "n_models").agg(F.count_if(F.col("has") == F.col("n_models")).alias("n_shared"), F.count("*").alias("n_seen"))
     return table.where((F.col("n_shared") < F.col("n_seen")) | (F.col("n_models") < everyone)).select("experiment", "n_shared", "n_seen", "n_models")

@@ -82,7 +82,11 @@ def all_child_completeness(spark, sf_dir):
     return integrity.incomplete(_children(spark, sf_dir), _parents(spark, sf_dir), CHOICE, ["token_index", "rank"])
 
 
-@query("occurrence_merge")
+#: A choice's rows come once as they are and once whole; the first time some lack one.
+OCCURRENCES = f"{ALL_CHILDREN}, each_one AS (SELECT experiment, participant, choice_index, count(*) AS first_rows, any_value(num_tokens) * 2 AS whole FROM children GROUP BY 1, 2, 3), k AS (SELECT e.*, p.expected FROM each_one e LEFT JOIN parents p USING (experiment, participant, choice_index)), n AS (SELECT outcome, sum(n) AS n, count(*) AS parents FROM (SELECT 'orphan' AS outcome, first_rows + whole AS n FROM k WHERE expected IS NULL UNION ALL SELECT 'kept', whole FROM k WHERE expected IS NOT NULL UNION ALL SELECT 'replay', whole FROM k WHERE expected IS NOT NULL AND first_rows = whole UNION ALL SELECT 'incomplete', first_rows FROM k WHERE expected IS NOT NULL AND first_rows < whole) GROUP BY 1) SELECT outcome, CAST(n AS BIGINT) AS n, parents FROM n"
+
+
+@query("occurrence_merge", OCCURRENCES)
 def occurrence_merge(spark, sf_dir):
     """Children written twice: whole in the replay, the first time some are cut short."""
     rows = _children(spark, sf_dir).drop("num_tokens")

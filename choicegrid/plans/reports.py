@@ -12,7 +12,7 @@ from ..schemas import CHOICE, SESSION
 from ..sources import readers
 from ..sources import testdata as data
 from ..sources.writers import shape_scores
-from .integrity import ALL_CHILDREN, SHARDS, _children, _parents, _shards
+from .integrity import SHARDS, _children, _shards
 from .likelihood import C, MATCHED, ONLINE, RUNS, SECOND, _matched, _runs, _second_run
 from .protocol import TOKENS, _tokens
 from .registry import query
@@ -276,13 +276,6 @@ def latest_step(spark, sf_dir):
     return protocol.latest_step(paths.unionByName(paths.select(F.concat("path", F.lit("-old")).alias("path"))))
 
 
-@query("occurrence_outcomes", f"{ALL_CHILDREN}, each_one AS (SELECT experiment, participant, choice_index, count(*) AS first_rows, any_value(num_tokens) * 2 AS whole FROM children GROUP BY 1, 2, 3), k AS (SELECT e.*, p.expected FROM each_one e LEFT JOIN parents p USING (experiment, participant, choice_index)), n AS (SELECT outcome, sum(n) AS n, count(*) AS parents FROM (SELECT 'orphan' AS outcome, first_rows + whole AS n FROM k WHERE expected IS NULL UNION ALL SELECT 'kept', whole FROM k WHERE expected IS NOT NULL UNION ALL SELECT 'replay', whole FROM k WHERE expected IS NOT NULL AND first_rows = whole UNION ALL SELECT 'incomplete', first_rows FROM k WHERE expected IS NOT NULL AND first_rows < whole) GROUP BY 1) SELECT outcome, CAST(n AS BIGINT) AS n, parents FROM n")
-def occurrence_outcomes(spark, sf_dir):
-    from .integrity import occurrence_merge
-
-    return occurrence_merge(spark, sf_dir)
-
-
 @query("merge_run_report", f"{SHARDS}, k AS (SELECT count(*) AS n, CAST(sum(num_tokens * 2) AS BIGINT) AS whole FROM choices), again AS (SELECT count(*) AS n FROM choices WHERE event_id % 9 = 0), cut AS (SELECT CAST(sum(num_tokens * 2 - 1) AS BIGINT) AS lost, CAST(sum(num_tokens * 2) AS BIGINT) AS full_rows FROM choices WHERE event_id % 17 = 0) SELECT 'predictions' AS \"table\", k.n AS rows, again.n AS replays, CAST(0 AS BIGINT) AS incomplete, CAST(0 AS BIGINT) AS orphans FROM k, again UNION ALL SELECT 'pred_topk', whole, whole - full_rows, lost, CAST((SELECT count(*) FROM choices) AS BIGINT) FROM k, cut")
 def merge_run_report(spark, sf_dir):
     """Predictions with replays, and their rows of likely tokens: cut short at first here and there, whole again later, and one without a parent each."""

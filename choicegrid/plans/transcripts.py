@@ -193,7 +193,7 @@ def _rows(spark, sf_dir):
     # one row per task: how many sessions the tasks before it have
     before = every.select("experiment", F.coalesce(F.sum("n").over(Window.orderBy("experiment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     place = F.row_number().over(Window.partitionBy("experiment").orderBy(F.col("participant").cast("int"))) - 1
-    return data.sessions(spark, sf_dir).join(F.broadcast(before), "experiment").withColumn("row_idx", F.col("start") + place).drop("start")
+    return data.sessions(spark, sf_dir).join(before, "experiment").withColumn("row_idx", F.col("start") + place).drop("start")
 
 
 @query("shard_mod", f"{ROWS} SELECT experiment, participant FROM rows WHERE row_idx % 4 = 1")

@@ -14,17 +14,17 @@ def one(spark, value, column, kind="string"):
 
 
 def test_span_places(spark):
-    assert [tuple(p) for p in one(spark, "A <<left>> then <<right>>", tx.span_places)] == [(4, 8), (18, 23)]
+    assert [tuple(p) for p in one(spark, "é: <<up>>; <<o\nk>>!", tx.span_places)] == [(5, 7), (13, 16)]
     assert one(spark, "no marks", tx.span_places) == []
     assert one(spark, "<<>> <<open", tx.choices) == [""]
     assert one(spark, "<<a\nb>>", tx.choices) == ["a\nb"]
 
 
 def test_segments(spark):
-    text = "intro one\nintro two\n\nA <<x>>. out 1\nB <<y>> <<z>>\nmid\nC <<w\n"
+    text = "Card game.\nFour decks.\n \t\nRound 1: take <<deck 2>>, win 3\nyou see <<red>> <<blue>>\nbreak\nRound 2: <<deck\n"
     df = spark.createDataFrame([(text,)], "t string").select(tx.header(F.col("t")).alias("h"), tx.segments(F.col("t")).alias("s"), tx.tail(F.col("t")).alias("e")).first()
-    assert df.h == "intro one\nintro two\n\n"
-    assert df.s == ["A <<x>>. out 1\n", "B <<y>> <<z>>\n", "mid\nC <<w\n"]
+    assert df.h == "Card game.\nFour decks.\n \t\n"
+    assert df.s == ["Round 1: take <<deck 2>>, win 3\n", "you see <<red>> <<blue>>\n", "break\nRound 2: <<deck\n"]
     assert df.e == ""
 
 
