@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import binary_output, bpe, chat, embedding_dedup, fingerprints, jaccard_join, language_id, oracles, packing, quality, toxicity
 from .common import table
 
@@ -55,13 +53,9 @@ def op10_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def pipeline(spark, sf_dir):
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def queries():
-    return {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op3_binary_output, op4_toxicity, op5_fingerprints, op6_bpe, op7_language_id, op8_jaccard_join, op9_chat_formatting, op10_quality, pipeline)}
+    return {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op3_binary_output, op4_toxicity, op5_fingerprints, op6_bpe, op7_language_id, op8_jaccard_join, op9_chat_formatting, op10_quality)}
 
 
 def oracle_sql():
-    return oracles.SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return dict(oracles.SQL)

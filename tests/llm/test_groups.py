@@ -381,3 +381,65 @@ def test_pipeline_stages(spark):
     records = packing.pack(seen).collect()
     assert {r.doc_id for r in records} == {i for i, _ in rows}
     assert len(corpus_pipeline.STAGES) == 4
+
+
+def odd_documents(spark, tmp_path, rows):
+    """A folder of tables with nulls, repeats, ties, empty and long texts, and columns whose names the stages use themselves."""
+    kind = "doc_id long, text string, lang string, source string, n_chars int, key string, score double, label int, uid long, name string, node long, copies int"
+    spark.createDataFrame([(*r, "k", 0.5, 1, 7, "n", 3, 2) for r in rows], kind).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, i % 4 != 0, i % 4 == 1) for i in range(60)] + [(None, 1, 0), (3, None, None), (5, 1, 1)]
+    spark.createDataFrame([(i, None if q is None else int(q), None if t is None else int(t)) for i, q, t in labels], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    return str(tmp_path)
+
+
+def test_pipeline_of_odd_documents(spark, tmp_path):
+    body = lambda i: " ".join(f"w{(i * 31 + k) % 997}" for k in range(40))
+    rows = [(i, f"{'junk $$$ ' * 9 if i % 4 == 0 else 'vile ' if i % 4 == 1 else ''}{body(i)}", "en", "s", 200) for i in range(60)]
+    rows += [(60, None, None, None, None), (61, "", "en", "s", 0), (62, body(2), "en", "s", 200), (None, body(70), "en", "s", 200), (None, body(70), "en", "s", 200)]
+    rows += [(63, body(71), None, "s", 200), (63, body(71), None, "s", 200), (64, body(80) + " and more" * 100_000, "en", "s", 900_000)]
+    sf = odd_documents(spark, tmp_path, rows)
+    seen = table(spark, sf, "documents")
+    columns, kept = seen.columns, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        seen = stage(spark, seen, sf).cache()
+        assert seen.columns == columns, name
+        kept.append({r.doc_id for r in seen.select("doc_id").collect()})
+    assert not kept[0] & set(range(0, 60, 4)) and set(range(2, 60, 4)) <= kept[0]
+    assert not kept[1] & set(range(1, 60, 4)) and set(range(2, 60, 4)) <= kept[1]
+    assert {2, 63, None} <= kept[2] and not {62} & kept[2]
+    assert seen.where("doc_id = 63").count() == 1 and seen.where("doc_id is null").count() == 2
+    records = corpus_pipeline.run(spark, sf).collect()
+    assert {r.doc_id for r in records} == kept[2]
+    by_sequence = {}
+    for r in records:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by_sequence.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    sf = odd_documents(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_intermediate_tables_can_be_released(spark):
+    from choicegrid.llm import common
+
+    common.release(spark)
+    frame = common.materialize(spark.range(5).toDF("x"))
+    assert frame.count() == 5 and common.release(spark) == 1 and common.release(spark) == 0
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        frame.count()
+
+
+def test_hot_rows_meet_their_key_by_broadcast(spark, monkeypatch):
+    from choicegrid.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = [(k, i) for k in range(6) for i in range(1 if k else 50)]
+    keyed = [(k, f"v{k}", 1 if k else 50) for k in range(6)]
+    found = common.join_hot(spark.createDataFrame(rows, "k int, i int"), spark.createDataFrame(keyed, "k int, v string, n int"), "k", "n", len(rows))
+    assert sorted(tuple(r) for r in found.select("k", "i", "v").collect()) == sorted((k, i, f"v{k}") for k, i in rows)
