@@ -8,6 +8,11 @@ that agree by chance.
 
 from __future__ import annotations
 
+import json
+import math
+from collections import Counter
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,12 +83,43 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (same / F.lit(float(BINS)) - chance) / (1 - chance)))
 
 
-def _range_of(doc_id: Column, bounds: list[int]) -> Column:
-    """Number of a range of ids, in descending order of ids; a null comes last."""
+def _numbers(values: list) -> Column:
+    """A constant array, however long, as one literal."""
+    return F.from_json(F.lit(json.dumps(values)), "array<array<bigint>>" if values and isinstance(values[0], list) else "array<bigint>")
+
+
+def bounds_above(x: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are above x, by two steps of about the square root of their number."""
     if not bounds:
-        return F.when(doc_id.isNull(), 1).otherwise(0)
-    above = F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: doc_id < b))
-    return F.when(doc_id.isNull(), len(bounds) + 1).otherwise(above)
+        return F.lit(0)
+    size = math.isqrt(len(bounds) - 1) + 1
+    pieces = [bounds[i : i + size] for i in range(0, len(bounds), size)]
+    piece = F.size(F.filter(_numbers([p[-1] for p in pieces]), lambda b: b <= x))  # pieces without a bound above x
+    within = lambda k: F.lit(len(bounds)) - F.least(k * size, F.lit(len(bounds))) - F.coalesce(F.size(F.filter(F.get(_numbers(pieces), k), lambda b: b <= x)), F.lit(0))
+    return F.get(F.transform(F.array(piece), within), F.lit(0))
+
+
+def _ranges(docs: DataFrame, n: int) -> Column:
+    """Number of the range of a row, in the order of (doc_id descending, nulls last, hash of the text); about n ranges of like size.
+
+    An id that fills a range or more, null ids among them, has ranges of its own, which part its rows by the hash.
+    """
+    found = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("cuts"), F.count("*").alias("rows"), F.count_if(F.col("doc_id").isNull()).alias("none")).first()
+    seen = Counter(found["cuts"] or [])
+    hot = {v: k for v, k in seen.items() if k > 1}
+    bounds = sorted({*seen, *(v + 1 for v in hot)})
+    nulls = max(1, math.ceil(found["none"] * n / max(found["rows"], 1)))
+    # ranges from the highest ids down: range k holds ids below k bounds, the last one nulls
+    parts = [hot.get(bounds[len(bounds) - 1 - k], 1) if k < len(bounds) else 1 for k in range(len(bounds) + 1)] + [nulls]
+    starts = [0, *accumulate(parts)][:-1]
+    own = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(bounds_above(F.col("doc_id"), bounds))
+    share = F.xxhash64("text") / F.lit(2.0**64) + 0.5
+
+    def placed(k: Column) -> Column:
+        many = F.get(_numbers(parts), k)
+        return F.get(_numbers(starts), k) + F.least(F.floor(share * many), many - 1)
+
+    return F.get(F.transform(F.array(own), placed), F.lit(0)).cast("long")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -92,9 +128,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     last marks these repeated rows; the last range is followed by the very first row. Ties in doc_id are ordered by text.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = 4 * shuffle_partitions(docs.sparkSession)
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("b")).first()["b"]
-    ranged = docs.withColumn("rng", _range_of(F.col("doc_id"), sorted(set(cuts or []))))
+    ranged = docs.withColumn("rng", _ranges(docs, 4 * shuffle_partitions(docs.sparkSession)))
     order = F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("down"), F.xxhash64("text").alias("h"), F.col("text"))
     firsts = ranged.groupBy("rng").agg(F.min_by(F.struct("doc_id", "text"), order).alias("first"))
     ring = Window.orderBy("rng")  # one row per range
@@ -116,7 +150,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     The next document is the one that follows by descending doc_id, the first one after the last; ties follow by text, and
     rows with a null doc_id come last. A single row is its own next. A null text counts as empty; an empty table gives none.
     """
-    dealt = with_next(docs).repartition("rng").withColumn("fingerprint", fingerprint(F.col("text")))
+    dealt = with_next(docs).repartitionByRange("rng").withColumn("fingerprint", fingerprint(F.col("text")))
     w = Window.partitionBy("rng").orderBy("last", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
     led = dealt.withColumn("next_text", F.lead("text").over(w)).withColumn("next_fingerprint", F.lead("fingerprint").over(w)).where(~F.col("last"))
     own = led.withColumn("edited", edited(F.col("text"), F.col("next_text"))).withColumn("edited_fingerprint", fingerprint(F.col("edited")))

@@ -84,6 +84,16 @@ def test_matrices(spark, docs):
             a, b = r.cu_seqlens[k], r.cu_seqlens[k + 1]
             assert places[a:b].tolist() == list(range(b - a))
             seen[doc].setdefault(start, []).append(ids[a:b].tolist())
+    pieces, wanted = defaultdict(int), defaultdict(int)  # repeated doc_ids and null ones too: the ids of all pieces, one by one
+    for r in rows:
+        ids = np.frombuffer(r.input_ids, "<u2")
+        for k, doc in enumerate(r.doc_ids):
+            for x in ids[r.cu_seqlens[k] : r.cu_seqlens[k + 1]].tolist():
+                pieces[doc, x] += 1
+    for d in docs.collect():
+        for x in [*encoded(d.text), 1]:
+            wanted[d.doc_id, x] += 1
+    assert pieces == wanted
     for d in docs.collect():
         if d.doc_id not in (5, None):
             assert sum((seen[d.doc_id][s][0] for s in sorted(seen[d.doc_id])), []) == [*encoded(d.text), 1]
@@ -147,6 +157,35 @@ def test_fingerprints(spark):
     assert fingerprints.compare_edited(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 50])
+def test_bounds_above(spark, n):
+    rng = random.Random(n)
+    bounds = sorted(rng.sample(range(-100, 100), n))
+    rows = spark.createDataFrame([(x,) for x in range(-110, 110)], "x long").select("x", fingerprints.bounds_above(F.col("x"), bounds).alias("n")).collect()
+    assert all(r.n == sum(b > r.x for b in bounds) for r in rows)
+
+
+def test_an_id_of_a_third_of_all_rows(spark):
+    rng = random.Random(2)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    rows = [(i, " ".join(word() for _ in range(6))) for i in range(150)] + [(77, " ".join(word() for _ in range(6))) for _ in range(200)]
+    rows += [(None, " ".join(word() for _ in range(6))) for _ in range(150)] + [(77, "the same text"), (77, "the same text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hashed = df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    order = sorted(hashed, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h, r.text))
+    wanted = defaultdict(int)
+    for k, r in enumerate(order):
+        third = len(r.text) // 3
+        changed = r.text[: len(r.text) - third] + order[(k + 1) % len(order)].text[:third]
+        wanted[r.doc_id, hashlib.sha256(changed.encode()).hexdigest()] += 1
+    found = defaultdict(int)
+    for r in fingerprints.compare_edited(df).collect():
+        found[r.doc_id, r.edited_sha256] += 1
+    assert found == wanted
+    sizes = [r["count"] for r in fingerprints.with_next(df).groupBy("rng").count().collect()]
+    assert max(sizes) < 120 and len(sizes) > 8
+
+
 def test_likeness_is_unbiased(spark):
     rows = []
     rng = random.Random(9)
@@ -217,6 +256,13 @@ def test_language_of_long_texts(spark, monkeypatch):
     assert np.allclose(whole[0], cut[0], rtol=1e-6) and (whole[1] == cut[1]).all() and whole[1].tolist() == [True, False, False, True, True]
 
 
+def test_a_long_conversation(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"turn {t} </s>[INST] " + "word " * (20_000 if t == 7 else 3)) for t in range(20_000)]
+    row = chat.read_back(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5))).first()
+    said = "".join(r[3] for r in rows if r[2] == "assistant")
+    assert row.n_turns == 20_000 and row.loss_chars == len(said) and row.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(8)
     pieces = [*chat.CONTROL, "\\", "<\\s>", "[\\INST]", "[\\\\INST]", " ", "a", "]", "[", "\n", " [/INST]", " [/OUT]</s>", "é"]
