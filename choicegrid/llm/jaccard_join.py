@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialize
+from .common import distinct, join_hot, materialize
 from .components import components
 from .pairs import blocked, close_pairs, dealt_groups, spanning, spans, whole_groups
 from .tokens import ragged, slices
@@ -176,7 +176,7 @@ def ngram_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFr
                 mine = [text_key(t) == k for k, t in zip(keys, batch.column(1).to_pylist(), strict=True)]
                 batch = batch.filter(pa.array(mine, pa.bool_()))
                 values, begins, _ = ngram_hashes(batch.column(1), words)
-                sets = [np.unique(values[a:b]).tobytes() for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
+                sets = [distinct(values[a:b]).tobytes() for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["key", "grams"])
 
     found = docs.join(wanted, docs["doc_id"] == wanted["node"]).select("key", "text")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_rows, held_out, materialize
+from .common import distinct, filter_rows, held_out, materialize
 from .tokens import slices
 from .training import Logistic, labelled_rows, with_labels
 
@@ -73,18 +73,16 @@ def content_features(texts: pa.Array) -> np.ndarray:
     counts = np.maximum(np.diff(ends), 1).astype(float)
     codes = np.asarray(coded.indices, np.int64)
     docs = np.repeat(np.arange(len(counts)), np.diff(ends))
-    distinct = np.bincount(np.unique(docs * (len(coded.dictionary) + 1) + codes) // (len(coded.dictionary) + 1), minlength=len(counts))
+    different = np.bincount(distinct((docs << 32) + codes) >> 32, minlength=len(counts))
     same = np.concatenate([[False], (codes[1:] == codes[:-1]) & (docs[1:] == docs[:-1])])
     neighbours = np.bincount(docs[same], minlength=len(counts))
-    bigrams = codes[:-1] * (len(coded.dictionary) + 1) + codes[1:]
     inside = docs[1:] == docs[:-1]
-    _, bigram_codes = np.unique(bigrams[inside], return_inverse=True)
-    width = int(bigram_codes.max()) + 1 if len(bigram_codes) else 1
-    two = np.bincount(np.unique(docs[1:][inside] * width + bigram_codes) // width, minlength=len(counts))
+    bigrams = ((codes[:-1].astype(np.uint64) << np.uint64(32)) + codes[1:].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)
+    two = np.bincount(distinct((docs[1:][inside] << 40) + bigrams[inside].astype(np.int64)) >> 40, minlength=len(counts))
     per = lambda x: x / chars
     columns = [
         np.sqrt(per(n[7])), np.sqrt(per(pairs)), np.sqrt(per(n[3])), np.sqrt(per(n[4])), per(n[5]), np.sqrt(per(n[6])), np.sqrt(per(exclaim)), per(n[1] + n[2]), np.sqrt(per(n[2])),
-        np.log1p(chars), np.log(counts), np.sqrt(neighbours / counts), distinct / counts, two / np.maximum(counts - 1, 1), chars / counts, (distinct / counts) * np.log(counts),
+        np.log1p(chars), np.log(counts), np.sqrt(neighbours / counts), different / counts, two / np.maximum(counts - 1, 1), chars / counts, (different / counts) * np.log(counts),
     ]
     place = np.array([xxhash.xxh32_intdigest(w) % WORDS for w in coded.dictionary.to_pylist()], np.int64)
     words = np.bincount(docs * WORDS + place[codes], minlength=len(counts) * WORDS).reshape(-1, WORDS) if len(codes) else np.zeros((len(counts), WORDS))

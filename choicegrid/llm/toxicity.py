@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_rows, held_out, materialize
+from .common import distinct, filter_rows, held_out, materialize
 from .tokens import slices
 from .training import TRAIN_ROWS, Logistic, labelled_rows, with_labels
 
@@ -306,7 +306,7 @@ def doc_pairs(codes: np.ndarray, ends: np.ndarray, per_word: np.ndarray, wanted:
     rows = rows.ravel()[rows.ravel() >= 0]
     if not len(rows):
         return docs, rows
-    pairs = np.unique(docs * (int(rows.max()) + 1) + rows)
+    pairs = distinct(docs * (int(rows.max()) + 1) + rows)
     return pairs // (int(rows.max()) + 1), pairs % (int(rows.max()) + 1)
 
 

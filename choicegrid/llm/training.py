@@ -10,6 +10,8 @@ from .common import held_out
 
 #: Labelled rows that a classifier is fitted on at most (about); more are sampled by a hash of their id.
 TRAIN_ROWS = 100_000
+#: Rows of a block of a Newton step.
+BLOCK_ROWS = 4096
 
 
 def labelled_rows(labels: DataFrame, column: str, keep_held_out: bool = False, most: int = TRAIN_ROWS) -> DataFrame:
@@ -38,14 +40,20 @@ class Logistic:
         self.penalty = penalty
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Logistic:
+        """A step adds up blocks of rows, so the driver holds x and one block more."""
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-        z = np.column_stack([np.ones(len(x)), (x - self.mean) / self.scale])
-        ridge = self.penalty * np.eye(z.shape[1])
+        ridge = self.penalty * np.eye(x.shape[1] + 1)
         ridge[0, 0] = 1e-6
-        w = np.zeros(z.shape[1])
+        w = np.zeros(x.shape[1] + 1)
         for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + ridge, z.T @ (y - p) - ridge @ w)
+            slope, bend = -ridge @ w, ridge.copy()
+            for begin in range(0, len(x), BLOCK_ROWS):
+                part = x[begin : begin + BLOCK_ROWS]
+                z = np.column_stack([np.ones(len(part)), (part - self.mean) / self.scale])
+                p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+                slope += z.T @ (y[begin : begin + BLOCK_ROWS] - p)
+                bend += (z * (p * (1 - p) + 1e-9)[:, None]).T @ z
+            step = np.linalg.solve(bend, slope)
             w += step
             if np.abs(step).max() < 1e-6:
                 break
