@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import binary_output, bpe, chat, embedding_dedup, fill_middle, fingerprints, jaccard_join, language_id, oracles, packing, pii, quality, toxicity
+from . import binary_output, bpe, chat, embedding_dedup, fill_middle, fingerprints, hard_negatives, jaccard_join, language_id, oracles, packing, pii, quality, toxicity
 from .common import table
 
 
@@ -53,6 +53,12 @@ def op10_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", noisy), F.col("vec_id") % 100 == 0)
+
+
 def op12_pii(spark, sf_dir):
     return pii.digests(table(spark, sf_dir, "documents"))
 
@@ -62,7 +68,7 @@ def op13_fill_middle(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op3_binary_output, op4_toxicity, op5_fingerprints, op6_bpe, op7_language_id, op8_jaccard_join, op9_chat_formatting, op10_quality, op12_pii, op13_fill_middle)}
+    return {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op3_binary_output, op4_toxicity, op5_fingerprints, op6_bpe, op7_language_id, op8_jaccard_join, op9_chat_formatting, op10_quality, op11_hard_negatives, op12_pii, op13_fill_middle)}
 
 
 def oracle_sql():
