@@ -1,12 +1,20 @@
-"""Scores of choices by a language model that is plugged in: requests are asked once, answers go to every window.
+"""Scores of marked choices by a language model that is plugged in.
 
-A scorer gets token ids of prompts with a choice behind them and gives, for each token of the choice, the log-probabilities
-of all tokens before it. It is made once per task from a factory, so it can hold a model of its own.
+One pass over a cell's text scores every choice that it asks for. A cell is a target segment with as many segments before it
+as a window shows, or a whole transcript; windows that show the same are one cell from the start, so nothing is asked twice
+and nothing is joined back. Tokens carry character offsets, and a choice's tokens are those that its span overlaps in the
+text as a whole, whatever a tokenizer merges across the marks.
+
+    cells = window_cells(sessions, [0, 1, "full"], tx.anchor_targets)
+    scored = score(prepare(cells, make, max_options=8), make, top_k=5)
+    tables = shape_scores(choice_scores(scored), constants, keys)
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,82 +24,222 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..schemas import SESSION
 
-#: (prompt ids, choice ids) of a batch of requests to, per request, a matrix of choice tokens x vocabulary of logits.
-Scorer = Callable[[list[tuple[list[int], list[int]]]], list[np.ndarray]]
-#: Text to token ids.
-Tokenizer = Callable[[str], list[int]]
 
-SCORED = "nll double, num_tokens int, greedy_id int, top_logprob double, entropy double, legal_mass double, format_ok boolean"
+@dataclass(frozen=True)
+class Model:
+    """A tokenizer and a scorer; a factory makes one per task, so it can hold weights of its own."""
 
+    #: Text to (token id, start, end), places in code points, in the order of the text.
+    encode: Callable[[str], list[tuple[int, int, int]]]
+    #: Token id to the text that it stands for, special tokens included.
+    decode: Callable[[int], str]
+    #: (ids, places) of a batch to, per request, the logits of the token at each place given the ids before it, in any iterable of rows.
+    logits: Callable[[list[tuple[list[int], list[int]]]], Iterable[Iterable[np.ndarray]]]
+    #: Put before every text where it isn't None.
+    bos: int | None = None
+    #: Texts of more tokens fail.
+    most_tokens: int | None = None
 
-def batches_of(lengths: list[int], budget: int) -> Iterator[list[int]]:
-    """Places of requests in batches, longest first: the longest times the number of requests stays within the budget of tokens, or is one request."""
-    held: list[int] = []
-    for k in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        if held and lengths[held[0]] * (len(held) + 1) > budget:
-            yield held
-            held = []
-        held.append(k)
-    if held:
-        yield held
 
+Make = Callable[[], Model]
 
-def window_requests(sessions: DataFrame, windows: list[int], targets: Callable[[Column], Column]) -> DataFrame:
-    """experiment, participant, window, target_index, effective_window, prompt, choice, support of every window at every target segment.
+CELL = "asked array<struct<condition:string,window:int>>, effective_window int, first_choice int, targets array<int>"
+PREPARED = f"{CELL}, support array<string>, ids array<int>, places array<array<int>>, choices array<string>, option_ids array<array<int>>, options_status string, tokens int"
+TOPK = "array<struct<token_index:int,rank:int,token_id:int,token:string,logprob:double>>"
+OPTIONS = "array<struct<option:string,logprob:double,n_tokens:int,is_human:boolean>>"
+SCORE = (
+    "struct<choice_index:int,target_index:int,human_choice:string,nll:double,num_tokens:int,pred_token_id:int,pred_choice:string,raw_generation:string,format_ok:boolean,k_options:int,"
+    f"top_logprob:double,entropy:double,legal_mass:double,options_status:string,topk:{TOPK},options:{OPTIONS}>"
+)
+#: What tells a score from the others of its session.
+SCORED = ["condition", "window", "target_index", "effective_window", "choice_index"]
 
-    sessions has text; a target's prompt ends before its first choice, with the header and up to `window` segments before it.
-    support holds the labels of the whole session, whatever the window shows. Segments without a closed choice ask nothing.
+
+def window_cells(sessions: DataFrame, windows: list[int | str], targets: Callable[[Column], Column]) -> DataFrame:
+    """experiment, participant, asked, effective_window, first_choice, targets, base, text, support: one row per text to be read.
+
+    sessions has text. windows are numbers of segments shown before a target, or "full": the whole transcript, read once for
+    all of its choices (effective_window null). asked holds the conditions that the cell answers, targets the segment of each
+    choice asked for, base the number of choices before them in the text, first_choice that in the session. support holds
+    the labels of the whole session, whatever a window shows. Segments without a closed choice ask nothing.
     """
     t = F.col("text")
-    cut = sessions.select(*SESSION, tx.header(t).alias("header"), tx.segments(t).alias("segments"), F.array_sort(F.array_distinct(tx.choices(t))).alias("support"))
-    asked = cut.where("segments is not null").withColumn("target_index", F.explode(targets(F.size("segments")))).withColumn("window", F.explode(F.array(*map(F.lit, windows))))
-    segment = F.get("segments", F.col("target_index"))
-    choice = F.get(tx.choices(segment), F.lit(0))
-    whole = tx.window_prompt(F.col("header"), F.col("segments"), F.col("target_index"), F.col("window"))
-    # what stands before the target's first mark, the mark included
-    before = F.substr(whole, F.lit(1), F.length(whole) - F.length(segment) + F.instr(segment, tx.OPEN) + 1)
-    rows = asked.select(*SESSION, "window", "target_index", F.least("window", "target_index").alias("effective_window"), before.alias("prompt"), choice.alias("choice"), "support")
-    return rows.where("choice is not null")
-
-
-def score(requests: DataFrame, make: Callable[[], tuple[Tokenizer, Scorer]], budget: int = 4096) -> DataFrame:
-    """requests with nll, num_tokens, greedy_id, top_logprob, entropy, legal_mass, format_ok of their choice.
-
-    Requests of a session with the same target and effective window are one cell and are asked once; the answer goes to all of
-    them. nll is the sum over the choice's tokens. greedy_id is the likeliest first token, the least id on ties; format_ok
-    says that a label of the support begins with it. legal_mass is the probability of the support's labels, where all of them
-    are single tokens, else null. A choice without tokens or a logit that isn't finite fails the query. How requests fall
-    into batches changes no result.
+    support = F.array_sort(F.array_distinct(tx.choices(t)))
+    cut = sessions.select(*SESSION, t.alias("whole"), tx.header(t).alias("header"), tx.segments(t).alias("segments"), support.alias("support")).where("segments is not null")
+    cut = cut.withColumn("counts", F.transform("segments", lambda s: F.size(tx.choices(s))))
+    total = lambda begin, length: F.aggregate(F.slice("counts", begin, length), F.lit(0), lambda a, b: a + b)
+    entry = lambda name, w: F.struct(F.lit(name).alias("condition"), F.lit(w).cast("int").alias("window"))
+    numbers = sorted({w for w in windows if w != "full"})
+    parts = []
+    if numbers:
+        asked = F.array(*(entry(f"w{w}", w) for w in numbers))
+        shown = lambda e: F.least(e["window"], F.col("target_index"))
+        rows = cut.withColumn("target_index", F.explode(targets(F.size("segments")))).withColumn("effective_window", F.explode(F.array_distinct(F.transform(asked, shown))))
+        first = F.col("target_index") - F.col("effective_window")
+        parts.append(
+            rows.select(
+                *SESSION, F.filter(asked, lambda e: shown(e) == F.col("effective_window")).alias("asked"), "effective_window", total(F.lit(1), F.col("target_index")).alias("first_choice"),
+                F.array_repeat("target_index", F.get("counts", "target_index")).alias("targets"), total(first + 1, F.col("effective_window")).alias("base"),
+                tx.window_prompt(F.col("header"), F.col("segments"), F.col("target_index"), F.col("effective_window")).alias("text"), "support",
+            )
+        )
+    if "full" in windows:
+        places = F.flatten(F.transform("counts", lambda n, i: F.array_repeat(i, n)))
+        parts.append(cut.select(*SESSION, F.array(entry("full", None)).alias("asked"), F.lit(None).cast("int").alias("effective_window"), F.lit(0).alias("first_choice"), places.alias("targets"), F.lit(0).alias("base"), F.col("whole").alias("text"), "support"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.where(F.size("targets") > 0)
+
+
+def overlapping(encoded: list[tuple[int, int, int]], spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Places of the tokens that each span overlaps. Empty tokens overlap nothing, and the first token isn't predicted by any."""
+    some = [k for k, (_, begin, end) in enumerate(encoded) if begin < end]
+    begins, ends = (np.array([encoded[k][side] for k in some], np.int64) for side in (1, 2))
+    low, high = (np.searchsorted(x, [s[side] for s in spans], how) for x, side, how in ((ends, 0, "right"), (begins, 1, "left")))
+    return [[k for k in some[a:b] if k > 0] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+
+
+def option_tokens(model: Model, options: list[str], most: int) -> tuple[list[list[int]] | None, str]:
+    """(token ids of each option as it stands behind the opening mark, status); no ids unless every option is one token."""
+    if not most:
+        return None, "off"
+    if len(options) > most:
+        return None, "too_many_options"
+    ids = lambda text: [k for k, _, _ in model.encode(text)]
+    mark, found = ids(tx.OPEN), []
+    for option in options:
+        own = ids(tx.OPEN + option)
+        if own[: len(mark)] != mark:
+            return None, "tokenization_mismatch"
+        found.append(own[len(mark) :])
+    return (found, "scored") if all(len(x) == 1 for x in found) else (None, "multi_token_option")
+
+
+def prepare(cells: DataFrame, make: Make, max_options: int = 0) -> DataFrame:
+    """cells as tokens: adds ids, places (of each choice's tokens), choices, option_ids, options_status, tokens; text and base go.
+
+    Up to max_options labels of a session are told apart by single tokens; 0 leaves that out. A choice without tokens, a text
+    beyond the model's length, and marks that don't fit the segments' fail the query.
     """
-    cell = [*SESSION, "target_index", "effective_window"]
-    cells = requests.groupBy(*cell).agg(*(F.first(c).alias(c) for c in ("prompt", "choice", "support")))
 
     def run(batches):
-        tokens, scorer = make()
+        model = make()
+        lead = [] if model.bos is None else [(model.bos, 0, 0)]
+        known: dict[tuple, tuple] = {}
         for batch in batches:
-            asked = [(tokens(p), tokens(c)) for p, c in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-            if any(not c for _, c in asked):
-                raise ValueError("a choice has no tokens")
-            answers: list[np.ndarray | None] = [None] * len(asked)
-            for places in batches_of([len(p) + len(c) for p, c in asked], budget):
-                for k, logits in zip(places, scorer([asked[k] for k in places]), strict=True):
-                    answers[k] = logits
             rows = []
-            for (_, choice), logits, support in zip(asked, answers, batch.column(6).to_pylist(), strict=True):
-                logits = np.asarray(logits, float)
-                if logits.shape[0] != len(choice) or not np.isfinite(logits).all():
-                    raise ValueError("a scorer must give finite logits for every token of a choice")
-                top = logits.max(axis=1, keepdims=True)
-                logprobs = logits - top - np.log(np.exp(logits - top).sum(axis=1, keepdims=True))
-                first, p = logprobs[0], np.exp(logprobs[0])
-                greedy = int(first.argmax())
-                labels = [tokens(s) for s in support]
-                single = sorted({s[0] for s in labels}) if labels and all(len(s) == 1 for s in labels) else None
-                rows.append((float(-logprobs[np.arange(len(choice)), choice].sum()), len(choice), greedy, float(first[greedy]), float(-(p * first).sum()), float(p[single].sum()) if single else None, greedy in {s[0] for s in labels if s}))
-            kinds = (pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
-            names = [x.split()[0] for x in SCORED.split(", ")]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[*cell, *names])
-
-    kind = dict(requests.dtypes)
-    answered = cells.select(*cell, "prompt", "choice", "support").mapInArrow(run, ", ".join(f"{c} {kind[c]}" for c in cell) + f", {SCORED}")
-    return requests.drop("prompt", "support").join(answered, cell)
+            for row in batch.to_pylist():
+                spans = [m.span(1) for m in re.finditer("(?s)<<(.*?)>>", row["text"])]
+                if len(spans) != row["base"] + len(row["targets"]):
+                    raise ValueError("the marks of a cell aren't those of its segments")
+                encoded = lead + model.encode(row["text"])
+                if model.most_tokens is not None and len(encoded) > model.most_tokens:
+                    raise ValueError(f"a text has {len(encoded)} tokens, the model takes {model.most_tokens}")
+                spans = spans[row["base"] :]
+                places = overlapping(encoded, spans)
+                if not all(places):
+                    raise ValueError("a choice has no tokens")
+                support = tuple(row["support"])
+                if support not in known:
+                    known = {support: option_tokens(model, list(support), max_options)}  # a session's cells come one after the other
+                options, status = known[support]
+                rows.append({**{c: row[c] for c in kept}, "ids": [k for k, _, _ in encoded], "places": places, "choices": [row["text"][a:b] for a, b in spans], "option_ids": options, "options_status": status, "tokens": len(encoded)})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    kept = [*SESSION, "asked", "effective_window", "first_choice", "targets", "support"]
+    ddl = ", ".join(f"{c} {t}" for c, t in cells.dtypes if c in SESSION) + f", {PREPARED}"
+    schema = arrow_schema(ddl)
+    return cells.select(*kept[:-1], "base", "text", "support").mapInArrow(run, ddl)
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def batches_of(rows: Iterable[dict], budget: int) -> Iterator[list[dict]]:
+    """Rows, longest first, in batches: the first one's tokens times the number of rows stays within the budget, or it is one row."""
+    held: list[dict] = []
+    for row in rows:
+        if held and held[0]["tokens"] * (len(held) + 1) > budget:
+            yield held
+            held = []
+        held.append(row)
+    if held:
+        yield held
+
+
+def read_place(model: Model, logits: np.ndarray, token: int, options: list[list[int]] | None, top_k: int) -> dict:
+    """What is kept of one place: the token's log-probability, the likeliest token (the least id on ties), entropy, top tokens, options."""
+    logits = np.asarray(logits, float)
+    if not np.isfinite(logits).all():
+        raise ValueError("a scorer must give finite logits")
+    top = logits.max()
+    logprobs = logits - top - np.log(np.exp(logits - top).sum())
+    best = int(logprobs.argmax())
+    order = np.lexsort((np.arange(len(logprobs)), -logprobs))[:top_k] if top_k else []
+    return {
+        "logprob": float(logprobs[token]), "best": best, "best_logprob": float(logprobs[best]), "entropy": float(-(np.exp(logprobs) * logprobs).sum()),
+        "topk": [(int(k), model.decode(int(k)), float(logprobs[k])) for k in order], "options": None if options is None else [float(logprobs[o[0]]) for o in options],
+    }
+
+
+def read_cell(model: Model, row: dict, answer: Iterable[np.ndarray], places: list[int], top_k: int) -> list[dict]:
+    """The scores of a cell's choices."""
+    firsts = {p[0] for p in row["places"]}
+    seen, answer = {}, iter(answer)
+    for place in places:
+        logits = next(answer, None)
+        if logits is None:
+            raise ValueError("a scorer must give logits for every place")
+        seen[place] = read_place(model, logits, row["ids"][place], row["option_ids"] if place in firsts else None, top_k)
+    support, scores = row["support"], []
+    for k, (choice, own) in enumerate(zip(row["choices"], row["places"], strict=True)):
+        first, status, options = seen[own[0]], row["options_status"], []
+        if row["option_ids"] is not None:
+            # comparable only where the text holds the very tokens that the options were built from
+            if [row["ids"][i] for i in own] == row["option_ids"][support.index(choice)]:
+                options = [{"option": o, "logprob": v, "n_tokens": 1, "is_human": o == choice} for o, v in zip(support, first["options"], strict=True)]
+            else:
+                status = "tokenization_mismatch"
+        said = model.decode(first["best"])
+        topk = [{"token_index": n, "rank": r, "token_id": t, "token": text, "logprob": v} for n, i in enumerate(own) for r, (t, text, v) in enumerate(seen[i]["topk"])]
+        scores.append(
+            {
+                "choice_index": row["first_choice"] + k, "target_index": row["targets"][k], "human_choice": choice, "nll": -sum(seen[i]["logprob"] for i in own), "num_tokens": len(own),
+                "pred_token_id": first["best"], "pred_choice": said, "raw_generation": said, "format_ok": said in support, "k_options": len(support), "top_logprob": first["best_logprob"],
+                "entropy": first["entropy"], "legal_mass": float(np.exp([o["logprob"] for o in options]).sum()) if options else None, "options_status": status, "topk": topk, "options": options,
+            }
+        )
+    return scores
+
+
+def score(prepared: DataFrame, make: Make, budget: int = 4096, top_k: int = 0) -> DataFrame:
+    """experiment, participant, asked, effective_window, scores of every prepared cell.
+
+    scores has one entry per choice: nll is summed over the choice's tokens; pred_choice is the likeliest first token as text
+    and format_ok says that this text is a label of the session, so of a label of several tokens the first one isn't one.
+    options are there where options_status is scored. Each partition is sorted by length and packed longest first, over
+    however many Arrow batches, so a task holds one batch of `budget` tokens; how cells fall into batches changes no result.
+    """
+    ddl = ", ".join(f"{c} {t}" for c, t in prepared.dtypes if c in (*SESSION, "asked", "effective_window")) + f", scores array<{SCORE}>"
+    schema = arrow_schema(ddl)
+
+    def run(batches):
+        model = make()
+        for held in batches_of((row for batch in batches for row in batch.to_pylist()), budget):
+            places = [sorted({i for own in row["places"] for i in own}) for row in held]
+            answers = model.logits([(row["ids"], p) for row, p in zip(held, places, strict=True)])
+            rows = [{**{c: row[c] for c in (*SESSION, "asked", "effective_window")}, "scores": read_cell(model, row, answer, p, top_k)} for row, answer, p in zip(held, answers, places, strict=True)]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return prepared.sortWithinPartitions(F.desc("tokens"), *SESSION).mapInArrow(run, ddl)
+
+
+def choice_scores(scored: DataFrame) -> DataFrame:
+    """One row per choice and condition that asked for it: condition, window (null: full), target_index, effective_window and the entries of its score, topk and options nested."""
+    each = scored.select(*SESSION, F.explode("asked").alias("a"), "effective_window", "scores").select(*SESSION, "a.*", "effective_window", F.explode("scores").alias("s"))
+    return each.select(*SESSION, "condition", "window", F.coalesce("effective_window", "s.target_index").alias("effective_window"), "s.*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -290,45 +292,75 @@ def merge_run_report(spark, sf_dir):
     return merge.merged_tables(_shards(spark, sf_dir), {"pred_topk": rows}, kinds)[1]
 
 
-#: Vocabulary of the scorer that stands for a model here, and its logits: token j before `n` tokens has (n * (j + 1)) % 7.
+#: The model that stands for one here: labels in pieces, other characters by their code; token j behind `n` tokens has the logit (n * (j + 1)) % 7.
 VOCABULARY = 16
+PIECES = ["click", "error", "pur", "chase", "signup", "view", "ok"]
 
 
 def toy_model():
-    def tokens(text):
-        return [ord(c) % VOCABULARY for c in text]
+    pieces = re.compile("|".join([*PIECES, "(?s:.)"]))
+
+    def encode(text):
+        return [(PIECES.index(m[0]) if m[0] in PIECES else 7 + ord(m[0]) % 9, m.start(), m.end()) for m in pieces.finditer(text)]
 
     def logits(requests):
-        out = []
-        for prompt, choice in requests:
-            before = len(prompt) + np.arange(len(choice))[:, None]
-            out.append((before * (np.arange(VOCABULARY)[None, :] + 1) % 7).astype(float))
-        return out
+        return [(np.array(places)[:, None] * (np.arange(VOCABULARY)[None, :] + 1) % 7).astype(float) for _, places in requests]
 
-    return tokens, logits
+    return scoring.Model(encode, lambda k: PIECES[k] if k < 7 else chr(90 + k), logits)
 
 
-SCORES = (
+TOKEN_SQL = "'click|error|pur|chase|signup|view|ok|(?s:.)'"
+SCORED_SQL = (
     S
-    + """, cut AS (SELECT experiment, participant, regexp_extract(text, '^(.*Rules\\.\\n\\n)', 1, 's') AS header, regexp_extract_all(text, 'Trial [^\\n]*\\n') AS segments, list_distinct(regexp_extract_all(text, '<<(.*?)>>', 1)) AS support FROM sessions),
-n AS (SELECT *, len(segments) AS n, len(segments) - 1 AS l FROM cut), c AS (SELECT *, least(greatest(CAST(round_even(0.1 * l, 0) AS BIGINT), 2), n - 3) AS a FROM n WHERE n > 5),
+    + f""", cut AS (SELECT experiment, participant, regexp_extract(text, '^(.*Rules\\.\\n\\n)', 1, 's') AS header, regexp_extract_all(text, 'Trial [^\\n]*\\n') AS segments, list_sort(list_distinct(regexp_extract_all(text, '<<(.*?)>>', 1))) AS support FROM sessions),
+n AS (SELECT *, len(segments) AS n, len(segments) - 1 AS l, len(regexp_extract_all(header, {TOKEN_SQL})) AS head, list_transform(segments, lambda v: len(regexp_extract_all(v, {TOKEN_SQL}))) AS sizes, list_transform(segments, lambda v: len(regexp_extract_all(v, '<<'))) AS marks FROM cut),
+c AS (SELECT *, least(greatest(CAST(round_even(0.1 * l, 0) AS BIGINT), 2), n - 3) AS a FROM n WHERE n > 5),
 d AS (SELECT *, least(greatest(CAST(round_even(0.5 * l, 0) AS BIGINT), a + 1), n - 2) AS b FROM c),
-t AS (SELECT experiment, participant, header, segments, support, unnest([0, 1, a, b, l]) AS t FROM d UNION ALL SELECT experiment, participant, header, segments, support, unnest(range(0, n)) FROM n WHERE n <= 5),
-q AS (SELECT experiment, participant, t, w, support, regexp_extract(segments[t + 1], '<<(.*?)>>', 1) AS choice,
-  length(header) + coalesce(list_sum(list_transform(segments[greatest(t - w, 0) + 1:t], lambda v: length(v))), 0) + instr(segments[t + 1], '<<') + 1 AS before FROM t, (VALUES (0), (1), (3)) AS v(w)),
-z AS (SELECT *, unnest(range(0, length(choice))) AS k FROM q),
-y AS (SELECT *, ascii(substr(choice, CAST(k AS INTEGER) + 1, 1)) % 16 AS tok, CAST(before + k AS BIGINT) AS pos FROM z),
-x AS (SELECT *, ln(list_sum(list_transform(range(0, 16), lambda j: exp((pos * (j + 1)) % 7)))) - (pos * (tok + 1)) % 7 AS lost, list_transform(range(0, 16), lambda j: (pos * (j + 1)) % 7) AS logits FROM y)
-SELECT experiment, participant, t AS target_index, w AS window_size, choice, round(sum(lost), 6) AS nll, CAST(count(*) AS INTEGER) AS num_tokens,
-  CAST(any_value(list_position(logits, list_max(logits)) - 1) FILTER (WHERE k = 0) AS INTEGER) AS greedy_id,
-  list_contains(list_transform(any_value(support), lambda s: ascii(s) % 16), any_value(list_position(logits, list_max(logits)) - 1) FILTER (WHERE k = 0)) AS format_ok
-FROM x GROUP BY 1, 2, 3, 4, 5"""
+t AS (SELECT experiment, participant, unnest([0, 1, a, b, l]) AS t FROM d UNION ALL SELECT experiment, participant, unnest(range(0, n)) FROM n WHERE n <= 5),
+r AS (SELECT experiment, participant, t, 'w' || CAST(w AS VARCHAR) AS condition, w, least(w, t) AS e FROM t, (VALUES (0), (1), (3)) AS v(w) UNION ALL SELECT experiment, participant, t, 'full', NULL, t FROM (SELECT experiment, participant, unnest(range(0, n)) AS t FROM n)),
+q AS (SELECT r.*, support, head + coalesce(list_sum(sizes[t - e + 1:t]), 0) AS before, coalesce(list_sum(marks[1:t]), 0) AS first, string_split(segments[t + 1], '<<') AS parts FROM r JOIN n USING (experiment, participant)),
+k AS (SELECT *, unnest(range(1, len(parts))) AS k FROM q),
+z AS (SELECT *, first + k - 1 AS choice_index, split_part(parts[k + 1], '>>', 1) AS human_choice, before + len(regexp_extract_all(array_to_string(parts[1:k], '<<') || '<<', {TOKEN_SQL})) AS start FROM k),
+y AS (SELECT *, regexp_extract_all(human_choice, {TOKEN_SQL}) AS toks FROM z),
+x AS (SELECT *, unnest(range(0, len(toks))) AS i, unnest(toks) AS tok FROM y),
+p AS (SELECT *, list_transform(range(0, 16), lambda j: ((start + i) * (j + 1)) % 7) AS logits, coalesce(list_position({PIECES}, tok) - 1, 7 + ascii(tok) % 9) AS id FROM x),
+lp AS (SELECT *, list_transform(logits, lambda v: v - ln(list_sum(list_transform(logits, lambda u: exp(u))))) AS lp FROM p),
+said AS (SELECT *, list_position(lp, list_max(lp)) - 1 AS best, CASE WHEN len(support) > 5 THEN 'too_many_options' WHEN list_contains(support, 'purchase') THEN 'multi_token_option' ELSE 'scored' END AS status FROM lp)"""
 )
+SCORE_KEYS = "experiment, participant, condition, CAST(w AS INTEGER) AS window_size, CAST(t AS INTEGER) AS target_index, CAST(e AS INTEGER) AS effective_window, CAST(choice_index AS INTEGER) AS choice_index"
+PIECE_SQL = f"coalesce(list_extract({PIECES}, CAST(best + 1 AS INTEGER)), chr(CAST(90 + best AS INTEGER)))"
+SCORES = f"""{SCORED_SQL}, one AS (SELECT *, {PIECE_SQL} AS pred_choice, CASE WHEN status = 'scored' THEN list_sum(list_transform(support, lambda o: exp(lp[list_position({PIECES}, o)]))) END AS mass, -list_sum(list_transform(lp, lambda v: exp(v) * v)) AS h FROM said WHERE i = 0),
+total AS (SELECT experiment, participant, condition, choice_index, round(-sum(lp[id + 1]), 6) AS nll FROM said GROUP BY 1, 2, 3, 4)
+SELECT {SCORE_KEYS}, human_choice, nll, CAST(len(toks) AS INTEGER) AS num_tokens, CAST(best AS INTEGER) AS pred_token_id, pred_choice, list_contains(support, pred_choice) AS format_ok,
+  CAST(len(support) AS INTEGER) AS k_options, round(h, 6) AS entropy, round(mass, 6) AS legal_mass, status AS options_status FROM one JOIN total USING (experiment, participant, condition, choice_index)"""
+TOPK = f"""{SCORED_SQL}, each_one AS (SELECT *, unnest(range(0, 16)) AS best, unnest(lp) AS v FROM (SELECT * EXCLUDE (best) FROM said)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY experiment, participant, condition, choice_index, i ORDER BY round(v, 9) DESC, best) - 1 AS rank FROM each_one)
+SELECT {SCORE_KEYS}, CAST(i AS INTEGER) AS token_index, CAST(rank AS INTEGER) AS rank, CAST(best AS INTEGER) AS token_id, {PIECE_SQL} AS token, round(v, 6) AS logprob FROM ranked WHERE rank < 3"""
+SCORED_OPTIONS = f"""{SCORED_SQL}, o AS (SELECT *, unnest(support) AS option FROM said WHERE i = 0 AND status = 'scored')
+SELECT {SCORE_KEYS}, option, round(lp[list_position({PIECES}, option)], 6) AS logprob, CAST(1 AS INTEGER) AS n_tokens, option = human_choice AS is_human FROM o"""
+
+
+def _scores(spark, sf_dir):
+    """Every choice of the target segments under three windows at the anchors, and every choice of the whole transcripts, from one pass."""
+    cells = scoring.window_cells(data.sessions(spark, sf_dir), [0, 1, 3, "full"], tx.anchor_targets)
+    scored = scoring.choice_scores(scoring.score(scoring.prepare(cells, toy_model, max_options=5), toy_model, top_k=3))
+    return shape_scores(scored, {}, [*SESSION, *scoring.SCORED])
+
+
+def _sized(table):
+    return table.withColumnRenamed("window", "window_size")
 
 
 @query("transcript_scores", SCORES)
 def transcript_scores(spark, sf_dir):
-    """Choices of several tokens under three windows at the anchors, by a model of a few lines that SQL can repeat."""
-    requests = scoring.window_requests(data.sessions(spark, sf_dir), [0, 1, 3], tx.anchor_targets)
-    scored = scoring.score(requests, toy_model)
-    return scored.select(*SESSION, F.col("target_index").cast("long").alias("target_index"), F.col("window").alias("window_size"), "choice", "nll", "num_tokens", "greedy_id", "format_ok")
+    return _sized(_scores(spark, sf_dir)["predictions"]).drop("raw_generation", "top_logprob")
+
+
+@query("transcript_topk", TOPK)
+def transcript_topk(spark, sf_dir):
+    return _sized(_scores(spark, sf_dir)["pred_topk"])
+
+
+@query("transcript_options", SCORED_OPTIONS)
+def transcript_options(spark, sf_dir):
+    return _sized(_scores(spark, sf_dir)["pred_options"])

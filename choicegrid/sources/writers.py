@@ -10,11 +10,11 @@ from .files import exists
 from .readers import CSV, session_digest
 
 
-def shape_scores(scored: DataFrame, constants: dict[str, str]) -> dict[str, DataFrame]:
-    """predictions, pred_topk and pred_options from nested scores (topk: array of structs, options: array of structs)."""
+def shape_scores(scored: DataFrame, constants: dict[str, str], keys: list[str] = CHOICE) -> dict[str, DataFrame]:
+    """predictions, pred_topk and pred_options from nested scores (topk: array of structs, options: array of structs); keys tell scores apart."""
     fixed = [F.lit(v).alias(k) for k, v in constants.items()]
-    keys = [*fixed, *CHOICE]
-    flat = [c for c in scored.columns if c not in ("topk", "options", *CHOICE)]
+    flat = [c for c in scored.columns if c not in ("topk", "options", *keys)]
+    keys = [*fixed, *keys]
     out = {"predictions": scored.select(*keys, *flat)}
     for name, column in (("pred_topk", "topk"), ("pred_options", "options")):
         if column in scored.columns:

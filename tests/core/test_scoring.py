@@ -6,81 +6,188 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from choicegrid.functions import text as tx
 from choicegrid.functions.scalars import missing_as_null
 from choicegrid.operators import baselines, curves, metrics, protocol, readouts, sampling, scoring
-from choicegrid.plans.reports import VOCABULARY, toy_model
 from choicegrid.streaming import sessions as live
 
 TEXT = "Rules.\n\nA <<ab>>. one\nB <<c>> <<d>>\nC <<ab>>\nend"
+KIND = "experiment string, participant string, text string"
+HEAD, SEGMENTS = "Rules.\n\n", ["A <<ab>>. one\n", "B <<c>> <<d>>\n", "C <<ab>>\n"]
+EVERY = lambda n: F.sequence(F.lit(0), n - 1)
+V = 128
 
 
-def plain_scores(text, windows):
-    """By plain loops over one session's text."""
-    import re
+def merging(pairs=(), logits=None, **more):
+    """A model of characters that takes some pairs of them as one token, as tokenizers do."""
 
-    head = "Rules.\n\n"
-    segments = ["A <<ab>>. one\n", "B <<c>> <<d>>\n", "C <<ab>>\n"]
-    support = re.findall("<<(.*?)>>", text)
-    for t, segment in enumerate(segments):
-        for w in windows:
-            prompt = head + "".join(segments[max(t - w, 0) : t]) + segment[: segment.index("<<") + 2]
-            choice = re.search("<<(.*?)>>", segment)[1]
-            nll, greedy = 0.0, None
-            for k, c in enumerate(choice):
-                logits = [((len(prompt) + k) * (j + 1)) % 7 for j in range(VOCABULARY)]
-                greedy = logits.index(max(logits)) if k == 0 else greedy
-                nll += math.log(sum(map(math.exp, logits))) - logits[ord(c) % VOCABULARY]
-            yield (w, t), (nll, len(choice), greedy, greedy in {ord(s[0]) % VOCABULARY for s in support})
+    def make():
+        def encode(text):
+            out, at = [], 0
+            while at < len(text):
+                n = 2 if text[at : at + 2] in pairs else 1
+                out.append((V + pairs.index(text[at : at + 2]) if n == 2 else ord(text[at]) % V, at, at + n))
+                at += n
+            return out
 
+        def plain(requests):
+            return [(np.array(places)[:, None] * (np.arange(V + len(pairs))[None, :] + 1) % 97 / 9.0) for _, places in requests]
 
-@pytest.mark.parametrize("budget", [1, 60, 4096])
-def test_scores_equal_plain_loops(spark, budget):
-    sessions = spark.createDataFrame([("a", "1", TEXT), ("a", "2", "no marks"), ("a", "3", TEXT)], "experiment string, participant string, text string")
-    requests = scoring.window_requests(sessions, [0, 1, 9], lambda n: F.sequence(F.lit(0), n - 1))
-    wanted = dict(plain_scores(TEXT, [0, 1, 9]))
-    rows = scoring.score(requests, toy_model, budget).collect()
-    assert len(rows) == 2 * len(wanted)
-    for r in rows:
-        nll, n, greedy, ok = wanted[r.window, r.target_index]
-        assert abs(r.nll - nll) < 1e-9 and (r.num_tokens, r.greedy_id, r.format_ok) == (n, greedy, ok)
-        assert r.legal_mass is None  # "ab" has two tokens
+        return scoring.Model(encode, lambda k: pairs[k - V] if k >= V else chr(k), logits or plain, **more)
 
+    return make
 
-def test_equal_cells_are_asked_once(spark):
-    asked = spark.sparkContext.accumulator(0)
 
-    def make():
-        tokens, logits = toy_model()
+def scores_of(spark, make, windows=(0, 1, 9, "full"), budget=4096, top_k=2, max_options=4, text=TEXT):
+    sessions = spark.createDataFrame([("a", "1", text), ("a", "2", "no marks"), ("a", "3", text)], KIND)
+    prepared = scoring.prepare(scoring.window_cells(sessions, list(windows), EVERY), make, max_options)
+    return scoring.choice_scores(scoring.score(prepared, make, budget, top_k))
 
-        def counting(requests):
-            asked.add(len(requests))
-            return logits(requests)
 
-        return tokens, counting
+def plain_scores(make, windows, top_k=2):
+    """By plain loops over one session's text: one text per choice and window, tokens by brute force."""
+    import re
 
-    sessions = spark.createDataFrame([("a", "1", TEXT)], "experiment string, participant string, text string")
-    requests = scoring.window_requests(sessions, [0, 1, 2, 100], lambda n: F.sequence(F.lit(0), n - 1))
-    assert len(scoring.score(requests, make).collect()) == 12 and asked.value == 6
+    model = make()
+    spans = [len(re.findall("<<.*?>>", s)) for s in SEGMENTS]
+    for t in range(len(SEGMENTS)):
+        for w in windows:
+            start = 0 if w == "full" else max(t - w, 0)
+            text = TEXT if w == "full" else HEAD + "".join(SEGMENTS[start : t + 1])
+            marks = list(re.finditer("<<(.*?)>>", text))[sum(spans[start:t]) :][: spans[t]]
+            encoded = model.encode(text)
+            for k, m in enumerate(marks):
+                own = [i for i, (_, a, b) in enumerate(encoded) if a < m.end(1) and b > m.start(1)]
+                rows = next(iter(model.logits([([e[0] for e in encoded], own)])))
+                lost, first = 0.0, None
+                for i, row in zip(own, rows):
+                    lp = [x - math.log(sum(math.exp(y) for y in row)) for x in row]
+                    lost -= lp[encoded[i][0]]
+                    first = first or lp
+                best = first.index(max(first))
+                said = model.decode(best)
+                top = sorted(range(len(first)), key=lambda j: (-first[j], j))[:top_k]
+                yield ("full" if w == "full" else f"w{w}", sum(spans[:t]) + k), (t, m[1], round(lost, 9), len(own), best, said, said in {"ab", "c", "d"}, top)
+
+
+@pytest.mark.parametrize("pairs", [(), ("ab", "<<"), ("<c", ">>", "d>")])
+@pytest.mark.parametrize("budget", [1, 60, 4096])
+def test_scores_equal_plain_loops(spark, budget, pairs):
+    make = merging(pairs)
+    wanted = dict(plain_scores(make, [0, 1, 9, "full"]))
+    rows = scores_of(spark, make, budget=budget).collect()
+    assert len(rows) == 2 * len(wanted) == 32
+    for r in rows:
+        top = [t.token_id for t in r.topk if t.token_index == 0]
+        assert (r.target_index, r.human_choice, round(r.nll, 9), r.num_tokens, r.pred_token_id, r.pred_choice, r.format_ok, top) == wanted[r.condition, r.choice_index]
+        assert r.effective_window == (r.target_index if r.window is None else min(r.window, r.target_index))
+    assert {r.choice_index for r in rows} == {0, 1, 2, 3}
 
 
-def test_a_scorer_must_be_finite(spark):
-    sessions = spark.createDataFrame([("a", "1", TEXT)], "experiment string, participant string, text string")
-    requests = scoring.window_requests(sessions, [0], lambda n: F.sequence(F.lit(0), n - 1))
+def test_options_and_their_guard(spark):
+    status = lambda make, **more: {(r.human_choice, r.options_status, len(r.options)) for r in scores_of(spark, make, **more).collect()}
+    assert status(merging(), max_options=0) == {("ab", "off", 0), ("c", "off", 0), ("d", "off", 0)}
+    assert status(merging(), max_options=2) == {(c, "too_many_options", 0) for c in ("ab", "c", "d")}
+    assert status(merging()) == {(c, "multi_token_option", 0) for c in ("ab", "c", "d")}
+    assert status(merging(("ab",))) == {(c, "scored", 3) for c in ("ab", "c", "d")}
+    assert status(merging(("ab", "<c"))) == {(c, "tokenization_mismatch", 0) for c in ("ab", "c", "d")}
+    # the text holds another token than the option's own: only that choice is left out
+    assert status(merging(("ab", "d>"))) == {("ab", "scored", 3), ("c", "scored", 3), ("d", "tokenization_mismatch", 0)}
+    for r in scores_of(spark, merging(("ab",))).collect():
+        assert abs(r.legal_mass - sum(math.exp(o.logprob) for o in r.options)) < 1e-12 and [o.option for o in r.options if o.is_human] == [r.human_choice]
 
-    def make():
-        tokens, _ = toy_model()
-        return tokens, lambda asked: [np.full((len(c), 4), np.nan) for _, c in asked]
 
-    with pytest.raises(Exception, match="finite"):
-        scoring.score(requests, make).collect()
+def test_only_whole_labels_are_well_formed(spark):
+    a = lambda requests: [[np.eye(V)[ord("a")] for _ in places] for _, places in requests]
+    assert {(r.pred_choice, r.format_ok) for r in scores_of(spark, merging(logits=a)).collect()} == {("a", False)}
+    c = lambda requests: [[np.eye(V)[ord("c")] for _ in places] for _, places in requests]
+    assert {(r.pred_choice, r.format_ok) for r in scores_of(spark, merging(logits=c)).collect()} == {("c", True)}
 
 
-def test_batches_stay_within_the_budget():
-    lengths = [5, 9, 1, 30, 2, 2]
-    batches = list(scoring.batches_of(lengths, 20))
-    assert sorted(k for b in batches for k in b) == list(range(6))
-    assert all(len(b) == 1 or max(lengths[k] for k in b) * len(b) <= 20 for b in batches)
+def test_equal_cells_are_asked_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+    make = merging()
+
+    def counting():
+        model = make()
+
+        def logits(requests):
+            asked.add(len(requests))
+            return model.logits(requests)
+
+        return scoring.Model(model.encode, model.decode, logits)
+
+    sessions = spark.createDataFrame([("a", "1", TEXT)], KIND)
+    cells = scoring.window_cells(sessions, [0, 1, 2, 100], EVERY)
+    assert cells.count() == 6
+    # four windows, four choices
+    assert len(scoring.choice_scores(scoring.score(scoring.prepare(cells, counting), counting)).collect()) == 16 and asked.value == 6
+
+
+def test_batches_go_over_arrow_batches(spark):
+    """The batches of a partition are those of the plain longest-first packing, however rows arrive."""
+    texts = [f"R\n\n{'x' * (i * 7 % 50)} <<a>>\n" for i in range(60)]
+    sessions = spark.createDataFrame([("a", str(i), t) for i, t in enumerate(texts)], KIND)
+    batches = spark.sparkContext.accumulator(0)
+    make = merging()
+
+    def counting():
+        model = make()
+
+        def logits(requests):
+            batches.add(1)
+            assert len(requests) == 1 or max(len(ids) for ids, _ in requests) * len(requests) <= 200
+            return model.logits(requests)
+
+        return scoring.Model(model.encode, model.decode, logits)
+
+    prepared = scoring.prepare(scoring.window_cells(sessions, ["full"], EVERY).coalesce(1), make)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert scoring.score(prepared, counting, 200).count() == 60
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    lengths, held, plain = sorted((len(t) for t in texts), reverse=True), [], 0
+    for n in lengths:
+        if held and held[0] * (len(held) + 1) > 200:
+            plain, held = plain + 1, []
+        held.append(n)
+    assert batches.value == plain + 1
+
+
+def test_what_a_model_must_not_do(spark):
+    for make, said in (
+        (merging(logits=lambda requests: [[np.full(V, np.nan)] * len(p) for _, p in requests]), "finite"),
+        (merging(logits=lambda requests: [[] for _ in requests]), "every place"),
+        (merging(most_tokens=20), "takes 20"),
+    ):
+        with pytest.raises(Exception, match=said):
+            scores_of(spark, make).collect()
+    with pytest.raises(Exception, match="no tokens"):
+        scores_of(spark, merging(), text="R\n\nA <<>>\n").collect()
+    with pytest.raises(Exception, match="aren't those"):
+        scores_of(spark, merging(), text="R\n\nA <<x\ny>>\nB <<z>>\n").collect()
+
+
+def test_a_first_token_needs_one_before_it(spark):
+    assert scoring.overlapping([(5, 0, 3), (6, 3, 3), (7, 3, 4)], [(1, 2), (2, 4)]) == [[], [2]]
+    assert scoring.overlapping([(1, 0, 0), (5, 0, 3), (7, 3, 4)], [(1, 2)]) == [[1]]
+
+
+def test_tables_of_one_pass(spark, tmp_path):
+    from choicegrid.operators import integrity
+    from choicegrid.sources.writers import shape_scores, write_tables
+
+    make, keys = merging(("ab",)), [*scoring.SESSION, *scoring.SCORED]
+    scores_of(spark, make).write.parquet(str(tmp_path / "nested"))
+    tables = shape_scores(spark.read.parquet(str(tmp_path / "nested")), {"model": "m"}, keys)
+    write_tables(tables, str(tmp_path / "out"))
+    parents, topk, options = (spark.read.parquet(str(tmp_path / "out" / n)) for n in ("predictions", "pred_topk", "pred_options"))
+    assert parents.count() == 32 and topk.count() == parents.agg(F.sum("num_tokens")).first()[0] * 2 and options.count() == 32 * 3
+    own = [*scoring.SESSION, "condition", "choice_index"]
+    for rows, expected, suffix in ((topk, "num_tokens * 2", ["token_index", "rank"]), (options, "k_options", ["option"])):
+        assert integrity.orphans(rows, parents, own).count() == 0
+        assert integrity.incomplete(rows, parents.withColumn("expected", F.expr(expected).cast("long")), own, suffix).count() == 0
+    assert {c for c in topk.columns} == {"model", *keys, "token_index", "rank", "token_id", "token", "logprob"}
 
 
 def choices(spark, labels, extra=()):
