@@ -89,14 +89,24 @@ def pivot_table(rows: DataFrame, pivots: np.ndarray, most: float) -> DataFrame:
 
 
 def tiled(table: DataFrame, tile: int, name: str = "name") -> tuple[DataFrame, int]:
-    """(table with the number of the tile that a row belongs to; how many there are). A cell has about its rows / tile tiles, which a hash deals."""
+    """(table with the number of the tile that a row belongs to; how many there are).
+
+    A cell has about its rows / tile tiles, which a hash deals; cells of less than half a tile share one until it is full.
+    """
     counts = {r["cell"]: r["n"] for r in table.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # one row per pivot
-    first, number, parts = [], [], 0
+    first, number, parts, shared, room = [], [], 0, 0, 0
     for cell in range(max(counts, default=-1) + 1):
-        n = -(-counts.get(cell, 0) // tile)
-        first.append(parts)
-        number.append(max(1, n))
-        parts += n
+        n = counts.get(cell, 0)
+        if 2 * n < tile:
+            if n > room:
+                shared, room, parts = parts, tile, parts + 1
+            room -= n
+            first.append(shared)
+            number.append(1)
+        else:
+            first.append(parts)
+            number.append(-(-n // tile))
+            parts += number[-1]
     at = lambda values: F.get(F.array(*map(F.lit, values or [0])), F.col("cell").cast("int"))
     return table.withColumn(name, (at(first) + F.pmod(F.xxhash64("uid", F.lit(5)), at(number))).cast("long")), parts
 
