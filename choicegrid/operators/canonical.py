@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import canonical_code, is_option
+from ..functions.scalars import canonical_code, is_option, number
 from ..schemas import SESSION
 
 BLOCK = [*SESSION, "block"]
@@ -19,8 +19,7 @@ def align_sessions(choices: DataFrame, table: DataFrame) -> DataFrame:
     table has experiment, participant, row_idx, value, forced, block in trial order. The first rule that leaves as many rows
     as the session has choices pairs the two by their order; sessions that no rule fits are left out.
     """
-    number = F.col("value").cast("string").try_cast("double")
-    keeps = {"raw": F.lit(True), "forced==0": F.col("forced") == 0, "code>=0": F.coalesce(number >= 0, F.lit(False))}
+    keeps = {"raw": F.lit(True), "forced==0": F.col("forced") == 0, "code>=0": F.coalesce(number(F.col("value").cast("string")) >= 0, F.lit(False))}
     counted = table.groupBy(*SESSION).agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(r) for r, c in keeps.items()), F.count("forced").alias("has_forced"))
     lengths = choices.groupBy(*SESSION).agg(F.count("*").alias("length"))
     fits = [F.when((F.col(f"`{r}`") == F.col("length")) & (F.lit(r != "forced==0") | (F.col("has_forced") > 0)), F.lit(r)) for r in RULES]

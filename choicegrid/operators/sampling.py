@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import choices, header, segments, tail
+from .quantiles import exact_quantile
 
 
 def prefix_limit(rows: DataFrame, n: int, order: str = "row_idx") -> DataFrame:
@@ -38,10 +39,9 @@ def split_by_length(rows: DataFrame, most: int, text: str = "text") -> tuple[Dat
 def skip_report(rows: DataFrame, most: int) -> DataFrame:
     """experiment, skipped, total, median_chars (of the skipped), whole_task of the tasks with skipped sessions."""
     long = F.length("text") > most
-    table = rows.groupBy("experiment").agg(
-        F.count_if(long).alias("skipped"), F.count("*").alias("total"), F.floor(F.median(F.when(long, F.length("text")))).cast("long").alias("median_chars")
-    )
-    return table.where("skipped > 0").withColumn("whole_task", F.col("skipped") == F.col("total"))
+    table = rows.groupBy("experiment").agg(F.count_if(long).alias("skipped"), F.count("*").alias("total")).where("skipped > 0")
+    middle = exact_quantile(rows.where(long).select("experiment", F.length("text").alias("chars")), ["experiment"], "chars", 0.5)
+    return table.join(middle, "experiment").select("experiment", "skipped", "total", F.floor("quantile").cast("long").alias("median_chars"), (F.col("skipped") == F.col("total")).alias("whole_task"))
 
 
 def nonempty(rows: DataFrame, what: str = "rows") -> DataFrame:

@@ -10,15 +10,17 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.scalars import canonical_code, short_name, table_folder
 from ..operators import baselines, canonical, curves, integrity, merge, metrics, protocol, readouts, sampling, scoring
+from ..operators.quantiles import exact_quantile
 from ..schemas import CHOICE, SESSION
 from ..sources import readers
 from ..sources import testdata as data
+from ..sources.files import work_folder
 from ..sources.writers import shape_scores
 from .integrity import SHARDS, _children, _shards
 from .likelihood import C, MATCHED, ONLINE, RUNS, SECOND, _matched, _runs, _second_run
 from .protocol import TOKENS, _tokens
 from .registry import query
-from .transcripts import S
+from .transcripts import ROWS, S
 
 P = f"WITH {data.PREDICTIONS}"
 
@@ -364,3 +366,18 @@ def transcript_topk(spark, sf_dir):
 @query("transcript_options", SCORED_OPTIONS)
 def transcript_options(spark, sf_dir):
     return _sized(_scores(spark, sf_dir)["pred_options"])
+
+
+@query("exact_quantiles", "SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.9), 6) AS quantile, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def exact_quantiles(spark, sf_dir):
+    """Groups with more distinct values than are looked through at once."""
+    return exact_quantile(data.read(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", 0.9)
+
+
+@query("shard_mod_scan", f"{ROWS} SELECT row_idx, experiment, participant FROM rows WHERE row_idx % 4 = 1")
+def shard_mod_scan(spark, sf_dir):
+    """A shard of sessions by their line numbers, which the scan of the JSON lines gives."""
+    name = work_folder(spark)
+    rows = data.sessions(spark, sf_dir).orderBy("experiment", F.col("participant").cast("int"))
+    rows.write.json(name)
+    return sampling.modulo_shard(readers.read_sessions(spark, name), 1, 4).select("row_idx", *SESSION)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _path(spark: SparkSession, name: str):
@@ -45,3 +47,24 @@ def write_text(spark: SparkSession, name: str, text: str) -> None:
     finally:
         out.close()
     move(spark, f"{name}._part", name)
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder for intermediate tables in spark.checkpoint.dir, which driver and executors share; it goes when the driver ends.
+
+    Where that is unset, a local session gets a folder of its warehouse, and a cluster an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    name = f"{(named or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/work-{uuid.uuid4().hex}"
+    path, system = _path(spark, name)
+    system.deleteOnExit(path)
+    return name
+
+
+def written(frame: DataFrame) -> DataFrame:
+    """frame as a table in a work folder: what is read more than once is computed once, and a lost executor costs nothing."""
+    name = work_folder(frame.sparkSession)
+    frame.write.option("compression", "zstd").parquet(name)
+    return frame.sparkSession.read.schema(frame.schema).parquet(name)

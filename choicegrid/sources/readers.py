@@ -4,21 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import finite, number
 from ..schemas import COMMIT_SCHEMA, SCORE_SCHEMA, SESSION, SESSION_SCHEMA
-from .files import exists
+from .files import exists, written
 
 #: Labels may hold line ends, quotes and leading blanks, and `NA` is a label.
 CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """experiment, participant, text of JSON lines in UTF-8; participants are text whatever they look like."""
-    return spark.read.schema(SESSION_SCHEMA).option("mode", "FAILFAST").option("primitivesAsString", True).option("encoding", "UTF-8").json(path)
+def read_sessions(spark: SparkSession, path: str, numbered: bool = True) -> DataFrame:
+    """experiment, participant, text of JSON lines in UTF-8, and row_idx, the lines' order from 0 on unless not numbered; participants are text whatever they look like.
+
+    Several files count one after the other by their paths. Blank lines are no rows.
+    """
+    lines = spark.read.schema(SESSION_SCHEMA).option("mode", "FAILFAST").option("primitivesAsString", True).option("encoding", "UTF-8").json(path)
+    return number_rows(lines, "experiment") if numbered else lines
+
+
+def number_rows(scan: DataFrame, column: str) -> DataFrame:
+    """scan, a reading of files as they are, with row_idx: each row's dense number in the order of paths and lines.
+
+    Two passes: the first counts the rows of every split of a file (reading `column` alone) and adds the counts up, splits
+    within their file and files among each other, which is one row per file in one task; the second adds a split's start to
+    a row's place in it. No row is moved. Both passes cut the files alike; a row that doesn't fit the counts fails the query.
+    """
+    split = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block")]
+    rows = scan.select("*", *split, F.monotonically_increasing_id().alias("__id"))
+    # both kinds are counted, so that the column is read and blank lines are passed over as in the second pass
+    n = F.count(column) + F.count_if(F.col(column).isNull())
+    splits = written(rows.groupBy("__file", "__block").agg(n.alias("__n"), F.min("__id").alias("__first")))
+    before = lambda by, order: F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = splits.groupBy("__file").agg(F.sum("__n").alias("__n")).select("__file", before([], "__file").alias("__base"))
+    starts = splits.join(files, "__file").select("__file", "__block", "__n", "__first", (F.col("__base") + before(["__file"], "__block")).alias("__start"))
+    place = F.col("__id") - F.col("__first")
+    fits = F.when((place < 0) | (place >= F.col("__n")), F.raise_error(F.lit("the files were cut otherwise in the second pass")).cast("long")).otherwise(place)
+    return rows.join(starts, ["__file", "__block"]).select(*scan.columns, (F.col("__start") + fits).alias("row_idx"))
 
 
 def repair_names(frame: DataFrame, repairs: dict[str, str]) -> DataFrame:
