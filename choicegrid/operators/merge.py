@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..schemas import CHOICE
 from ..sources import readers
-from ..sources.files import exists, listed, move, remove
-from . import integrity, protocol
+from ..sources.files import exists, first_line, listed, move, read_text, remove, written
+from . import contract, integrity, protocol
 
 
 class MergeError(ValueError):
@@ -43,14 +43,14 @@ def merged_tables(predictions: DataFrame, children: dict[str, DataFrame], kinds:
     """
     payload = [c for c in predictions.columns if c not in ("shard", "row_idx", *keys)]
     refuse(integrity.merge_violations(predictions, keys, payload), "predictions that differ between replays or shards")
-    parents = integrity.merge_predictions(predictions, keys, payload)
+    parents = written(integrity.merge_predictions(predictions, keys, payload))
     tables = {"predictions": parents.drop("copies")}
     report = parents.agg(F.lit("predictions").alias("table"), F.count("*").alias("rows"), (F.sum("copies") - F.count("*")).alias("replays"), F.lit(0).cast("long").alias("incomplete"), F.lit(0).cast("long").alias("orphans"))
     for name, rows in children.items():
         kind = kinds[name]
         wanted = parents.select(*keys, F.col("shard").alias("parent_shard"), F.expr(kind.expected).cast("long").alias("expected"))
         refuse(rows.join(wanted, keys).where("shard <> parent_shard").select(*keys, "shard", "parent_shard"), f"{name}: a row in another shard than its parent")
-        outcomes = integrity.occurrence_outcomes(rows, wanted, keys, kind.suffix)
+        outcomes = written(integrity.occurrence_outcomes(rows, wanted, keys, kind.suffix))
         kept = rows.join(outcomes.where("outcome = 'kept'").select("shard", "row_idx"), ["shard", "row_idx"], "left_semi")
         refuse(integrity.incomplete(kept, wanted.where("expected > 0"), keys, kind.suffix), f"{name}: a prediction without all of its rows")
         n = {k: F.coalesce(F.sum((F.col("outcome") == o).cast("long")), F.lit(0)).alias(k) for k, o in (("rows", "kept"), ("replays", "replay"), ("incomplete", "incomplete"), ("orphans", "orphan"))}
@@ -68,8 +68,8 @@ def run_shards(spark: SparkSession, run_dir: str, table: str, shards: int) -> Da
     found = sorted(n[len(table) + 1 : -4] for n in names)
     if found != sorted(map(str, range(shards))):
         raise MergeError(f"{table}: shards {found} are there, not 0..{shards - 1}")
-    headers = {k: spark.read.options(**readers.CSV).csv(f"{run_dir}/{table}.{k}.csv").columns for k in range(shards)}  # one line each
-    if any(h != headers[0] for h in headers.values()):
+    headers = {first_line(spark, f"{run_dir}/{table}.{k}.csv") for k in range(shards)}
+    if len(headers) > 1:
         raise MergeError(f"{table}: headers differ")
     # a file of several lines per record isn't split, so numbers grow along it
     rows = spark.read.options(**readers.CSV).csv([f"{run_dir}/{table}.{k}.csv" for k in range(shards)])
@@ -89,16 +89,41 @@ def read_manifests(spark: SparkSession, run_dir: str) -> list[dict]:
     return [json.loads(r["value"]) for r in spark.read.text([f"{run_dir}/{n}" for n in names], wholetext=True).collect()] if names else []
 
 
-def merge_run(spark: SparkSession, run_dir: str, shards: int, kinds: dict[str, Child], keys: list[str] = CHOICE) -> list[dict]:
+def read_launcher(spark: SparkSession, run_dir: str) -> dict | None:
+    """The launcher's file of a run, if there is one."""
+    name = f"{run_dir}/launcher.json"
+    return json.loads(read_text(spark, name)) if exists(spark, name) else None
+
+
+def stated_children(stated: contract.Contract) -> dict[str, Child]:
+    """The child tables that a contract asks for."""
+    top = {"pred_topk": Child(["token_index", "rank"], f"num_tokens * {stated.top_k}")} if stated.top_k else {}
+    return top | {"pred_options": Child(["option"], "IF(options_status = 'scored', k_options, 0)")}
+
+
+def check_rules(tables: dict[str, DataFrame], stated: contract.Contract, commits: DataFrame | None, keys: list[str]) -> None:
+    """An error unless predictions keep the window protocol (where the run is of that suite), receipts name their conditions, and options can be."""
+    predictions = contract.typed(tables["predictions"])
+    if stated.windows is not None:
+        refuse(protocol.window_violations(predictions, list(stated.windows.windows)), "rows that break the window protocol")
+    if commits is not None:
+        refuse(integrity.commit_violations(commits, predictions), "receipts that don't fit")
+        if "condition" in predictions.columns:
+            refuse(protocol.session_conditions(predictions, commits), "receipts of other conditions")
+    if "pred_options" in tables:
+        refuse(protocol.option_violations(contract.typed(tables["pred_options"]), predictions, keys), "options that can't be")
+
+
+def merge_run(spark: SparkSession, run_dir: str, shards: int, kinds: dict[str, Child] | None = None, keys: list[str] = CHOICE) -> list[dict]:
     """Merge a run's shards into `<run_dir>/merged/<table>` (Parquet) and return the report's rows.
 
-    Manifests must agree, shards be complete, failure logs empty, receipts (where there are any) fit the predictions, and
-    tables fulfil merged_tables. Tables are staged beside the goal and moved there when all of them are written, the
-    predictions last, so readers never see a parent without its children. A merged run is not merged again.
+    Manifests and the launcher's file must make a contract (contract_of), shards be complete, failure logs empty, tables
+    fulfil merged_tables and check_rules. Child tables are the contract's unless kinds names them. Shards are read once, into
+    Parquet. Tables are staged beside the goal and moved there when all of them are written, the predictions last, so readers
+    never see a parent without its children. A merged run is not merged again.
     """
-    contract = protocol.run_contract(read_manifests(spark, run_dir))
-    if contract.get("num_shards", shards) != shards:
-        raise MergeError(f"manifests state {contract['num_shards']} shards, not {shards}")
+    stated = contract.contract_of(read_manifests(spark, run_dir), read_launcher(spark, run_dir), shards)
+    kinds = stated_children(stated) if kinds is None else kinds
     goal = f"{run_dir}/merged"
     if exists(spark, f"{goal}/predictions"):
         raise MergeError(f"{goal} is there already")
@@ -112,9 +137,8 @@ def merge_run(spark: SparkSession, run_dir: str, shards: int, kinds: dict[str, C
             run_shards(spark, run_dir, table, shards).write.parquet(f"{staging}/raw_{table}")
             raw[table] = spark.read.parquet(f"{staging}/raw_{table}")
         tables, report = merged_tables(raw["predictions"], {t: raw[t] for t in kinds}, kinds, keys)
-        if exists(spark, f"{run_dir}/session_commits"):
-            commits = readers.read_commits(spark, f"{run_dir}/session_commits")
-            refuse(integrity.commit_violations(commits, tables["predictions"]), "receipts that don't fit")
+        commits = readers.read_commits(spark, f"{run_dir}/session_commits") if exists(spark, f"{run_dir}/session_commits") else None
+        check_rules(tables, stated, commits, keys)
         for name, table in tables.items():
             table.write.option("compression", "zstd").parquet(f"{staging}/{name}")
         rows = [r.asDict() for r in report.collect()]  # one per table

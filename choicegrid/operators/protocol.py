@@ -111,21 +111,21 @@ def window_violations(rows: DataFrame, windows: list[int]) -> DataFrame:
     return each.unionByName(whole)
 
 
-def option_violations(options: DataFrame, predictions: DataFrame) -> DataFrame:
-    """experiment, participant, choice_index, rule: options whose payload can't be. options has option, logprob, n_tokens, is_human."""
-    per = options.groupBy(*CHOICE).agg(
+def option_violations(options: DataFrame, predictions: DataFrame, keys: list[str] = CHOICE) -> DataFrame:
+    """keys, rule: options whose payload can't be. options has option, logprob, n_tokens, is_human."""
+    per = options.groupBy(*keys).agg(
         F.bool_or(F.col("n_tokens") != 1).alias("tokens"),
         F.bool_or(F.col("logprob").isNull() | F.isnan("logprob") | (F.col("logprob") > 0) | (F.col("logprob") == float("-inf"))).alias("logprob"),
         F.bool_or(F.coalesce(F.col("option"), F.lit("")) == "").alias("empty"),
         F.array_sort(F.collect_list(F.when(F.col("is_human"), F.col("option")))).alias("human"),
     )
-    joined = per.join(predictions.select(*CHOICE, "human_choice", "options_status"), CHOICE)
+    joined = per.join(predictions.select(*keys, "human_choice", "options_status"), keys)
     rules = {
         "not_scored": F.col("options_status") != "scored", "empty_option": F.col("empty"), "several_tokens": F.col("tokens"), "logprob": F.col("logprob"),
         "human_option": F.col("human") != F.array("human_choice"),
     }
     rule = F.coalesce(*(F.when(c, F.lit(n)) for n, c in rules.items()))
-    return joined.select(*CHOICE, rule.alias("rule")).where("rule is not null")
+    return joined.select(*keys, rule.alias("rule")).where("rule is not null")
 
 
 def session_conditions(predictions: DataFrame, commits: DataFrame) -> DataFrame:
@@ -156,12 +156,12 @@ def acceptance(predictions: DataFrame, sessions: DataFrame, conditions: list[str
 
 
 def run_contract(manifests: list[dict]) -> dict:
-    """What all manifests of a run state alike; a key on which they differ is an error. Manifests are one per shard."""
+    """What all manifests of a run state alike; a key on which they differ, or which one of them lacks, is an error. Manifests are one per shard."""
     if not manifests:
         raise ValueError("no manifests")
-    shared = reduce(lambda a, b: {k: v for k, v in a.items() if k in b}, manifests)
-    shared.pop("shard", None)
-    differ = sorted(k for k in shared if any(m[k] != shared[k] for m in manifests))
+    shared = reduce(lambda a, b: a | b, manifests)
+    shared = {k: v for k, v in shared.items() if k != "shard"}
+    differ = sorted(k for k in shared if any(k not in m or m[k] != shared[k] for m in manifests))
     if differ:
         raise ValueError(f"manifests differ in {differ}")
     shards = sorted(m["shard"] for m in manifests)

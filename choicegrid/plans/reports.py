@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.scalars import canonical_code, short_name, table_folder
-from ..operators import baselines, canonical, curves, integrity, merge, metrics, protocol, readouts, sampling, scoring
+from ..operators import baselines, canonical, curves, integrity, merge, metrics, protocol, readouts, runs, sampling, scoring
 from ..operators.quantiles import exact_quantile
 from ..schemas import CHOICE, SESSION
 from ..sources import readers
 from ..sources import testdata as data
-from ..sources.files import work_folder
+from ..sources.files import work_folder, written
 from ..sources.writers import shape_scores
 from .integrity import SHARDS, _children, _shards
 from .likelihood import C, MATCHED, ONLINE, RUNS, SECOND, _matched, _runs, _second_run
@@ -349,6 +349,23 @@ def _scores(spark, sf_dir):
     return shape_scores(scored, {}, [*SESSION, *scoring.SCORED])
 
 
+@query("resumed_run", f"WITH t AS ({SCORES}) SELECT experiment, condition, count(DISTINCT participant) AS sessions, count(*) AS n_choices, round(sum(nll), 6) AS nll FROM t GROUP BY 1, 2")
+def resumed_run(spark, sf_dir):
+    """A run that ends after one wave and is resumed: what its receipts vouch for is the whole."""
+    path = work_folder(spark)
+    keys = [*SESSION, *scoring.SCORED]
+
+    def nested(rows):
+        cells = scoring.window_cells(rows, [0, 1, 3, "full"], tx.anchor_targets)
+        return scoring.choice_scores(scoring.score(scoring.prepare(cells, toy_model, max_options=5), toy_model, top_k=3))
+
+    sessions = written(data.sessions(spark, sf_dir))
+    runs.score_run(sessions, path, nested, keys, waves=3, most_waves=1)
+    runs.score_run(sessions, path, nested, keys, waves=3, resume=True)
+    rows = runs.finished(spark, path, "predictions")
+    return rows.groupBy("experiment", "condition").agg(F.countDistinct("participant").alias("sessions"), F.count("*").alias("n_choices"), F.sum(F.round("nll", 6)).alias("nll"))
+
+
 def _sized(table):
     return table.withColumnRenamed("window", "window_size")
 

@@ -38,6 +38,27 @@ def remove(spark: SparkSession, name: str) -> None:
     system.delete(path, True)
 
 
+def read_text(spark: SparkSession, name: str) -> str:
+    """A small file in UTF-8."""
+    path, system = _path(spark, name)
+    stream = system.open(path)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def first_line(spark: SparkSession, name: str) -> str | None:
+    """The first line of a file, without reading on; None of an empty one."""
+    path, system = _path(spark, name)
+    stream = system.open(path)
+    try:
+        java = spark._jvm.java.io
+        return java.BufferedReader(java.InputStreamReader(stream, "UTF-8")).readLine()
+    finally:
+        stream.close()
+
+
 def write_text(spark: SparkSession, name: str, text: str) -> None:
     """A small file, written beside its place first and moved there; an existing one is an error."""
     path, system = _path(spark, f"{name}._part")

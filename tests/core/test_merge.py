@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from choicegrid.operators import integrity, merge
+from choicegrid.operators import contract, integrity, merge
 from choicegrid.sources import files, parameters, readers, writers
 
 KINDS = {"pred_topk": merge.Child(["token_index", "rank"], "num_tokens * 2")}
@@ -52,6 +52,9 @@ def test_merge(spark, tmp_path):
 CASES = {
     "no manifests": ({"shards": 0}, "manifests"),
     "manifests that differ": ({"manifests": {1: {"top_k": 3}}}, "differ"),
+    "a manifest lacks top_k": ({"manifests": {1: {"top_k": None}}}, "top_k"),
+    "a manifest lacks a key": ({"manifests": {0: {"seed": 3}}}, "differ"),
+    "one manifest is of the window suite": ({"manifests": {1: {"suite": "e3"}}}, "differ"),
     "another number of shards": ({"manifests": {0: {"num_shards": 3}, 1: {"num_shards": 3}}}, "state 3"),
     "a shard lacks": ({"predictions": {0: ["a,1,0,x,1,full"]}}, "shards"),
     "headers differ": ({"head": {("predictions", 1): HEAD.replace("human_choice", "other")}}, "headers"),
@@ -76,6 +79,75 @@ def test_what_is_not_merged(spark, tmp_path, case):
     assert not [n for n in files.listed(spark, str(folder)) if n.startswith("_staging")]
 
 
+WINDOWS = {"suite": "e3", "windows": [0, 1, "full"], "full_condition": "full", "num_positions": 5, "position_grid": "e0-informed", "top_k": 2}
+BAD = [
+    ({"windows": None}, "list"), ({"windows": [0, 0, "full"]}, "repeat"), ({"windows": [0, "full", "full"]}, "repeat"), ({"windows": [-1, "full"]}, "can't be"), ({"windows": [True, "full"]}, "can't be"),
+    ({"windows": [0, 1]}, "whole transcript"), ({"full_condition": "w9"}, "whole transcript"), ({"num_positions": 0}, "num_positions"), ({"num_positions": None}, "missing"),
+    ({"position_grid": "odd"}, "position_grid"), ({"num_positions": 4}, "position_grid"), ({"condition_prefix": "e4"}, "condition_prefix"),
+]
+
+
+@pytest.mark.parametrize("change, said", BAD)
+def test_window_contracts(change, said):
+    of = lambda m, launcher=None: contract.contract_of([m | {"shard": 0}, m | {"shard": 1}], launcher, 2)
+    assert of(WINDOWS).windows == contract.Windows((0, 1), 5, "e0-informed")
+    with pytest.raises(ValueError, match=said):
+        of(WINDOWS | change)
+
+
+def test_launchers_and_suites():
+    plain = {"top_k": 2, "seed": 1}
+    of = lambda manifests, launcher=None, shards=2: contract.contract_of([m | {"shard": k} for k, m in enumerate(manifests)], launcher, shards)
+    assert of([plain, plain]) == contract.Contract(2, 2, None, plain)
+    assert of([], {"top_k": 3, "num_shards": 2}) == contract.Contract(3, 2)
+    assert of([WINDOWS, WINDOWS], WINDOWS).windows.windows == (0, 1)
+    for manifests, launcher, said in (
+        ([], None, "no manifests"), ([plain, plain], {}, "top_k is missing"), ([{}, {}], None, "top_k is missing"), ([plain, plain], {"top_k": 3}, "top_k differs"), ([{"top_k": -1}] * 2, None, "can't be"),
+        ([plain], None, "manifests of 1"), ([plain, plain], {"top_k": 2, "num_shards": 3}, "state 3"), ([plain, plain], WINDOWS, "missing from"), ([WINDOWS, WINDOWS], {"top_k": 2}, "missing from"),
+        ([WINDOWS, WINDOWS], WINDOWS | {"windows": [0, 2, "full"]}, "windows differ"), ([WINDOWS, WINDOWS | {"windows": ["full", 1, 0]}], None, "differ"), ([plain, plain | {"seed": 2}], None, "differ"),
+    ):
+        with pytest.raises(ValueError, match=said):
+            of(manifests, launcher)
+
+
+def windowed(tmp_path, **change):
+    """A run of the window suite of one session with two segments; a row is (condition, window, target, effective, fraction)."""
+    folder = tmp_path / "run"
+    folder.mkdir()
+    rows = change.get("rows") or [("w0", 0, 0, 0, 0.0), ("w0", 0, 1, 0, 1.0), ("w1", 1, 0, 0, 0.0), ("w1", 1, 1, 1, 1.0), ("full", "", 0, 0, 0.0), ("full", "", 1, 1, 1.0)]
+    head = "experiment,participant,choice_index,condition,window,target_index,effective_window,n_segments,target_fraction,is_anchor,human_choice,num_tokens,k_options,options_status"
+    (folder / "predictions.0.csv").write_text("\n".join([head, *(f"a,1,{t},{c},{w},{t},{e},2,{f},true,x,1,2,scored" for c, w, t, e, f in rows)]) + "\n")
+    top = [f"a,1,{t},{c},0,{r},{7 + r}" for c, _, t, *_ in rows for r in (0, 1)]
+    (folder / "pred_topk.0.csv").write_text("\n".join(["experiment,participant,choice_index,condition,token_index,rank,token_id", *top]) + "\n")
+    options = [f"a,1,{t},{c},{o},{change.get('logprob', -0.7)},1,{o == 'x'}" for c, _, t, *_ in rows for o in "xy"]
+    (folder / "pred_options.0.csv").write_text("\n".join(["experiment,participant,choice_index,condition,option,logprob,n_tokens,is_human", *options]) + "\n")
+    (folder / "launcher.json").write_text(json.dumps(WINDOWS | {"windows": [0, 1, "full"]}))
+    (folder / "session_commits").mkdir()
+    stated = change.get("conditions") or {"w0": 2, "w1": 2, "full": 2}
+    receipt = {"schema": 1, "experiment": "a", "participant": "1", "status": "complete", "prediction_rows": sum(stated.values()), "conditions": stated}
+    (folder / "session_commits" / f"{files_digest('a', '1')}.json").write_text(json.dumps(receipt))
+    return str(folder)
+
+
+def test_windowed_runs(spark, tmp_path):
+    keys = ["experiment", "participant", "choice_index", "condition"]
+    report = {r["table"]: r["rows"] for r in merge.merge_run(spark, windowed(tmp_path), 1, keys=keys)}
+    assert report == {"predictions": 6, "pred_topk": 12, "pred_options": 12}
+
+
+@pytest.mark.parametrize(
+    "change, said",
+    [
+        ({"rows": [("w0", 0, 0, 0, 0.0), ("w1", 1, 0, 0, 0.0), ("w1", 1, 1, 1, 1.0), ("full", "", 0, 0, 0.0), ("full", "", 1, 1, 1.0)], "conditions": {"w0": 1, "w1": 2, "full": 2}}, "window protocol"),
+        ({"rows": [("w0", 0, 0, 0, 0.0), ("w0", 0, 1, 1, 1.0), ("w1", 1, 0, 0, 0.0), ("w1", 1, 1, 1, 1.0), ("full", "", 0, 0, 0.0), ("full", "", 1, 1, 1.0)]}, "window protocol"),
+        ({"conditions": {"w0": 2, "w2": 2, "full": 2}}, "other conditions"), ({"logprob": 0.5}, "options that can't be"),
+    ],
+)
+def test_windowed_runs_that_are_not_merged(spark, tmp_path, change, said):
+    with pytest.raises(merge.MergeError, match=said):
+        merge.merge_run(spark, windowed(tmp_path, **change), 1, keys=["experiment", "participant", "choice_index", "condition"])
+
+
 def test_failed_sessions_are_not_merged(spark, tmp_path):
     folder = run(tmp_path)
     (folder / "failed.0.csv").write_text("experiment,participant,error\n")

@@ -296,3 +296,66 @@ def test_receipts_of_batches_add_up(spark):
     parts = receipts(rows.where("choice_index < 1")).unionByName(receipts(rows.where("choice_index >= 1")))
     total, whole = live.total_receipts(parts).first(), receipts(rows).first()
     assert total.asDict() == whole.asDict()
+
+
+def test_a_run_that_breaks_and_goes_on(spark, tmp_path):
+    """Killed in the third wave and resumed: the tables equal those of a run in one go, nothing is asked twice that has a receipt."""
+    from choicegrid.operators import integrity, runs
+    from choicegrid.sources import files
+
+    keys, path = [*scoring.SESSION, *scoring.SCORED], str(tmp_path / "run")
+    sessions = spark.createDataFrame([("a", str(i), TEXT) for i in range(12)] + [("a", "none", "no marks")], KIND)
+    broken, asked = tmp_path / "broken", spark.sparkContext.accumulator(0)
+    flag = str(broken)
+
+    def failing():
+        import os
+
+        model = merging(("ab",))()
+
+        def logits(requests):
+            if os.path.exists(flag):
+                raise RuntimeError("the host is gone")
+            asked.add(len(requests))
+            return model.logits(requests)
+
+        return scoring.Model(model.encode, model.decode, logits)
+
+    def nested(rows):
+        prepared = scoring.prepare(scoring.window_cells(rows, [0, "full"], EVERY), failing, 4)
+        return scoring.choice_scores(scoring.score(prepared, failing, top_k=2))
+
+    assert runs.score_run(sessions, path, nested, keys, {"model": "m"}, waves=5, most_waves=2) == 2
+    first = {r.participant for r in runs.commits(spark, path).collect()}
+    assert 0 < len(first) < 13 and asked.value == 4 * len(first - {"none"})
+    with pytest.raises(FileExistsError):
+        runs.score_run(sessions, path, nested, keys, waves=5)
+    broken.touch()
+    with pytest.raises(Exception, match="gone"):
+        runs.score_run(sessions, path, nested, keys, {"model": "m"}, waves=5, resume=True)
+    # a wave whose tables are written and whose receipts aren't: readers don't see it, the next start removes it
+    runs.finished(spark, path, "predictions").write.parquet(f"{path}/predictions/attempt-lost")
+    assert {r.participant for r in runs.finished(spark, path, "predictions").select("participant").distinct().collect()} == first - {"none"}
+    broken.unlink()
+    asked_before = asked.value
+    assert runs.score_run(sessions, path, nested, keys, {"model": "m"}, waves=5, resume=True) == 3
+    assert asked.value - asked_before == 4 * (12 - len(first - {"none"}))
+    assert not files.exists(spark, f"{path}/predictions/attempt-lost") and not [n for n in files.listed(spark, path) if n.startswith("_")]
+    assert runs.score_run(sessions, path, nested, keys, waves=5, resume=True) == 0
+
+    whole = str(tmp_path / "whole")
+    runs.score_run(sessions, whole, nested, keys, {"model": "m"}, waves=1)
+    for table in runs.TABLES:
+        ours, theirs = (sorted(map(str, runs.finished(spark, p, table).collect())) for p in (path, whole))
+        assert ours == theirs and len(ours) > 12
+    done = runs.commits(spark, path)
+    assert {r.participant: r.status for r in done.collect()} == {"none": "empty"} | {str(i): "complete" for i in range(12)}
+    assert integrity.commit_violations(done.where("status = 'complete'"), runs.finished(spark, path, "predictions")).count() == 0
+
+
+def test_a_run_of_nothing(spark, tmp_path):
+    from choicegrid.operators import runs
+
+    sessions = spark.createDataFrame([], KIND)
+    assert runs.score_run(sessions, str(tmp_path / "r"), lambda rows: rows, ["experiment"]) == 0
+    assert runs.commits(spark, str(tmp_path / "r")) is None and runs.finished(spark, str(tmp_path / "r"), "predictions") is None
