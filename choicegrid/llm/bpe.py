@@ -2,7 +2,8 @@
 
 1. Texts are split into words (what a single space sets apart) in blocks of documents; a block keeps its distinct words and,
    for every document, the numbers of its words in order.
-2. Distinct words of all blocks meet by a hash of the word. Each is encoded once, whatever number of blocks ask for it.
+2. Distinct words of all blocks meet by a hash of the word, in as many buckets as the number of distinct words asks for. A
+   bucket's rows stream by, and each of its words is encoded once, whatever number of blocks ask for it.
 3. Answers go back to their blocks, where ids take the place of the words by position.
 
 Words of a block travel packed, one row per block and hash bucket, since rows of single words would shuffle several times
@@ -12,6 +13,8 @@ id-to-piece table, whose size is the vocabulary's, and joins the pieces' bytes.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,8 +29,11 @@ from .tokens import slices, split_texts, vocabulary
 
 #: Bytes of text of a block, about.
 BLOCK_BYTES = 6_000_000
-#: Bytes of text that there is a hash bucket of words for; so a bucket's words are as many however large the input is.
-BUCKET_BYTES = 4_000_000
+#: Distinct words of a bucket, about. The number of buckets grows with the distinct words and not with the text, so a block's
+#: words are cut into no more rows because there are more blocks.
+BUCKET_WORDS = 100_000
+#: Words that are answered at once, about.
+ASKED_WORDS = 300_000
 #: Ids that are decoded at once, about; it bounds a task's memory.
 DECODED_IDS = 300_000
 #: Most frequent words of a block that get the smallest numbers; it only makes blocks smaller.
@@ -99,36 +105,73 @@ def word_blocks(docs: DataFrame, buckets: int, words: bool) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "block long, bucket int, data binary")
 
 
+class Words:
+    """Words of a bucket that were encoded so far, with their ids."""
+
+    def __init__(self, encode, kind: pa.DataType):
+        self.encode, self.words, self.lists = encode, pa.array([], pa.large_string()), pa.array([], pa.large_list(kind))
+
+    def ids(self, words: pa.Array) -> pa.Array:
+        """A list of ids for each word; words that are new are encoded, once each."""
+        coded = pc.dictionary_encode(words)
+        found = pc.index_in(coded.dictionary, value_set=self.words)
+        new = coded.dictionary.filter(pc.is_null(found))
+        if len(new):
+            ids, begins = self.encode(new)
+            self.words = pa.concat_arrays([self.words, new])
+            self.lists = pa.concat_arrays([self.lists, pa.LargeListArray.from_arrays(pa.array(begins, pa.int64()), pa.array(ids).cast(self.lists.type.value_type))])
+            found = pc.index_in(coded.dictionary, value_set=self.words)
+        return pc.take(self.lists, pc.take(found, coded.indices))
+
+
+def same_bucket(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[tuple[int, list[int], list[dict]]]:
+    """(bucket, blocks, their unpacked rows) of rows in the order of their buckets, about `most` words at a time."""
+    at, blocks, held, n = None, [], [], 0
+    for batch in batches:
+        for block, bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if held and (bucket != at or n >= most):
+                yield at, blocks, held
+                blocks, held, n = [], [], 0
+            row = unpack(data.as_py())
+            at, n = bucket, n + len(row["chunks"]) + len(row["wholes"])
+            blocks.append(block)
+            held.append(row)
+    if held:
+        yield at, blocks, held
+
+
 def encode_words(asked: DataFrame, vocab_path: str | None) -> DataFrame:
     """The rows of asked with the ids of their words in place of them; each distinct word of a bucket is encoded once."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches):
         vocab = vocabulary(vocab_path)
         kind = pa.uint16() if vocab.size <= 65536 else pa.uint32()
-        found = [unpack(d) for d in table["data"].to_pylist()]
-        tables = []
-        for name in ("chunks", "wholes"):
-            coded = pc.dictionary_encode(pa.concat_arrays([x[name] for x in found]))
-            if name == "chunks":
-                ids, begins = vocab.encode_chunks(coded.dictionary)
-            else:
-                own = [vocab.encode(w) for w in coded.dictionary.to_pylist()]
-                ids, begins = (np.concatenate(own) if own else np.zeros(0, np.int32)), np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
-            lists = pa.LargeListArray.from_arrays(pa.array(begins, pa.int64()), pa.array(ids).cast(kind))
-            tables.append((lists, coded.indices))
-        out, at = [], [0, 0]
-        for x in found:
-            answer = []
-            for t, name in enumerate(("chunks", "wholes")):
-                lists, indices = tables[t]
-                n = len(x[name])
-                answer.append(pc.take(lists, indices.slice(at[t], n)))
-                at[t] += n
-            both = pa.concat_arrays(answer)
-            out.append(pack(ids=both.flatten(), lengths=pc.list_value_length(both).cast(pa.int32()), mark=x["mark"]))
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "data": pa.array(out, pa.binary())})
-
-    return asked.groupBy("bucket").applyInArrow(run, "block long, bucket int, data binary")
+
+        def one_by_one(words):
+            own = [vocab.encode(w) for w in words.to_pylist()]
+            return np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
+
+        at, known = None, {}
+        for bucket, blocks, rows in same_bucket(batches, ASKED_WORDS):
+            if bucket != at:
+                at, known = bucket, {"chunks": Words(vocab.encode_chunks, kind), "wholes": Words(one_by_one, kind)}
+            answers = {name: own.ids(pa.concat_arrays([r[name] for r in rows])) for name, own in known.items()}
+            out, done = [], dict.fromkeys(known, 0)
+            for r in rows:
+                parts = []
+                for name in known:
+                    parts.append(answers[name].slice(done[name], len(r[name])))
+                    done[name] += len(r[name])
+                both = pa.concat_arrays(parts)
+                out.append(pack(ids=both.flatten(), lengths=pc.list_value_length(both).cast(pa.int32()), mark=r["mark"]))
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([bucket] * len(rows), pa.int32()), pa.array(out, pa.binary())], names=["block", "bucket", "data"])
+
+    return asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, bucket int, data binary")
+
+
+def distinct_words(docs: DataFrame) -> int:
+    """How many words are different, about."""
+    return docs.select(F.explode(F.split("text", " ")).alias("w")).agg(F.approx_count_distinct("w")).first()[0]
 
 
 def encode(docs: DataFrame, vocab_path: str | None = None, buckets: int | None = None, from_files: bool = False) -> DataFrame:
@@ -141,8 +184,7 @@ def encode(docs: DataFrame, vocab_path: str | None = None, buckets: int | None =
     """
     docs = docs.select("doc_id", "text") if from_files else materialize(docs.select("doc_id", "text"))
     if buckets is None:
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        buckets = max(1, -(-size // BUCKET_BYTES))
+        buckets = max(1, -(-distinct_words(docs) // BUCKET_WORDS))
     answers = encode_words(word_blocks(docs, buckets, True), vocab_path)
 
     def assemble(table: pa.Table) -> pa.Table:

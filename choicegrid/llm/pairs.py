@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import join_keyed
+from .common import materialize
+
 
 def blocked(members: DataFrame, keys: list[str], member: str, size: str, block: int) -> DataFrame:
     """members once per pair of blocks of its group: adds i, j (the pair, i <= j) and own (the member's block).
@@ -19,8 +22,9 @@ def blocked(members: DataFrame, keys: list[str], member: str, size: str, block:
     size is an aggregate of a group's rows; a group has about size / block blocks, to which a hash of the member deals its
     rows, so no pair of blocks is much larger than 2 * block however large the group is. Groups of one row are left out.
     """
-    sizes = members.groupBy(*keys).agg(F.count("*").alias("__rows"), F.expr(size).alias("__size")).where("__rows > 1").drop("__rows")
-    dealt = members.join(sizes, keys).withColumn("__blocks", F.greatest(F.lit(1), F.ceil(F.col("__size") / block)).cast("int"))
+    sizes = materialize(members.groupBy(*keys).agg(F.count("*").alias("__rows"), F.expr(size).alias("__size")).where("__rows > 1"))
+    # rows of large groups learn its size by a broadcast, so none of them meets in one task before it is dealt
+    dealt = join_keyed(members, sizes, keys, "__rows").withColumn("__blocks", F.greatest(F.lit(1), F.ceil(F.col("__size") / block)).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64(member, F.lit(3)), F.col("__blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
     return dealt.withColumn("__o", other).withColumn("i", F.least("own", "__o")).withColumn("j", F.greatest("own", "__o")).drop("__o", "__size", "__blocks")
