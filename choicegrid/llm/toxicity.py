@@ -4,6 +4,7 @@ A writer hides a word by look-alike symbols, by spaces or marks between its lett
 spelling is a lattice: every symbol may stand for itself or for letters, marks and repeats may be dropped. Viterbi decoding
 under a character language model counted over the whole corpus finds the likeliest letters. A spelling without a repeat, a
 symbol or a mark has a lattice of one path and is its own decoding, so only the others are decoded, once per distinct spelling.
+Digits alone are a spelling like any other, so a number is read as the likeliest letters or digits.
 Single characters that stand apart, in runs of any length, are one lattice, and so are neighbouring words that together
 spell a word that counts as evidence; the space between them is one more mark that may be dropped.
 
@@ -224,8 +225,8 @@ def decode(spelling: str, model: CharModel, spaced: bool = False) -> str:
 _SYMBOLS = "".join(re.escape(c) for c in [*LOOKALIKE, *MARKS] if not c.isalnum())
 #: What no lattice reads as a letter, at a spelling's ends.
 _EDGE = rf"^[^\pL\pN{_SYMBOLS}]+|[^\pL\pN{_SYMBOLS}]+$"
-#: A repeated neighbour, or a symbol or mark that may stand for something else. Digits alone are a number.
-_CHOICE = re.compile(rf"(?!\d+\Z)(?s:.*?)(?:(.)\1|[0-9{_SYMBOLS}])", re.DOTALL)
+#: A repeated neighbour, or a symbol or mark that may stand for something else.
+_CHOICE = re.compile(rf"(?s:.*?)(?:(.)\1|[0-9{_SYMBOLS}])", re.DOTALL)
 #: Decoded spellings that a Python worker keeps; it changes no result.
 KEPT_SPELLINGS = 500_000
 
@@ -241,7 +242,10 @@ def decoded(spelling: str, model: CharModel, spaced: bool = False) -> str:
 
 
 def restore(texts: pa.Array, model: CharModel) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(distinct words of restored text, code of each word in order, first word's place of each text and the end)."""
+    """(distinct words of restored text, code of each word in order, first word's place of each text and the end).
+
+    What holds neither letter nor digit nor symbol is no word, so characters of a run may stand any number of spaces apart.
+    """
     low = pc.fill_null(pc.utf8_lower(texts.cast(pa.large_string())), "")
     for mark in "\n\t\r":
         low = pc.replace_substring(low, mark, " ")
@@ -252,10 +256,14 @@ def restore(texts: pa.Array, model: CharModel) -> tuple[pa.Array, np.ndarray, np
     core = pc.replace_substring_regex(coded.dictionary, _EDGE, "")
     # a mark at the end is always dropped: whatever else the text has, "other" is the rarest of all codes
     core = pc.replace_substring_regex(core, rf"[{re.escape(MARKS)}]+$", "")
-    single = np.asarray(pc.equal(pc.utf8_length(core), 1), bool)
+    length = np.asarray(pc.utf8_length(core), np.int64)
+    single = length == 1
     spelled = core.to_pylist()
     words = [decoded(w, model) if _CHOICE.match(w) else w for w in spelled]
     codes = np.asarray(coded.indices, np.int64)
+    some = length[codes] > 0
+    ends = np.concatenate([[0], np.cumsum(some)])[ends]
+    codes = codes[some]
     # runs of single characters within a text
     alone = single[codes].astype(np.int8)
     bounds = np.zeros(len(codes) + 1, bool)
@@ -277,9 +285,8 @@ def restore(texts: pa.Array, model: CharModel) -> tuple[pa.Array, np.ndarray, np
 
 #: Features: whole words, and their first letters (words of one family share them).
 PREFIXES = (3, 4, 5, 6)
-#: A feature needs so many toxic documents, whatever the table's size.
-LEAST_DOCS = 4
-LEAST_WEIGHT = 1.5
+#: A feature needs so many toxic documents, whatever the table's size, and such a weight.
+LEAST_DOCS, LEAST_WEIGHT = 4, 1.5
 #: Features that a task counts before it hands them on.
 COUNTED = 500_000
 
@@ -317,23 +324,44 @@ class Model:
         self.chars, self.names, self.weights, self.calibration, self.base = chars, names, weights, calibration, base
         whole = [(n[1:], w) for n, w in zip(names.to_pylist(), weights.tolist(), strict=True) if n.startswith("=")]
         self.whole = dict(whole)
-        self.heads = pa.array(sorted({w[:k] for w, _ in whole for k in range(1, len(w))}), pa.large_string())
-        self.tails = pa.array(sorted({w[k:] for w, _ in whole for k in range(1, len(w))}), pa.large_string())
+        self.heads = {w[:k] for w, _ in whole for k in range(1, len(w))}
+        self.begins = pa.array(sorted(self.heads), pa.large_string())
+        self.insides = pa.array(sorted({w[i:j] for w, _ in whole for i in range(1, len(w)) for j in range(i + 1, len(w) + 1)}), pa.large_string())
 
     def joined(self, words: pa.Array, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(texts, weights) of neighbouring words that spell a word of the model together, where the decoder drops their space."""
-        first, second = (np.asarray(pc.is_in(words, value_set=v), bool) for v in (self.heads, self.tails))
-        at = np.flatnonzero(first[codes[:-1]] & second[codes[1:]])
+        """(texts, weights) of neighbouring words, two or more, that spell a word of the model together, where the decoder drops their spaces.
+
+        Single characters that stand apart are such words too, so a run of them holds a word of the model wherever that begins
+        and ends in it.
+        """
+        first, inside = (np.asarray(pc.is_in(words, value_set=v), bool) for v in (self.begins, self.insides))
+        at = np.flatnonzero(first[codes[:-1]] & inside[codes[1:]])
         at = at[~np.isin(at + 1, ends)]
+        # pairs recur: what two words begin is looked up once
+        pairs, where = np.unique(codes[at] * len(words) + codes[at + 1], return_inverse=True)
+        begun = [words[k // len(words)].as_py() + words[k % len(words)].as_py() for k in pairs.tolist()]
+        going = np.array([w in self.heads or w in self.whole for w in begun], bool)
         docs, weights = [], []
-        for k, doc in zip(at.tolist(), (np.searchsorted(ends, at, "right") - 1).tolist(), strict=True):
-            a, b = words[int(codes[k])].as_py(), words[int(codes[k + 1])].as_py()
-            weight = self.whole.get(a + b)
-            if weight is not None and decoded(f"{a} {b}", self.chars) == a + b:
-                docs.append(doc)
-                weights.append(weight)
+        at, where = at[going[where]], where[going[where]]
+        for k, pair, doc in zip(at.tolist(), where.tolist(), (np.searchsorted(ends, at, "right") - 1).tolist(), strict=True):
+            said, pieces, stop = begun[pair], [words[int(codes[k])].as_py(), words[int(codes[k + 1])].as_py()], int(ends[doc + 1])
+            while True:
+                weight = self.whole.get(said)
+                if weight is not None and self.drops_spaces(pieces, said):
+                    docs.append(doc)
+                    weights.append(weight)
+                if said not in self.heads or k + len(pieces) >= stop:
+                    break
+                pieces.append(words[int(codes[k + len(pieces)])].as_py())
+                said += pieces[-1]
         return np.array(docs, int), np.array(weights, float)
 
+    def drops_spaces(self, pieces: list[str], said: str) -> bool:
+        """Whether the decoder reads the pieces as one word: single characters as a run, whose letters count without its edges, others as one lattice with spaces."""
+        if all(len(p) == 1 for p in pieces):
+            return decoded(said, self.chars, spaced=True).replace(" ", "") == said
+        return decoded(" ".join(pieces), self.chars) == said
+
     def evidence(self, texts: pa.Array) -> np.ndarray:
         """Per text: the largest weight of a feature that it has, and the second one; 0 where there is none.
 
@@ -370,11 +398,12 @@ def copy_key(text) -> F.Column:
     return F.xxhash64(least)
 
 
-def fit(docs: DataFrame, labels: DataFrame, keep_held_out: bool = False, most: int = TRAIN_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, keep_held_out: bool = False, most: int = TRAIN_ROWS, least_docs: int = LEAST_DOCS, least_weight: float = LEAST_WEIGHT) -> Model:
     """Learn from at most about `most` labelled rows; one document of a group of copies counts. docs has doc_id and text.
 
     The labelled rows are written once and read again. Without toxic or without clean rows every text gets the share of
-    toxic rows (0 where nothing is labelled) as its score. A feature counts from LEAST_DOCS toxic documents on.
+    toxic rows (0 where nothing is labelled) as its score. A feature counts from least_docs toxic documents on, if its weight
+    is above least_weight.
     """
     chars = char_model(docs)
     spark = docs.sparkSession
@@ -419,8 +448,8 @@ def fit(docs: DataFrame, labels: DataFrame, keep_held_out: bool = False, most: i
     base = n_toxic / chosen.num_rows
     counted = train.mapInArrow(features, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = (F.col("toxic") + base) / (F.col("clean") + (1 - base))
-    weighed = counted.where(F.col("toxic") >= LEAST_DOCS).select("feature", (F.log(odds) - math.log(base / (1 - base))).alias("weight"))
-    good = weighed.where(F.col("weight") > LEAST_WEIGHT).orderBy(F.desc("weight"), "feature").toArrow()  # bounded by the sample
+    weighed = counted.where(F.col("toxic") >= least_docs).select("feature", (F.log(odds) - math.log(base / (1 - base))).alias("weight"))
+    good = weighed.where(F.col("weight") > least_weight).orderBy(F.desc("weight"), "feature").toArrow()  # bounded by the sample
     if not good.num_rows:
         return none
     model = Model(chars, good["feature"].combine_chunks().cast(pa.large_string()), np.asarray(good["weight"]), None, base)

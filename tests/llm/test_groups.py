@@ -211,6 +211,50 @@ def test_a_word_in_two_pieces_is_evidence(chars):
     assert words[int(codes[0])].as_py() == "id" or "id" in [words[int(c)].as_py() for c in codes]
 
 
+def test_spacing_of_every_kind_is_read(chars):
+    import pyarrow as pa
+
+    model = toxicity.Model(chars, pa.array(["=idiot", "=stupid", "=pathetic"], pa.large_string()), np.array([3.0, 2.0, 1.0]), None, 0.1)
+    said = {"s  t  u  p  i  d": 2.0, "s\t t \n u p i d": 2.0, "s - t - u - p - i - d": 2.0, "you i d i o t a b": 3.0, "a b i d i o t a b you": 3.0, "x p a t h e t i c": 1.0, "id i ot": 3.0, "i di  o t": 3.0, "$ t u p ! d": 2.0,
+            "1d107": 3.0, "id i other": 0.0, "i d i": 0.0, "s t u p i": 0.0, "4041894974608795 1234": 0.0}
+    shown = model.evidence(pa.array([f"the {x} here" for x in said]))
+    assert dict(zip(said, shown[:, 0].tolist(), strict=True)) == said
+    # pieces of two texts don't meet
+    assert model.evidence(pa.array(["the id", "iot here", "i d i", "o t"]))[:, 0].tolist() == [0.0] * 4
+
+
+def test_weights_and_evidence_by_plain_counts(spark):
+    """Features, weights and evidence of a small table without disguise, counted by plain loops."""
+    import math
+    from collections import Counter
+
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(240):
+        toxic = i % 3 == 0
+        words = [rng.choice(["alpha", "bravo", "charlie", "delta", "echo"]) for _ in range(rng.randint(2, 6))] + ([rng.choice(["vilest", "grim", "nasty"])] if toxic or i % 40 == 1 else [])
+        rows.append((i, f"{' '.join(words)} number{chr(97 + i // 26)}{chr(97 + i % 26)}", int(toxic)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, None, t) for i, _, t in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels, keep_held_out=True, least_docs=3, least_weight=1.0)
+    features = lambda text: {f for w in text.split(" ") for f in ["=" + w, *(w[:k] for k in (3, 4, 5, 6) if len(w) > k)]}
+    counts = {t: Counter(f for _, text, label in rows if label == t for f in features(text)) for t in (0, 1)}
+    base = sum(t for *_, t in rows) / len(rows)
+    weigh = lambda f: math.log((counts[1][f] + base) / (counts[0][f] + 1 - base)) - math.log(base / (1 - base))
+    wanted = {f: weigh(f) for f in counts[1] if counts[1][f] >= 3 and weigh(f) > 1.0}
+    found = dict(zip(model.names.to_pylist(), model.weights.tolist(), strict=True))
+    assert found == pytest.approx(wanted) and {"=vilest", "=grim", "=nasty"} <= set(found)
+    shown = model.evidence(pa.array([text for _, text, _ in rows]))
+    for (_, text, _), two in zip(rows, shown.tolist(), strict=True):
+        best = sorted((found[f] for f in features(text) if f in found), reverse=True)[:2]
+        assert two == pytest.approx(best + [0.0] * (2 - len(best)))
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    p = model.calibration.proba(shown)
+    assert [scores[i] for i, *_ in rows] == pytest.approx(p.tolist())
+
+
 def test_toxicity_of_very_long_texts_ties_and_clashing_columns(spark):
     filler = " ".join(f"word{i % 97}" for i in range(300_000))
     rows = [(i, f"a kind thing number {i}" if i % 2 else f"a vile thing number {i}", 1, 1.0) for i in range(60)]
@@ -232,7 +276,18 @@ def test_restore_reads_spaced_words(chars):
     words, codes, ends = toxicity.restore(pa.array(["the i d i o t here", None, "", "4041894974608795 1234", "A the&&&"]), chars)
     said = [[words[c].as_py() for c in codes[a:b]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
     assert "idiot" in said[0] and said[0][-1] == "here"
-    assert said[3] == ["4041894974608795", "1234"] and said[4] == ["a", "the"]
+    assert len(said[3]) == 2 and said[4] == ["a", "the"]
+
+
+def test_digits_alone_are_decoded(spark):
+    import pyarrow as pa
+
+    corpus = spark.createDataFrame([("what a lot he was, the gate is at the sea",)] * 20, "text string")
+    chars = toxicity.char_model(corpus)
+    words, codes, _ = toxicity.restore(pa.array(["107 7h3"]), chars)
+    assert [words[c].as_py() for c in codes] == ["lot", "the"]
+    for spelling in ("107", "455", "1234", "900", "4041"):
+        assert toxicity.decode(spelling, chars) == toxicity.best_path(spelling, chars)[1]
 
 
 def test_every_choice_of_a_lattice_is_read(spark):
