@@ -80,7 +80,9 @@ def word_blocks(docs: DataFrame, buckets: int, words: bool) -> DataFrame:
                 inner = np.arange(len(items)) < len(chunks)
                 names = items.to_pylist()
                 bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in names), np.int64, len(names))
-                order = np.lexsort((~inner, bucket))
+                rank = np.empty(len(items), np.int64)
+                rank[np.asarray(pc.sort_indices(items))] = np.arange(len(items))
+                order = np.lexsort((rank, ~inner, bucket))  # words that begin alike compress better side by side
                 place = np.empty(len(order), np.int64)
                 place[order] = np.arange(len(order))
                 counts = np.bincount(codes, minlength=len(items))
