@@ -243,3 +243,47 @@ def choice_scores(scored: DataFrame) -> DataFrame:
     """One row per choice and condition that asked for it: condition, window (null: full), target_index, effective_window and the entries of its score, topk and options nested."""
     each = scored.select(*SESSION, F.explode("asked").alias("a"), "effective_window", "scores").select(*SESSION, "a.*", "effective_window", F.explode("scores").alias("s"))
     return each.select(*SESSION, "condition", "window", F.coalesce("effective_window", "s.target_index").alias("effective_window"), "s.*")
+
+
+def choice_tokens(sessions: DataFrame, make: Make) -> DataFrame:
+    """experiment, participant, choice_index, first_token, num_tokens of every marked choice, by the tokens of the whole transcript, one put before it included.
+
+    A session without marks has no rows; a choice without tokens fails the query.
+    """
+
+    def run(batches):
+        model = make()
+        lead = [] if model.bos is None else [(model.bos, 0, 0)]
+        for batch in batches:
+            rows = []
+            for session in batch.to_pylist():
+                spans = [m.span(1) for m in re.finditer("(?s)<<(.*?)>>", session["text"] or "")]
+                places = overlapping(lead + model.encode(session["text"]), spans) if spans else []
+                if not all(places):
+                    raise ValueError("a choice has no tokens")
+                rows += [{**{c: session[c] for c in SESSION}, "choice_index": k, "first_token": own[0], "num_tokens": len(own)} for k, own in enumerate(places)]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    ddl = ", ".join(f"{c} {t}" for c, t in sessions.dtypes if c in SESSION) + ", choice_index int, first_token int, num_tokens int"
+    schema = arrow_schema(ddl)
+    return sessions.select(*SESSION, "text").mapInArrow(run, ddl)
+
+
+def tokenized(sessions: DataFrame, make: Make) -> DataFrame:
+    """sessions with ids and tokens (start, end) of their text in place of it. A null text has none."""
+
+    def run(batches):
+        model = make()
+        lead = [] if model.bos is None else [(model.bos, 0, 0)]
+        for batch in batches:
+            rows = []
+            for session in batch.to_pylist():
+                found = lead + model.encode(session["text"]) if session["text"] is not None else []
+                rows.append({**{c: session[c] for c in kept}, "spans": session["spans"], "ids": [k for k, _, _ in found], "tokens": [{"start": a, "end": b} for _, a, b in found]})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    kept = [c for c in sessions.columns if c not in ("text", "spans", "ids", "tokens")]
+    kinds = dict(sessions.dtypes)
+    ddl = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", spans array<struct<start:int,end:int>>, ids array<int>, tokens array<struct<start:int,end:int>>"
+    schema = arrow_schema(ddl)
+    return sessions.select(*(F.col(f"`{c}`") for c in kept), "text", tx.span_places(F.col("text")).alias("spans")).mapInArrow(run, ddl)

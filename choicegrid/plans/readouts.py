@@ -156,3 +156,34 @@ def resampling_null(spark, sf_dir):
     rows = data.choices(spark, sf_dir)
     counts = rows.groupBy(*SESSION).agg(F.count("*").alias("n_choices"))
     return readouts.resampling_null(readouts.session_frequencies(rows, "human_choice").join(counts, SESSION))
+
+
+FULL = (
+    READ
+    + ", "
+    + OPTS
+    + """, named AS (SELECT p.experiment, p.participant, p.choice_index, a.code, c.code AS pred_code, CASE WHEN c.code IS NOT NULL THEN 'code' WHEN EXISTS (SELECT 1 FROM codes d WHERE d.experiment = p.experiment AND d.participant = p.participant AND d.label = p.pred_choice) THEN 'off_block' ELSE 'off_set' END AS bucket
+  FROM predictions p JOIN aligned a USING (experiment, participant, choice_index) LEFT JOIN codes c ON c.experiment = p.experiment AND c.participant = p.participant AND c.block = a.block AND c.label = p.pred_choice WHERE p.num_tokens = 1),
+part AS (SELECT o.experiment, o.participant, o.choice_index, a.code, exp(logprob) AS p, c.code AS option_code FROM options o JOIN aligned a USING (experiment, participant, choice_index) LEFT JOIN codes c ON c.experiment = o.experiment AND c.participant = o.participant AND c.block = a.block AND c.label = o.option),
+inside AS (SELECT experiment, participant, option_code AS code, p / sum(p) OVER (PARTITION BY experiment, participant, choice_index) AS s FROM part WHERE option_code IS NOT NULL),
+hp AS (SELECT experiment, participant, code, count(*) / sum(count(*)) OVER (PARTITION BY experiment, participant) AS share FROM named GROUP BY 1, 2, 3),
+mp AS (SELECT experiment, participant, pred_code AS code, count(*) / sum(count(*)) OVER (PARTITION BY experiment, participant) AS share FROM named WHERE bucket = 'code' GROUP BY 1, 2, 3),
+ho AS (SELECT experiment, participant, code, count(*) / sum(count(*)) OVER (PARTITION BY experiment, participant) AS share FROM (SELECT DISTINCT experiment, participant, choice_index, code FROM part) GROUP BY 1, 2, 3),
+mo AS (SELECT experiment, participant, code, sum(s) / sum(sum(s)) OVER (PARTITION BY experiment, participant) AS share FROM inside GROUP BY 1, 2, 3),
+tp AS (SELECT experiment, participant, sum(abs(coalesce(hp.share, 0) - coalesce(mp.share, 0))) / 2 AS tvd_pred FROM hp FULL JOIN mp USING (experiment, participant, code) GROUP BY 1, 2),
+tq AS (SELECT experiment, participant, sum(abs(coalesce(ho.share, 0) - coalesce(mo.share, 0))) / 2 AS tvd_options FROM ho FULL JOIN mo USING (experiment, participant, code) GROUP BY 1, 2),
+sh AS (SELECT experiment, participant, avg(CAST(bucket = 'off_block' AS INTEGER)) AS off_block, avg(CAST(bucket = 'off_set' AS INTEGER)) AS off_set FROM named GROUP BY 1, 2),
+of AS (SELECT experiment, participant, avg(o) AS off_block_mass FROM (SELECT experiment, participant, choice_index, coalesce(sum(p) FILTER (WHERE option_code IS NULL), 0) / sum(p) AS o FROM part GROUP BY 1, 2, 3) GROUP BY 1, 2),
+a1 AS (SELECT experiment, participant, max(share) AS human_top_pred FROM hp GROUP BY 1, 2), a2 AS (SELECT experiment, participant, max(share) AS pred_top FROM mp GROUP BY 1, 2),
+a3 AS (SELECT experiment, participant, max(share) AS human_top_options FROM ho GROUP BY 1, 2), a4 AS (SELECT experiment, participant, max(share) AS options_top FROM mo GROUP BY 1, 2)
+SELECT experiment, round(avg(tvd_pred), 6) AS tvd_pred, round(avg(tvd_options), 6) AS tvd_options, round(avg(off_block), 6) AS off_block, round(avg(off_set), 6) AS off_set, round(avg(off_block_mass), 6) AS off_block_mass, round(avg(human_top_pred), 6) AS human_top_pred,
+  round(avg(pred_top), 6) AS pred_top, round(avg(human_top_options), 6) AS human_top_options, round(avg(options_top), 6) AS options_top, count(*) AS n_participants, count(tvd_pred) AS n_pred, count(tvd_options) AS n_options
+FROM tp FULL JOIN tq USING (experiment, participant) LEFT JOIN sh USING (experiment, participant) LEFT JOIN of USING (experiment, participant) LEFT JOIN a1 USING (experiment, participant) LEFT JOIN a2 USING (experiment, participant) LEFT JOIN a3 USING (experiment, participant) LEFT JOIN a4 USING (experiment, participant) GROUP BY 1"""
+)
+
+
+@query("distribution_by_task_full", FULL)
+def distribution_by_task_full(spark, sf_dir):
+    """On canonical codes, since raw labels differ between participants; without the nulls, which are random draws."""
+    aligned = _aligned(spark, sf_dir)
+    return readouts.answer_distribution(data.predictions(spark, sf_dir), data.options(spark, sf_dir), _codes(spark, sf_dir, aligned), aligned, draws=0)

@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import supervision as sv
 from ..functions import text as tx
 from ..functions.scalars import canonical_code, short_name, table_folder
-from ..operators import baselines, canonical, curves, integrity, merge, metrics, protocol, readouts, runs, sampling, scoring
+from ..operators import baselines, canonical, curves, integrity, merge, metrics, protocol, readouts, runs, sampling, scoring, training_set
 from ..operators.quantiles import exact_quantile
 from ..schemas import CHOICE, SESSION
 from ..sources import readers
@@ -299,16 +301,16 @@ VOCABULARY = 16
 PIECES = ["click", "error", "pur", "chase", "signup", "view", "ok"]
 
 
-def toy_model():
-    pieces = re.compile("|".join([*PIECES, "(?s:.)"]))
+def toy_model(names=PIECES):
+    pieces = re.compile("|".join([*names, "(?s:.)"]))
 
     def encode(text):
-        return [(PIECES.index(m[0]) if m[0] in PIECES else 7 + ord(m[0]) % 9, m.start(), m.end()) for m in pieces.finditer(text)]
+        return [(names.index(m[0]) if m[0] in names else 7 + ord(m[0]) % 9, m.start(), m.end()) for m in pieces.finditer(text)]
 
     def logits(requests):
         return [(np.array(places)[:, None] * (np.arange(VOCABULARY)[None, :] + 1) % 7).astype(float) for _, places in requests]
 
-    return scoring.Model(encode, lambda k: PIECES[k] if k < 7 else chr(90 + k), logits)
+    return scoring.Model(encode, lambda k: names[k] if k < len(names) else chr(90 + k), logits)
 
 
 TOKEN_SQL = "'click|error|pur|chase|signup|view|ok|(?s:.)'"
@@ -398,3 +400,35 @@ def shard_mod_scan(spark, sf_dir):
     rows = data.sessions(spark, sf_dir).orderBy("experiment", F.col("participant").cast("int"))
     rows.write.json(name)
     return sampling.modulo_shard(readers.read_sessions(spark, name), 1, 4).select("row_idx", *SESSION)
+
+
+#: Whole labels are tokens, so that no cutoff splits one.
+LABEL_TOKENS = ["click", "error", "purchase", "signup", "view", "ok"]
+LABEL_SQL = "'click|error|purchase|signup|view|ok|(?s:.)'"
+
+
+@query("paper_selection", f"{S}, x AS (SELECT experiment, participant, string_split(text, '<<') AS parts FROM sessions), k AS (SELECT *, unnest(range(1, len(parts))) AS k FROM x), f AS (SELECT experiment, participant, k - 1 AS choice_index, len(regexp_extract_all(array_to_string(parts[1:k], '<<') || '<<', {LABEL_SQL})) AS first FROM k) SELECT experiment, participant, CAST(choice_index AS INTEGER) AS choice_index, CAST(first AS INTEGER) AS first_token, CAST(1 AS INTEGER) AS num_tokens FROM f WHERE first + 1 <= 150")
+def paper_selection(spark, sf_dir):
+    """The choices of a protocol that cuts transcripts at a number of tokens."""
+    return protocol.within_cutoff(scoring.choice_tokens(data.sessions(spark, sf_dir), lambda: toy_model(LABEL_TOKENS)), 150)
+
+
+BATCHES = f"""{S}, x AS (SELECT experiment, participant, regexp_split_to_array(text, '<<|>>') AS pieces FROM sessions), e AS (SELECT experiment, participant, unnest(range(1, len(pieces) + 1)) AS p, unnest(pieces) AS piece FROM x),
+n AS (SELECT *, len(regexp_extract_all(piece, {TOKEN_SQL})) AS n FROM e), a AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY experiment, participant ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 2 * (p - 1) AS start FROM n),
+t AS (SELECT experiment, participant, least(max(start + n), 200) AS tokens, CAST(coalesce(sum(greatest(least(200, start + n) - start, 0)) FILTER (WHERE p % 2 = 0), 0) AS BIGINT) AS learned FROM a GROUP BY 1, 2),
+r AS (SELECT *, (row_number() OVER (PARTITION BY experiment ORDER BY CAST(participant AS INTEGER)) - 1) // 8 AS batch FROM t WHERE learned > 0)
+SELECT experiment, batch, count(*) AS rows, CAST(max(tokens) AS INTEGER) AS width, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(learned) AS BIGINT) AS learned, CAST(count(*) * max(tokens) - sum(tokens) AS BIGINT) AS padded FROM r GROUP BY 1, 2"""
+
+
+@query("supervised_batches", BATCHES)
+def supervised_batches(spark, sf_dir):
+    """Batches of eight sessions of a task in the order of their participants, each padded to its own longest."""
+    rows, _ = training_set.supervised_set(data.sessions(spark, sf_dir), toy_model, 200)
+    rows = rows.repartition("experiment").sortWithinPartitions("experiment", F.col("participant").cast("int"))
+    made = training_set.padded_batches(rows, 8, -1, ["experiment"])
+    first = F.min("batch").over(Window.partitionBy("experiment"))
+    made = made.withColumn("batch", F.col("batch") - first)  # numbers run through a partition's tasks
+    count = lambda c, f: F.sum(F.size(F.filter(c, f))).cast("long")
+    return made.groupBy("experiment", "batch").agg(
+        F.count("*").alias("rows"), F.max("width").alias("width"), count("attention", lambda x: x == 1).alias("tokens"), count("labels", lambda x: x != sv.IGNORE).alias("learned"), count("ids", lambda x: x == -1).alias("padded")
+    )
