@@ -267,7 +267,7 @@ def trial_macro(spark, sf_dir):
     return curves.trial_macro(data.big_choices(spark, sf_dir), 10, 12)
 
 
-ANCHORED = W + ", anchored AS (SELECT experiment, participant, choice_index, nll, window_size, target_index, effective_window FROM windows UNION ALL SELECT experiment, participant, choice_index, nll, 1000000, choice_index, choice_index FROM big WHERE choice_index % 7 = 0)"
+ANCHORED = W + ", anchored AS (SELECT experiment, participant, choice_index, nll, window_size, target_index, effective_window FROM windows UNION ALL SELECT experiment, participant, choice_index, nll, 1000000, choice_index, choice_index FROM anchors)"
 
 
 def _anchored(spark, sf_dir):

@@ -89,7 +89,7 @@ def window_violations(spark, sf_dir):
     wrong = (F.col("window") == 2) & (F.col("choice_index") % 5 == 0)
     limited = limited.withColumn("effective_window", F.col("effective_window") + F.when(wrong, 1).otherwise(0))
     limited = limited.join(big.groupBy(*SESSION).agg(F.count("*").alias("n_segments")), SESSION)
-    rows = full.unionByName(limited).withColumn("is_anchor", F.col("choice_index") % 7 == 0)
+    rows = full.unionByName(limited).withColumn("is_anchor", data.is_anchor(F.col("choice_index"), F.col("n_segments")))
     rows = rows.withColumn("target_fraction", F.col("target_index") / F.greatest(F.col("n_segments") - 1, F.lit(1)))
     return protocol.window_violations(rows, [0, 1, 2, 5])
 

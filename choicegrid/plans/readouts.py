@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import canonical, readouts
 from ..schemas import SESSION
 from ..sources import testdata as data
+from ..sources.files import written
 from .registry import query
 
 A = f"WITH {data.CANONICAL}"
@@ -185,5 +186,5 @@ FROM tp FULL JOIN tq USING (experiment, participant) LEFT JOIN sh USING (experim
 @query("distribution_by_task_full", FULL)
 def distribution_by_task_full(spark, sf_dir):
     """On canonical codes, since raw labels differ between participants; without the nulls, which are random draws."""
-    aligned = _aligned(spark, sf_dir)
-    return readouts.answer_distribution(data.predictions(spark, sf_dir), data.options(spark, sf_dir), _codes(spark, sf_dir, aligned), aligned, draws=0)
+    aligned = written(_aligned(spark, sf_dir))  # codes and both readouts start from it
+    return readouts.answer_distribution(data.predictions(spark, sf_dir), data.options(spark, sf_dir), written(_codes(spark, sf_dir, aligned)), aligned, draws=0)

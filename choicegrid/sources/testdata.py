@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import anchor_targets
 from ..schemas import SESSION
 
 LABELS = ["click", "error", "purchase", "signup", "view"]
@@ -182,17 +183,32 @@ aligned AS (
 )
 
 
+def is_anchor(choice_index, length):
+    """Whether a choice is one of the five anchors of its session."""
+    return F.array_contains(anchor_targets(length.cast("int")), choice_index.cast("int"))
+
+
+def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The choices of the longer sessions that the grid over each session's own length takes."""
+    length = F.count("*").over(Window.partitionBy(*SESSION))
+    rows = big_choices(spark, sf_dir).withColumn("n_segments", length)
+    return rows.where(is_anchor(F.col("choice_index"), F.col("n_segments")))
+
+
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchor choices of the longer sessions under windows 0, 1, 2 and 5."""
-    rows = big_choices(spark, sf_dir).where("choice_index % 7 = 0")
-    each = rows.withColumn("window", F.explode(F.array(*map(F.lit, (0, 1, 2, 5))))).withColumn("target_index", F.col("choice_index"))
+    each = anchors(spark, sf_dir).withColumn("window", F.explode(F.array(*map(F.lit, (0, 1, 2, 5))))).withColumn("target_index", F.col("choice_index"))
     effective = F.least("window", "target_index")
     return each.select(*SESSION, "choice_index", "num_tokens", (F.col("nll") + 1 / (F.lit(2.0) + effective)).alias("nll"), "window", "target_index", effective.alias("effective_window"))
 
 
 WINDOWS = (
     BIG_CHOICES
-    + """, windows AS (
+    + """, lengths AS (SELECT experiment, participant, count(*) AS n, count(*) - 1 AS l FROM big GROUP BY 1, 2),
+first_inner AS (SELECT *, least(greatest(CAST(round_even(0.1 * l, 0) AS BIGINT), 2), n - 3) AS a FROM lengths WHERE n > 5),
+second_inner AS (SELECT *, least(greatest(CAST(round_even(0.5 * l, 0) AS BIGINT), a + 1), n - 2) AS b FROM first_inner),
+grid AS (SELECT experiment, participant, unnest([0, 1, a, b, l]) AS choice_index FROM second_inner UNION ALL SELECT experiment, participant, unnest(range(0, n)) FROM lengths WHERE n <= 5),
+anchors AS (SELECT big.* FROM big JOIN grid USING (experiment, participant, choice_index)), windows AS (
   SELECT experiment, participant, choice_index, num_tokens, nll + 1 / (2.0 + least(w, choice_index)) AS nll, w AS window_size, choice_index AS target_index, least(w, choice_index) AS effective_window
-  FROM big, (VALUES (0), (1), (2), (5)) AS t(w) WHERE choice_index % 7 = 0)"""
+  FROM anchors, (VALUES (0), (1), (2), (5)) AS t(w))"""
 )
