@@ -39,6 +39,14 @@ def align_sessions(spark, sf_dir):
     return _aligned(spark, sf_dir)
 
 
+@query("align_sessions_text", f"{A} SELECT experiment, participant, choice_index, block, code, label, rule FROM aligned")
+def align_sessions_text(spark, sf_dir):
+    """Values as text, some misses written as what only looks like a number: nothing else changes."""
+    table = data.canonical(spark, sf_dir)
+    odd = (F.col("value") < 0) & (F.col("row_idx") % 4 == 1)
+    return canonical.align_sessions(data.choices(spark, sf_dir), table.withColumn("value", F.when(odd, "1d").otherwise(F.col("value").cast("string"))))
+
+
 @query("alignment_report", f"{A}, r AS (SELECT experiment, count(DISTINCT participant) AS n_aligned, string_agg(DISTINCT rule, '+' ORDER BY rule) AS rules FROM aligned GROUP BY 1) SELECT experiment, n_sessions, coalesce(n_aligned, 0) AS n_aligned, coalesce(rules, '') AS rules FROM (SELECT experiment, count(DISTINCT participant) AS n_sessions FROM choices GROUP BY 1) LEFT JOIN r USING (experiment)")
 def alignment_report(spark, sf_dir):
     return canonical.alignment_report(data.choices(spark, sf_dir), _aligned(spark, sf_dir))
