@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -172,30 +173,49 @@ def batches_of(rows: Iterable[dict], budget: int) -> Iterator[list[dict]]:
         yield held
 
 
-def read_place(model: Model, logits: np.ndarray, token: int, options: list[list[int]] | None, top_k: int) -> dict:
-    """What is kept of one place: the token's log-probability, the likeliest token (the least id on ties), entropy, top tokens, options."""
+#: Places whose logits are looked at together; it bounds what a task holds besides the scorer's own.
+PLACES = 64
+#: Vocabularies up to this size are sorted whole for the top tokens.
+SORTED = 4_096
+
+
+def likeliest(logprobs: np.ndarray, k: int) -> np.ndarray:
+    """The k largest places of each row, the least place first on ties."""
+    k = min(k, logprobs.shape[1])
+    if k and logprobs.shape[1] > SORTED:
+        least = np.partition(-logprobs, k - 1, axis=1)[:, k - 1]
+        some = [np.flatnonzero(-row <= x) for row, x in zip(logprobs, least, strict=True)]
+        return np.array([at[np.argsort(-row[at], kind="stable")[:k]] for row, at in zip(logprobs, some, strict=True)])
+    return np.argsort(-logprobs, axis=1, kind="stable")[:, :k] if k else np.zeros((len(logprobs), 0), int)
+
+
+def read_places(model: Model, logits: np.ndarray, tokens: list[int], options: list[list[int]] | None, top_k: int) -> list[dict]:
+    """What is kept of places: the token's log-probability, the likeliest token (the least id on ties), entropy, top tokens, options."""
     logits = np.asarray(logits, float)
     if not np.isfinite(logits).all():
         raise ValueError("a scorer must give finite logits")
-    top = logits.max()
-    logprobs = logits - top - np.log(np.exp(logits - top).sum())
-    best = int(logprobs.argmax())
-    order = np.lexsort((np.arange(len(logprobs)), -logprobs))[:top_k] if top_k else []
-    return {
-        "logprob": float(logprobs[token]), "best": best, "best_logprob": float(logprobs[best]), "entropy": float(-(np.exp(logprobs) * logprobs).sum()),
-        "topk": [(int(k), model.decode(int(k)), float(logprobs[k])) for k in order], "options": None if options is None else [float(logprobs[o[0]]) for o in options],
-    }
+    top = logits.max(axis=1, keepdims=True)
+    logprobs = logits - top - np.log(np.exp(logits - top).sum(axis=1, keepdims=True))
+    rows, best = np.arange(len(logits)), logprobs.argmax(axis=1)
+    entropy = -(np.exp(logprobs) * logprobs).sum(axis=1)
+    order = likeliest(logprobs, top_k)
+    values = np.take_along_axis(logprobs, order, 1).tolist()
+    chosen = [None] * len(rows) if options is None else logprobs[:, [o[0] for o in options]].tolist()
+    columns = zip(logprobs[rows, tokens].tolist(), best.tolist(), logprobs[rows, best].tolist(), entropy.tolist(), order.tolist(), values, chosen, strict=True)
+    return [
+        {"logprob": own, "best": k, "best_logprob": v, "entropy": h, "topk": [(t, model.decode(t), x) for t, x in zip(at, said, strict=True)], "options": o} for own, k, v, h, at, said, o in columns
+    ]
 
 
 def read_cell(model: Model, row: dict, answer: Iterable[np.ndarray], places: list[int], top_k: int) -> list[dict]:
     """The scores of a cell's choices."""
-    firsts = {p[0] for p in row["places"]}
     seen, answer = {}, iter(answer)
-    for place in places:
-        logits = next(answer, None)
-        if logits is None:
+    for begin in range(0, len(places), PLACES):
+        part = places[begin : begin + PLACES]
+        logits = list(islice(answer, len(part)))
+        if len(logits) < len(part):
             raise ValueError("a scorer must give logits for every place")
-        seen[place] = read_place(model, logits, row["ids"][place], row["option_ids"] if place in firsts else None, top_k)
+        seen.update(zip(part, read_places(model, np.stack(logits), [row["ids"][i] for i in part], row["option_ids"], top_k), strict=True))
     support, scores = row["support"], []
     for k, (choice, own) in enumerate(zip(row["choices"], row["places"], strict=True)):
         first, status, options = seen[own[0]], row["options_status"], []

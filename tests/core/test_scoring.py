@@ -168,6 +168,13 @@ def test_what_a_model_must_not_do(spark):
         scores_of(spark, merging(), text="R\n\nA <<x\ny>>\nB <<z>>\n").collect()
 
 
+def test_top_tokens_of_large_vocabularies():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 30, size=(5, 6000)).astype(float)  # many ties
+    assert scoring.likeliest(x, 7).tolist() == [sorted(range(6000), key=lambda j: (-row[j], j))[:7] for row in x]
+    assert scoring.likeliest(x[:, :9], 20).shape == (5, 9) and scoring.likeliest(x, 0).shape == (5, 0)
+
+
 def test_a_first_token_needs_one_before_it(spark):
     assert scoring.overlapping([(5, 0, 3), (6, 3, 3), (7, 3, 4)], [(1, 2), (2, 4)]) == [[], [2]]
     assert scoring.overlapping([(1, 0, 0), (5, 0, 3), (7, 3, 4)], [(1, 2)]) == [[1]]
