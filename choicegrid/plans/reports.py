@@ -303,9 +303,10 @@ PIECES = ["click", "error", "pur", "chase", "signup", "view", "ok"]
 
 def toy_model(names=PIECES):
     pieces = re.compile("|".join([*names, "(?s:.)"]))
+    numbers = {n: k for k, n in enumerate(names)}
 
     def encode(text):
-        return [(names.index(m[0]) if m[0] in names else 7 + ord(m[0]) % 9, m.start(), m.end()) for m in pieces.finditer(text)]
+        return [(numbers[m[0]] if m[0] in numbers else 7 + ord(m[0]) % 9, *m.span()) for m in pieces.finditer(text)]
 
     def logits(requests):
         return [(np.array(places)[:, None] * (np.arange(VOCABULARY)[None, :] + 1) % 7).astype(float) for _, places in requests]
@@ -344,9 +345,14 @@ SCORED_OPTIONS = f"""{SCORED_SQL}, o AS (SELECT *, unnest(support) AS option FRO
 SELECT {SCORE_KEYS}, option, round(lp[list_position({PIECES}, option)], 6) AS logprob, CAST(1 AS INTEGER) AS n_tokens, option = human_choice AS is_human FROM o"""
 
 
+def _dealt(spark, sf_dir):
+    """Sessions in as many partitions as shuffles have: a model's work is far larger than its input, by whose size Spark would deal it."""
+    return data.sessions(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *SESSION)
+
+
 def _scores(spark, sf_dir):
     """Every choice of the target segments under three windows at the anchors, and every choice of the whole transcripts, from one pass."""
-    cells = scoring.window_cells(data.sessions(spark, sf_dir), [0, 1, 3, "full"], tx.anchor_targets)
+    cells = scoring.window_cells(_dealt(spark, sf_dir), [0, 1, 3, "full"], tx.anchor_targets)
     scored = scoring.choice_scores(scoring.score(scoring.prepare(cells, toy_model, max_options=5), toy_model, top_k=3))
     return shape_scores(scored, {}, [*SESSION, *scoring.SCORED])
 
@@ -361,7 +367,7 @@ def resumed_run(spark, sf_dir):
         cells = scoring.window_cells(rows, [0, 1, 3, "full"], tx.anchor_targets)
         return scoring.choice_scores(scoring.score(scoring.prepare(cells, toy_model, max_options=5), toy_model, top_k=3))
 
-    sessions = written(data.sessions(spark, sf_dir))
+    sessions = written(_dealt(spark, sf_dir))
     runs.score_run(sessions, path, nested, keys, waves=3, most_waves=1)
     runs.score_run(sessions, path, nested, keys, waves=3, resume=True)
     rows = runs.finished(spark, path, "predictions")
@@ -410,7 +416,7 @@ LABEL_SQL = "'click|error|purchase|signup|view|ok|(?s:.)'"
 @query("paper_selection", f"{S}, x AS (SELECT experiment, participant, string_split(text, '<<') AS parts FROM sessions), k AS (SELECT *, unnest(range(1, len(parts))) AS k FROM x), f AS (SELECT experiment, participant, k - 1 AS choice_index, len(regexp_extract_all(array_to_string(parts[1:k], '<<') || '<<', {LABEL_SQL})) AS first FROM k) SELECT experiment, participant, CAST(choice_index AS INTEGER) AS choice_index, CAST(first AS INTEGER) AS first_token, CAST(1 AS INTEGER) AS num_tokens FROM f WHERE first + 1 <= 150")
 def paper_selection(spark, sf_dir):
     """The choices of a protocol that cuts transcripts at a number of tokens."""
-    return protocol.within_cutoff(scoring.choice_tokens(data.sessions(spark, sf_dir), lambda: toy_model(LABEL_TOKENS)), 150)
+    return protocol.within_cutoff(scoring.choice_tokens(_dealt(spark, sf_dir), lambda: toy_model(LABEL_TOKENS)), 150)
 
 
 BATCHES = f"""{S}, x AS (SELECT experiment, participant, regexp_split_to_array(text, '<<|>>') AS pieces FROM sessions), e AS (SELECT experiment, participant, unnest(range(1, len(pieces) + 1)) AS p, unnest(pieces) AS piece FROM x),
