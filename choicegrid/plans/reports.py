@@ -303,10 +303,13 @@ PIECES = ["click", "error", "pur", "chase", "signup", "view", "ok"]
 
 def toy_model(names=PIECES):
     pieces = re.compile("|".join([*names, "(?s:.)"]))
-    numbers = {n: k for k, n in enumerate(names)}
+    numbers = {chr(c): 7 + c % 9 for c in range(128)} | {n: k for k, n in enumerate(names)}
 
     def encode(text):
-        return [(numbers[m[0]] if m[0] in numbers else 7 + ord(m[0]) % 9, *m.span()) for m in pieces.finditer(text)]
+        found = pieces.findall(text)  # every character is in one of them, so places are sums of lengths
+        ends = np.fromiter(map(len, found), np.int64, len(found)).cumsum()
+        ids = np.array([numbers[x] if x in numbers else 7 + ord(x) % 9 for x in found], np.int64)
+        return np.array([ids, np.concatenate([[0], ends[:-1]]) if found else ends, ends], np.int64).T
 
     def logits(requests):
         return [(np.array(places)[:, None] * (np.arange(VOCABULARY)[None, :] + 1) % 7).astype(float) for _, places in requests]
@@ -347,13 +350,14 @@ SELECT {SCORE_KEYS}, option, round(lp[list_position({PIECES}, option)], 6) AS lo
 
 def _dealt(spark, sf_dir):
     """Sessions in as many partitions as shuffles have: a model's work is far larger than its input, by whose size Spark would deal it."""
-    return data.sessions(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *SESSION)
+    # by a hash of the session: Spark drops a repartition by the very columns that rows are dealt by, and joins small partitions of the former
+    return data.sessions(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*SESSION))
 
 
-def _scores(spark, sf_dir):
-    """Every choice of the target segments under three windows at the anchors, and every choice of the whole transcripts, from one pass."""
+def _scores(spark, sf_dir, top_k=0):
+    """Every choice of the target segments under three windows at the anchors, and every choice of the whole transcripts, from one pass; top tokens where they are asked for."""
     cells = scoring.window_cells(_dealt(spark, sf_dir), [0, 1, 3, "full"], tx.anchor_targets)
-    scored = scoring.choice_scores(scoring.score(scoring.prepare(cells, toy_model, max_options=5), toy_model, top_k=3))
+    scored = scoring.choice_scores(scoring.score(scoring.prepare(cells, toy_model, max_options=5), toy_model, top_k=top_k))
     return shape_scores(scored, {}, [*SESSION, *scoring.SCORED])
 
 
@@ -385,7 +389,7 @@ def transcript_scores(spark, sf_dir):
 
 @query("transcript_topk", TOPK)
 def transcript_topk(spark, sf_dir):
-    return _sized(_scores(spark, sf_dir)["pred_topk"])
+    return _sized(_scores(spark, sf_dir, top_k=3)["pred_topk"])
 
 
 @query("transcript_options", SCORED_OPTIONS)
