@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import bucket_of_ten
 from ..schemas import CHOICE, SESSION
-from .metrics import task_table, unique_by
+from .metrics import macro, task_table, unique_by
 
 #: Sort value of the unlimited window.
 FULL = 1_000_000
@@ -31,6 +31,24 @@ def session_curve(frame: DataFrame, absolute: int = 50) -> DataFrame:
     return task_table(parts[0].unionByName(parts[1]), "nll", ["source", "axis", "experiment", "bucket"])
 
 
+def source_curves(model: DataFrame, scored: DataFrame, baselines: list[str], name: str = "model", absolute: int = 50) -> DataFrame:
+    """What session_curve gives for the rows of with_baselines, but with the baselines side by side in a row until they are averaged.
+
+    A session's choices are placed once for the model and once for all baselines, instead of once per source.
+    """
+    ours = unique_by(model.select(*CHOICE, "nll"), CHOICE)
+    theirs = unique_by(scored.select(*CHOICE, *baselines), CHOICE).join(ours.select(*CHOICE), CHOICE, "left_semi")
+    tables = []
+    for rows, values in ((ours.withColumnRenamed("nll", name), [name]), (theirs, baselines)):
+        placed = positions(rows)
+        buckets = F.array(F.struct(F.lit("decile").alias("axis"), F.col("decile").cast("long").alias("bucket")), F.when(F.col("rank") < absolute, F.struct(F.lit("absolute").alias("axis"), F.col("rank").alias("bucket"))))
+        each = placed.select(*SESSION, *values, F.inline(F.array_compact(buckets)))
+        keys = ["axis", "experiment", "bucket"]
+        table = macro(each, values, keys)
+        tables.append(table.unpivot([*keys, "n_participants", "n_choices"], values, "source", "task_nll"))
+    return tables[0].unionByName(tables[1]).withColumn("task_probability", F.exp(-F.col("task_nll")))
+
+
 def with_baselines(model: DataFrame, scored: DataFrame, baselines: list[str], name: str = "model") -> DataFrame:
     """source, experiment, participant, choice_index, nll of the model and of each baseline, over the model's own choices only.
 

@@ -86,8 +86,8 @@ def _source_sql(axis, bucket, where):
 
 @query("session_curve_sources", f"{SOURCES} {_source_sql('decile', 'decile', 'true')} UNION ALL {_source_sql('absolute', 'rank', 'rank < 50')}")
 def session_curve_sources(spark, sf_dir):
-    frame = data.choices(spark, sf_dir)
-    return curves.session_curve(curves.with_baselines(_second_run(frame), baselines.online(frame), baselines.BASELINES))
+    frame = data.choices(spark, sf_dir, dealt=True)
+    return curves.source_curves(_second_run(frame), baselines.online(frame), baselines.BASELINES)
 
 
 GUESS = (
@@ -255,7 +255,7 @@ def window_grid(spark, sf_dir):
 @query("window_grid_rules", "SELECT 'none' AS experiment, 'none' AS participant, 'none' AS rule, CAST(0 AS BIGINT) AS n WHERE false")
 def window_grid_rules(spark, sf_dir):
     """The grid's own rows break none of the rules that a run's rows are held to."""
-    lengths = data.choices(spark, sf_dir).groupBy(*SESSION).agg(F.count("*").cast("int").alias("n_segments"))
+    lengths = data.choices(spark, sf_dir, dealt=True).groupBy(*SESSION).agg(F.count("*").cast("int").alias("n_segments"))
     return protocol.window_violations(protocol.window_grid(lengths, [0, 1, 2, 5], tx.anchor_targets(F.col("n_segments"))), [0, 1, 2, 5])
 
 
