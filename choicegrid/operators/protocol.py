@@ -63,8 +63,8 @@ def window_grid(lengths: DataFrame, windows: list[int], targets: Column) -> Data
     anchors = lengths.select(*SESSION, "n_segments", F.explode(targets).alias("target_index"))
     limited = anchors.withColumn("window", F.explode(F.array(*map(F.lit, windows))))
     limited = limited.select(*SESSION, "n_segments", "window", "target_index", F.least("window", "target_index").alias("effective_window"), F.lit(True).alias("is_anchor"))
-    every = lengths.select(*SESSION, "n_segments", F.explode(F.sequence(F.lit(0), F.col("n_segments") - 1)).alias("target_index"))
-    full = every.join(anchors.select(*SESSION, "target_index", F.lit(True).alias("is_anchor")), [*SESSION, "target_index"], "left")
+    every = lengths.select(*SESSION, "n_segments", targets.alias("targets"), F.explode(F.sequence(F.lit(0), F.col("n_segments") - 1)).alias("target_index"))
+    full = every.withColumn("is_anchor", F.array_contains("targets", F.col("target_index")))
     full = full.select(*SESSION, "n_segments", F.lit(None).cast("int").alias("window"), "target_index", F.col("target_index").alias("effective_window"), F.coalesce("is_anchor", F.lit(False)).alias("is_anchor"))
     condition = F.when(F.col("window").isNull(), "full").otherwise(F.concat(F.lit("w"), F.col("window").cast("string")))
     return limited.unionByName(full).withColumn("condition", condition).withColumn("target_fraction", fraction)
@@ -93,22 +93,30 @@ def window_violations(rows: DataFrame, windows: list[int]) -> DataFrame:
         "unknown_window": limited & ~F.col("window").isin(*windows),
         "limited_off_anchor": limited & ~F.col("is_anchor"),
     }
-    marked = rows.select(*SESSION, F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in checks.items()))).alias("rules"))
-    each = marked.select(*SESSION, F.explode("rules").alias("rule")).groupBy(*SESSION, "rule").agg(F.count("*").alias("n"))
-    sessions = rows.groupBy(*SESSION).agg(
+    # one row per window and target first: distinct ones are counted without a copy of the rows for each count, and rows are read once
+    cells = rows.groupBy(*SESSION, "window", "target_index").agg(
         F.max("n_segments").alias("segments"),
         F.min("n_segments").alias("least_segments"),
-        F.countDistinct(F.when(full, F.col("target_index"))).alias("covered"),
-        F.countDistinct(F.when(full & F.col("is_anchor"), F.col("target_index"))).alias("anchors"),
-        F.countDistinct(F.when(limited, F.struct("window", "target_index"))).alias("cells"),
+        F.coalesce(F.bool_or("is_anchor"), F.lit(False)).alias("anchor"),
+        *(F.count_if(c).alias(n) for n, c in checks.items()),
+    )
+    known = full & F.col("target_index").isNotNull()
+    sessions = cells.groupBy(*SESSION).agg(
+        F.max("segments").alias("segments"),
+        F.min("least_segments").alias("least_segments"),
+        F.count_if(known).alias("covered"),
+        F.count_if(known & F.col("anchor")).alias("anchors"),
+        F.count_if(limited).alias("cells"),
+        *(F.sum(n).alias(n) for n in checks),
     )
     wide = {
         "segments_differ": F.col("segments") != F.col("least_segments"),
         "segments_not_covered": F.col("covered") != F.col("segments"),
         "anchors_not_covered": F.col("cells") != F.col("anchors") * len(windows),
     }
-    whole = sessions.select(*SESSION, F.explode(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in wide.items())))).alias("rule"), F.lit(1).cast("long").alias("n"))
-    return each.unionByName(whole)
+    broken = lambda c, rule, n: F.when(c, F.struct(F.lit(rule).alias("rule"), n.cast("long").alias("n")))
+    found = [*(broken(F.col(n) > 0, n, F.col(n)) for n in checks), *(broken(c, n, F.lit(1)) for n, c in wide.items())]
+    return sessions.select(*SESSION, F.inline(F.array_compact(F.array(*found))))
 
 
 def option_violations(options: DataFrame, predictions: DataFrame, keys: list[str] = CHOICE) -> DataFrame:

@@ -159,3 +159,17 @@ def test_answer_distribution_with_nulls(spark):
     a, b = (rng.binomial(4, 0.75, 200_000) / 4 for _ in range(2))
     assert row.null_pred == pytest.approx(np.abs(a - b).mean(), abs=0.01) and row.null_options == pytest.approx(np.abs(a - 0.75).mean(), abs=0.01)
     assert not {"null_pred", "null_options"} & set(readouts.answer_distribution(predictions, options, codes, aligned, draws=0).columns)
+
+
+def test_window_rules_read_rows_once(spark):
+    rows = spark.createDataFrame(
+        [("e", "1", None, t, t, 3, t / 2, t != 1) for t in (0, 1, 2)] + [("e", "1", w, t, min(w, t), 3, t / 2, True) for w in (0, 2) for t in (0, 2)]
+        + [("e", "2", None, t, t, 3, t / 2, True) for t in (0, 0, 2)] + [("e", "2", 0, 2, 1, 3, 1.0, False), ("e", "2", 9, None, 9, 4, None, True)],
+        "experiment string, participant string, window int, target_index int, effective_window int, n_segments int, target_fraction double, is_anchor boolean",
+    )
+    found = protocol.window_violations(rows, [0, 2])
+    assert {(r.participant, r.rule, r.n) for r in found.collect()} == {
+        ("2", "effective_window", 1), ("2", "unknown_window", 1), ("2", "limited_off_anchor", 1), ("2", "segments_differ", 1), ("2", "segments_not_covered", 1), ("2", "anchors_not_covered", 1),
+    }
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "Union" not in plan
