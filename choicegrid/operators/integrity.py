@@ -43,7 +43,7 @@ def orphans(children: DataFrame, parents: DataFrame, keys: list[str]) -> DataFra
 def incomplete(children: DataFrame, parents: DataFrame, keys: list[str], suffix: list[str]) -> DataFrame:
     """Parents whose distinct children are fewer or more than `expected`: keys, expected, found."""
     found = children.groupBy(*keys).agg(F.countDistinct(*suffix).alias("found"))
-    table = parents.select(*keys, "expected").join(found, keys, "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    table = parents.select(*keys, "expected").join(found.hint("merge"), keys, "left").withColumn("found", F.coalesce("found", F.lit(0)))
     return table.where("expected <> found")
 
 
@@ -79,7 +79,8 @@ def occurrence_outcomes(children: DataFrame, parents: DataFrame, keys: list[str]
     payload = digest(*(F.col(c) for c in children.columns if c not in ("shard", "row_idx")))
     rows = children.select("shard", "row_idx", key.alias("key"), part.alias("part"), payload.alias("payload"))
     parents = parents.select(key.alias("key"), F.col("expected").cast("long").alias("expected"))
-    known = parent_changes(rows, span).join(parents, "key", "left")
+    # as many parents as choices: a merge, since a compressed file's bytes would have Spark send them through the driver
+    known = parent_changes(rows, span).join(parents.hint("merge"), "key", "left")
     orphans = known.where("expected is null").select(F.col("shard").cast("long").alias("shard"), F.col("row_idx").cast("long").alias("row_idx"), "key", F.lit("orphan").alias("outcome"))
 
     def outcomes(batches):

@@ -49,9 +49,10 @@ def merged_tables(predictions: DataFrame, children: dict[str, DataFrame], kinds:
     for name, rows in children.items():
         kind = kinds[name]
         wanted = parents.select(*keys, F.col("shard").alias("parent_shard"), F.expr(kind.expected).cast("long").alias("expected"))
-        refuse(rows.join(wanted, keys).where("shard <> parent_shard").select(*keys, "shard", "parent_shard"), f"{name}: a row in another shard than its parent")
+        # joins of rows with their parents are merges: a table's bytes on disk, compressed, say little of what a broadcast would hold
+        refuse(rows.join(wanted.hint("merge"), keys).where("shard <> parent_shard").select(*keys, "shard", "parent_shard"), f"{name}: a row in another shard than its parent")
         outcomes = written(integrity.occurrence_outcomes(rows, wanted, keys, kind.suffix))
-        kept = rows.join(outcomes.where("outcome = 'kept'").select("shard", "row_idx"), ["shard", "row_idx"], "left_semi")
+        kept = rows.join(outcomes.where("outcome = 'kept'").select("shard", "row_idx").hint("merge"), ["shard", "row_idx"], "left_semi")
         refuse(integrity.incomplete(kept, wanted.where("expected > 0"), keys, kind.suffix), f"{name}: a prediction without all of its rows")
         n = {k: F.coalesce(F.sum((F.col("outcome") == o).cast("long")), F.lit(0)).alias(k) for k, o in (("rows", "kept"), ("replays", "replay"), ("incomplete", "incomplete"), ("orphans", "orphan"))}
         report = report.unionByName(outcomes.agg(F.lit(name).alias("table"), *n.values()))

@@ -243,3 +243,16 @@ def test_more_writers(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{out}/report").first().error == "x"
     with pytest.raises(Exception, match="(?i)exist"):
         writers.write_report(rows, f"{out}/report")
+
+
+def test_parents_are_not_broadcast(spark):
+    """Parents are as many as choices, whatever their file's size."""
+    from choicegrid.operators import integrity
+    from choicegrid.schemas import CHOICE
+    from choicegrid.sources.files import written
+
+    kind = "experiment string, participant string, choice_index int"
+    children = spark.createDataFrame([("e", "1", 0, k, 0, k) for k in (0, 1)], f"{kind}, token_index int, shard int, row_idx long")
+    parents = written(spark.createDataFrame([("e", "1", 0, 2)], f"{kind}, expected int"))
+    plans = [f._jdf.queryExecution().optimizedPlan().toString() for f in (integrity.occurrence_outcomes(children, parents, CHOICE, ["token_index"]), integrity.incomplete(children, parents, CHOICE, ["token_index"]))]
+    assert all("strategy=merge" in p for p in plans)
