@@ -58,9 +58,10 @@ def drop_excluded(frame: DataFrame, excluded: Sequence[str]) -> DataFrame:
 
 def unique_by(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
     """frame with a row per key; a key that repeats fails the query."""
-    counted = frame.groupBy(*keys).agg(F.count("*").alias("n"), F.first(F.struct(*frame.columns)).alias("row"))
-    ok = F.when(F.col("n") > 1, F.raise_error(F.lit(f"repeated {list(keys)}")).cast("boolean")).otherwise(F.lit(True))
-    return counted.where(ok).select("row.*")
+    # value by value, since an aggregate that holds structs sorts its rows where numbers are hashed
+    counted = frame.groupBy(*keys).agg(F.count("*").alias("_rows"), *(F.first(c).alias(c) for c in frame.columns if c not in keys))
+    ok = F.when(F.col("_rows") > 1, F.raise_error(F.lit(f"repeated {list(keys)}")).cast("boolean")).otherwise(F.lit(True))
+    return counted.where(ok).select(*frame.columns)
 
 
 def run_summary(frame: DataFrame) -> DataFrame:

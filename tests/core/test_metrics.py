@@ -95,3 +95,9 @@ def test_length_filter_is_inclusive(spark):
 def test_split_of_a_tiny_table(spark):
     rows = spark.createDataFrame([("a",)], "k string")
     assert [f.count() for f in sampling.split_train_eval(rows, ["k"], 0.5)] == [1, 1]
+
+
+def test_unique_rows_are_hashed(spark):
+    frame = spark.createDataFrame([("a", "1", 0, 0.5)], "experiment string, participant string, choice_index int, nll double")
+    once = metrics.unique_by(frame, ["experiment", "participant", "choice_index"])
+    assert once.columns == frame.columns and "SortAggregate" not in once._jdf.queryExecution().executedPlan().toString()
