@@ -366,3 +366,48 @@ def test_a_run_of_nothing(spark, tmp_path):
     sessions = spark.createDataFrame([], KIND)
     assert runs.score_run(sessions, str(tmp_path / "r"), lambda rows: rows, ["experiment"]) == 0
     assert runs.commits(spark, str(tmp_path / "r")) is None and runs.finished(spark, str(tmp_path / "r"), "predictions") is None
+
+
+def test_tasks_hold_slices_of_batches(spark, monkeypatch):
+    """Of a batch of 1,000 texts no more than a slice becomes Python values before the first rows leave the task."""
+    import pyarrow as pa
+
+    from choicegrid.operators import training_set
+
+    rows = spark.createDataFrame([("a", str(k), TEXT) for k in range(1000)], KIND)
+    kind, tasks = type(rows), []
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, **k: (tasks.append((f, self)), plain(self, f, *a, **k))[1])
+    asked = []
+
+    def counting():
+        model = merging(("ab",))()
+        return scoring.Model(lambda text: (asked.append(text), model.encode(text))[1], model.decode, model.logits)
+
+    scoring.prepare(scoring.window_cells(rows, ["full"], EVERY), counting)
+    training_set.supervised_set(rows, counting, 50)
+    assert len(tasks) > 1
+    for task, source in tasks[:2]:
+        batch = pa.Table.from_batches(source.toArrow().to_batches()).combine_chunks().to_batches()
+        assert [b.num_rows for b in batch] == [1000]
+        asked.clear()
+        first = next(iter(task(iter(batch))))
+        assert first.num_rows == scoring.ROWS and len(asked) <= scoring.ROWS + 10
+
+
+def test_nested_values():
+    import pyarrow as pa
+
+    rows = [[[1, 2], []], None, [], [[3], [4, 5]], [[6]]]
+    array = pa.array(rows, pa.list_(pa.list_(pa.int32())))
+    assert scoring.values_of(array) == rows and scoring.values_of(array.slice(1, 3)) == rows[1:4] and scoring.values_of(array[:0]) == []
+    words = pa.array([["a", None], None, ["b"]], pa.list_(pa.string()))
+    assert scoring.values_of(words.slice(1)) == [None, ["b"]] and scoring.values_of(words) == [["a", None], None, ["b"]]
+
+
+def test_nulls_are_drawn_without_a_table_per_session(spark):
+    human = spark.createDataFrame([("t", "1", "a", 0.5, 4), ("t", "1", "b", 0.5, 4)], "experiment string, participant string, code string, share double, n_choices int")
+    assert "InPandas" not in readouts.resampling_null(human)._jdf.queryExecution().toString()
+    rng = np.random.default_rng([7, *b"t\x1f1"])
+    draw = lambda: rng.multinomial(4, [0.5, 0.5], size=64) / 4
+    assert readouts.resampling_null(human, seed=7).first().null == np.clip(draw() - draw(), 0, None).sum(axis=1).mean()
