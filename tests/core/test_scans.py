@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from choicegrid.operators import canonical, sampling
+from choicegrid.operators import canonical, readouts, sampling
 from choicegrid.operators.joins import join_keyed
 from choicegrid.operators.quantiles import exact_quantile
 from choicegrid.sources import readers
@@ -81,3 +81,31 @@ def test_codes_with_suffixes_are_no_numbers(spark):
     table = lambda *values: spark.createDataFrame([("e", "p", i, v, None, "b") for i, v in enumerate(values)], "experiment string, participant string, row_idx long, value string, forced int, block string")
     assert canonical.align_sessions(choices, table("1", "1d", "-1")).count() == 0
     assert {(r.choice_index, r.code) for r in canonical.align_sessions(choices, table("1", "2_0", "-1")).collect()} == {(0, "1"), (1, "20")}
+
+
+def test_alignment_and_frequencies_read_rows_once(spark):
+    """Choices, table rows and weighted choices are scanned once each, and neither keys nor odd codes change what comes out."""
+    choices = spark.createDataFrame(
+        [("e", p, i, label) for p in "1234" for i, label in enumerate("xyx")] + [("e", None, 0, "x"), ("e", "5", 0, "x")], "experiment string, participant string, choice_index int, human_choice string"
+    )
+    nan, inf = float("nan"), float("inf")
+    kinds = {"1": [(2.0, None), (-0.0, None), (1.5, None)], "2": [(7.0, 1), (1.0, 0), (nan, 0), (inf, 0)], "3": [(1.0, None), (-1.0, None), (None, None), (1e20, None), (0.0, None)], "4": [(1.0, 0)] * 5}
+    table = spark.createDataFrame(
+        [("e", p, i, v, f, None if i == 0 else "b") for p, rows in kinds.items() for i, (v, f) in enumerate(rows)] + [("e", None, 0, 1.0, 0, "b"), ("e", "6", 0, 1.0, 0, "b")],
+        "experiment string, participant string, row_idx int, value double, forced int, block string",
+    )
+    aligned = canonical.align_sessions(choices, table)
+    reads = lambda frame: frame._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD")
+    assert reads(aligned) == 2
+    assert {tuple(r)[1:] for r in aligned.collect()} == {
+        ("1", 0, None, "2", "x", "raw"), ("1", 1, "b", "0", "y", "raw"), ("1", 2, "b", "1.5", "x", "raw"), ("2", 0, "b", "1", "x", "forced==0"), ("2", 2, "b", "Infinity", "x", "forced==0"),
+        ("3", 0, None, "1", "x", "code>=0"), ("3", 1, "b", "100000000000000000000", "y", "code>=0"), ("3", 2, "b", "0", "x", "code>=0"),
+    }
+    as_text = canonical.align_sessions(choices, table.withColumn("value", F.col("value").cast("string")))
+    assert sorted(map(str, as_text.collect())) == sorted(map(str, aligned.collect()))
+    weighted = spark.createDataFrame(
+        [("e", "1", 0, "a", 0.5), ("e", "1", 0, "b", 0.5), ("e", "1", 2, "a", 1.0), ("e", "1", None, None, 1.0), (None, "1", 0, "a", 1.0)], "experiment string, participant string, choice_index int, code string, w double"
+    )
+    shares = readouts.session_frequencies(weighted, "code", "w")
+    assert reads(shares) == 1
+    assert {(r.participant, r.code, r.share) for r in shares.collect()} == {("1", "a", 0.75), ("1", "b", 0.25), ("1", None, 0.5)}
