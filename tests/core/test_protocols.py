@@ -173,3 +173,27 @@ def test_window_rules_read_rows_once(spark):
     }
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan and "Union" not in plan
+
+
+def test_options_find_codes_without_a_join_of_their_own(spark):
+    """Every option is shuffled once, to its choice; its code comes with the choice, and the sums over a choice need no further shuffle."""
+    choice = "experiment string, participant string, choice_index int"
+    predictions = spark.createDataFrame([("e", "1", i, "off" if i == 2 else "scored") for i in range(4)], f"{choice}, options_status string")
+    aligned = spark.createDataFrame([("e", "1", 0, "b", "1"), ("e", "1", 1, "c", "2"), ("e", "1", 2, "b", "1"), ("e", "1", 3, None, "1")], f"{choice}, block string, code string")
+    codes = spark.createDataFrame([("e", "1", "b", "x", "1"), ("e", "1", "b", "y", "2"), ("e", "1", "c", "x", "2"), ("e", "1", "b", None, "3"), ("e", "1", None, "x", "9")], "experiment string, participant string, block string, label string, code string")
+    from math import log
+
+    options = spark.createDataFrame([("e", "1", i, o, log(v)) for i in range(4) for o, v in (("x", 0.5), ("y", 0.25), (None, 0.25))], f"{choice}, option string, logprob double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        part = readouts.options_readout(predictions, options, codes, aligned)
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        rows = {(r.choice_index, r.option): (r.code, r.option_code, r.share and round(r.share, 6), round(r.off, 6)) for r in part.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows == {
+        (0, "x"): ("1", "1", 0.666667, 0.0), (0, "y"): ("1", "2", 0.333333, 0.0), (0, None): ("1", None, None, 0.25),
+        (1, "x"): ("2", "2", 1.0, 0.0), (1, "y"): ("2", None, None, 0.25), (1, None): ("2", None, None, 0.25),
+        (3, "x"): ("1", None, None, 0.5), (3, "y"): ("1", None, None, 0.25), (3, None): ("1", None, None, 0.25),
+    }
+    assert plan.index("SortMergeJoin") < plan.index("Exchange") and "option" not in plan[plan.index("LeftOuter") :].split("\n")[0]
