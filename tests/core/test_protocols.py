@@ -197,3 +197,18 @@ def test_options_find_codes_without_a_join_of_their_own(spark):
         (3, "x"): ("1", None, None, 0.5), (3, "y"): ("1", None, None, 0.25), (3, None): ("1", None, None, 0.25),
     }
     assert plan.index("SortMergeJoin") < plan.index("Exchange") and "option" not in plan[plan.index("LeftOuter") :].split("\n")[0]
+
+
+def test_answer_distribution_sorts_no_options_for_their_choices(spark):
+    """Written tables have a row per choice, and each is read without a join per column of the report."""
+    choice = "experiment string, participant string, choice_index int"
+    predictions = spark.createDataFrame([("e", "1", 0, 1, "x", "x", "scored")], f"{choice}, num_tokens int, human_choice string, pred_choice string, options_status string")
+    aligned = spark.createDataFrame([("e", "1", 0, "b", "1")], f"{choice}, block string, code string")
+    codes = spark.createDataFrame([("e", "1", "b", "x", "1"), ("e", "1", "b", "y", "2")], "experiment string, participant string, block string, label string, code string")
+    options = spark.createDataFrame([("e", "1", 0, o, -1.0) for o in "xyz"], f"{choice}, option string, logprob double")
+    table = readouts.answer_distribution(predictions, options, codes, aligned, draws=0)
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("FileScan parquet"), plan.count("lag("), plan.count("FullOuter")) == (6, 0, 5)
+    row = table.first()
+    assert (row.tvd_pred, row.tvd_options, row.human_top_pred, row.pred_top, row.human_top_options, row.options_top) == (0.0, 0.5, 1.0, 1.0, 1.0, 0.5)
+    assert row.off_block_mass == pytest.approx(1 / 3) and (row.n_participants, row.n_pred, row.n_options) == (1, 1, 1)
