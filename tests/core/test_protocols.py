@@ -199,6 +199,33 @@ def test_options_find_codes_without_a_join_of_their_own(spark):
     assert plan.index("SortMergeJoin") < plan.index("Exchange") and "option" not in plan[plan.index("LeftOuter") :].split("\n")[0]
 
 
+def test_unnamed_mass_is_the_sum_of_the_options_parts(spark):
+    """Null probabilities, null options, a block without a dictionary and a choice that isn't scored among them."""
+    choice = "experiment string, participant string, choice_index int"
+    predictions = spark.createDataFrame([("e", "1", i, "off" if i == 2 else "scored") for i in range(8)], f"{choice}, options_status string")
+    aligned = spark.createDataFrame([("e", "1", i, "c" if i == 3 else "b", "1") for i in range(7)], f"{choice}, block string, code string")
+    codes = spark.createDataFrame([("e", "1", "b", "x", "1"), ("e", "1", "b", "y", "2")], "experiment string, participant string, block string, label string, code string")
+    given = {0: [("x", -1.0), ("y", -2.0), ("w", -1.5)], 1: [("x", -1.0), ("y", -2.0)], 2: [("x", -1.0)], 3: [("x", -1.0), (None, -2.0)], 4: [("x", None), ("w", -1.0)], 5: [("x", None), ("w", None)], 6: [("w", None)], 7: [("x", -1.0)]}
+    options = spark.createDataFrame([("e", "1", i, *o) for i, each in given.items() for o in each], f"{choice}, option string, logprob double")
+    tables = predictions, options, codes, aligned
+    found = {r.choice_index: r.off for r in readouts.unnamed_mass(*tables).collect()}
+    from math import exp
+
+    assert found == {0: pytest.approx(exp(-1.5) / (exp(-1) + exp(-2) + exp(-1.5))), 1: 0.0, 3: pytest.approx(1.0), 4: 1.0, 5: 0.0, 6: None}
+    summed = readouts.options_readout(*tables).groupBy("choice_index").agg(F.sum("off").alias("off"))
+    assert found == {r.choice_index: pytest.approx(r.off) for r in summed.collect()}
+
+
+def test_options_readout_sums_without_a_window_and_deals_sessions(spark):
+    """No window over the options, a choice's total found once, and sessions over all partitions where choices and table rows are paired."""
+    from choicegrid.plans import readouts as plans
+
+    plan_of = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    plan = plan_of(plans.options_readout(spark, "/root/testdata/sf0.001"))
+    assert "Window [sum(" not in plan and plan.index("Generate posexplode") < plan.index(" aggregate(")
+    assert "REPARTITION_BY_NUM" in plan_of(plans._aligned(spark, "/root/testdata/sf0.001"))
+
+
 def test_answer_distribution_sorts_no_options_for_their_choices(spark):
     """Written tables have a row per choice, and each is read without a join per column of the report."""
     choice = "experiment string, participant string, choice_index int"
