@@ -239,3 +239,37 @@ def test_answer_distribution_sorts_no_options_for_their_choices(spark):
     row = table.first()
     assert (row.tvd_pred, row.tvd_options, row.human_top_pred, row.pred_top, row.human_top_options, row.options_top) == (0.0, 0.5, 1.0, 1.0, 1.0, 0.5)
     assert row.off_block_mass == pytest.approx(1 / 3) and (row.n_participants, row.n_pred, row.n_options) == (1, 1, 1)
+
+
+def test_readouts_meet_their_codes_by_merges(spark):
+    """Choices, blocks and sessions grow with the input: none is broadcast, however few bytes their tables have on disk."""
+    from choicegrid.operators import canonical
+    from choicegrid.sources.files import written
+
+    choice = "experiment string, participant string, choice_index int"
+    made = lambda rows, columns: written(spark.createDataFrame(rows, columns))
+    said = ["x", "z", "q", "x", "y", None, "x"]
+    predictions = made([("e", "1", i, 2 if i == 6 else 1, v, "scored") for i, v in enumerate(said)] + [("e", "2", 0, 1, "x", "scored"), ("e", "3", 0, 1, "x", "scored")], f"{choice}, num_tokens int, pred_choice string, options_status string")
+    blocks = ["b", "b", "b", "c", None, "b", "b"]
+    aligned = made([("e", "1", i, b, "1", "x") for i, b in enumerate(blocks)] + [("e", "2", 0, "b", "1", "x")], f"{choice}, block string, code string, label string")
+    codes = made([("e", "1", "b", "x", "1"), ("e", "1", "b", "y", "2"), ("e", "1", "c", "z", "3"), ("e", "1", "b", None, "4"), ("e", "1", None, "y", "9")], "experiment string, participant string, block string, label string, code string")
+    options = made([("e", "1", i, o, -1.0) for i in range(7) for o in "xy"], f"{choice}, option string, logprob double")
+
+    def final(frame):
+        rows = frame.collect()
+        return rows, frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+    rows, plan = final(readouts.greedy_readout(predictions, codes, aligned))
+    assert {(r.participant, r.choice_index): (r.block, r.code, r.pred_code, r.bucket) for r in rows} == {
+        ("1", 0): ("b", "1", "1", "code"), ("1", 1): ("b", "1", None, "off_block"), ("1", 2): ("b", "1", None, "off_set"), ("1", 3): ("c", "1", None, "off_block"),
+        ("1", 4): (None, "1", None, "off_block"), ("1", 5): ("b", "1", None, "off_set"), ("2", 0): ("b", "1", None, "off_set"),
+    }
+    assert list(rows[0].asDict()) == [*predictions.columns, "block", "code", "pred_code", "bucket"]
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 3
+    assert plan.index("Exchange") < plan.index("element_at(")  # codes are read off before rows are shuffled to their session
+    for frame in (readouts.options_readout(predictions, options, codes, aligned), readouts.unnamed_mass(predictions, options, codes, aligned), readouts.answer_distribution(predictions, options, codes, aligned, draws=2)):
+        assert "Broadcast" not in final(frame)[1]
+    # only a task's codes by block may be
+    rows, plan = final(canonical.label_map(aligned, options.select("experiment", "participant", "option")))
+    assert {(r.participant, r.block, r.label, r.code) for r in rows} == {("1", "b", "x", "1"), ("1", "c", "x", "1"), ("2", "b", "x", "1")}
+    assert plan.count("BroadcastExchange") <= 1 and "SortMergeJoin" in plan
